@@ -93,9 +93,9 @@ def coordinates_close(a: str, b: str) -> Column:
 
 
 def block_masks(n_points: int) -> list[int]:
-    """Masks of the keys under which a point is filed. More points need longer keys, so that a key stays selective:
-    of m blocks RADIUS can be touched, so m - RADIUS agree. Keys have 21, 27 or 32 bits; any choice gives the same links."""
-    m = 6 if n_points < 1 << 24 else 7 if n_points < 1 << 30 else 8
+    """Masks of the keys under which a point is filed. Of m blocks RADIUS can be touched, so m - RADIUS agree. More points need
+    longer keys, so that few strangers share one: keys have 27 or 32 bits. Either choice gives the same links."""
+    m = 7 if n_points < 1 << 28 else 8
     edges = [round(64 * i / m) for i in range(m + 1)]
     blocks = [(1 << hi) - (1 << lo) for lo, hi in zip(edges, edges[1:], strict=False)]
     return [sum(blocks[i] for i in pick) for pick in combinations(range(m), m - RADIUS)]
@@ -105,24 +105,22 @@ def links(points: DataFrame, n_points: int) -> DataFrame:
     """points (node, fp; fp unique) to edges (a, b) that connect exactly the points connected by links of RADIUS or less.
 
     Not every link is returned, as a dense group has as many as its size squared. First each point of a bucket is compared with
-    its neighbour in the order of the pivot table, which joins up dense groups by a number of edges in proportion to the rows.
-    Then buckets with points of several components so far are searched in full for links between components.
+    its neighbour in the order of distances to the first pivot, which joins up dense groups by as many edges as rows. Then
+    buckets with points of several components so far are searched in full for links between components.
     """
-    filed = points.withColumns(pivot_columns()).withColumn("mask", F.explode(F.array(*[F.lit(signed(m)) for m in block_masks(n_points)])))
-    filed = filed.withColumn("bucket", F.col("fp").bitwiseAND(F.col("mask")))
-    sizes = filed.groupBy("mask", "bucket").agg(F.count("*").alias("n")).where("n > 1").select("mask", "bucket")
-    filed = keep(filed.join(sizes, ["mask", "bucket"], "left_semi"), "filed")
-
-    order = Window.partitionBy("mask", "bucket").orderBy("pv0", "pv1", "fp")
-    near = filed.withColumns({"b": F.lag("node").over(order), "other": F.lag("fp").over(order)})
+    masks = F.explode(F.array(*[F.lit(signed(m)) for m in block_masks(n_points)]))
+    filed = points.select("node", "fp", masks.alias("mask")).select("node", "fp", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("bucket"))
+    order = Window.partitionBy("bucket").orderBy(F.bit_count(F.col("fp").bitwiseXOR(F.lit(signed(pivots(1)[0])))), "fp")
+    near = filed.withColumns({"b": F.lag("node").over(order), "other": F.lag("fp").over(order), "after": F.lead("node").over(order)})
+    near = keep(near.where("b is not null or after is not null").drop("after"), "filed")  # points that are alone in a bucket go
     first = keep(near.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= RADIUS).select(F.col("node").alias("a"), "b").distinct(), "links")
 
-    labelled = filed.join(components(first), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    labelled = keep(labelled, "labelled")
-    mixed = labelled.groupBy("mask", "bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("mask", "bucket")
-    open_ = labelled.join(mixed, ["mask", "bucket"], "left_semi")
+    labelled = near.select("node", "fp", "bucket").join(components(first), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    labelled = keep(labelled.withColumns(pivot_columns()), "labelled")
+    mixed = labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
+    open_ = labelled.join(mixed, "bucket", "left_semi")
     x, y = open_.alias("x"), open_.alias("y")
-    pairs = x.join(y, (F.col("x.mask") == F.col("y.mask")) & (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") < F.col("y.root")) & coordinates_close("x", "y") & (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= RADIUS))
+    pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") < F.col("y.root")) & coordinates_close("x", "y") & (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= RADIUS))
     across = keep(pairs.groupBy(F.col("x.root").alias("a"), F.col("y.root").alias("b")).agg(F.count("*").alias("n")).select("a", "b"), "links")
     return first.union(across)
 
