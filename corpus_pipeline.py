@@ -1,13 +1,18 @@
-"""A corpus from raw documents to packed training sequences."""
+"""A corpus from raw documents to packed training sequences: quality, exact copies, near copies, secrets, packing."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cairnspark.llm import exact_dedup, simhash
+from cairnspark.llm import exact_dedup, packing, quality_classifier, secret_scan, simhash
 from cairnspark.llm.common import keep, table
 
 
+def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_classifier.filter_quality(docs, table(spark, sf_dir, "labels"))
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(docs)
 
@@ -16,15 +21,29 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return simhash.near_dedup(docs)
 
 
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; n_chars follows the new text."""
+    clean = secret_scan.redact(docs)
+    return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
 STAGES = [
+    ("quality_classifier", drop_poor),
     ("exact_dedup", drop_exact_copies),
     ("simhash_near_dedup", drop_near_copies),
+    ("secret_scan", redact_secrets),
+    ("best_fit_packing", pack_sequences),
 ]
 #: SQL can express none of the learned stages; tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents; each is written as Parquet and read again before the next."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = keep(stage(spark, docs, sf_dir), name)
