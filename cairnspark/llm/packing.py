@@ -24,8 +24,9 @@ from cairnspark.llm.common import bounded_batches, keep, text_or_empty
 
 CAPACITY = 1024
 END_ID = 2
-NODES = 3000  # branch-and-bound nodes; the incumbent stands if no better packing is found within them
+NODES = 12_000  # branch-and-bound nodes; the incumbent stands if no better packing is found within them
 BRANCHES = 4  # fillings tried at a node
+ITEMS = 4  # of a filling at most
 
 Filling = tuple[int, ...]
 Pattern = tuple[Filling, int]  # lengths in a sequence, number of such sequences
@@ -61,86 +62,76 @@ def dominates(b: Filling, a: Filling) -> bool:
     return any(x >= a[0] and dominates(tuple(sorted((*b[:i], x - a[0], *b[i + 1 :]), reverse=True)), a[1:]) for i, x in enumerate(b))
 
 
-def fillings(room: int, lengths: np.ndarray, counts: Counter, waste: int) -> list[Filling]:
+def fillings(room: int, lengths: np.ndarray, have: np.ndarray, waste: int) -> list[Filling]:
     """Undominated fillings of the room beside the largest document that waste no more than allowed, fullest first.
 
-    One item, then two, then three, each with the largest last item that fits; more items only where three cannot fill up.
+    lengths: those that are left, ascending; have: how many of each length. A filling is a first item, any that fits, and then
+    the largest item that still fits, again and again: with smaller ones in its place it would be dominated. A single item
+    stands beside them all.
     """
-    fit = lengths[lengths <= room]
+    fit = lengths[: np.searchsorted(lengths, room, "right")]
     if not len(fit):
         return [()] if room <= waste else []
-    found: list[Filling] = [(int(fit[-1]),)]
-    if fit[-1] < room:
-        for a in fit[::-1].tolist():
-            i = np.searchsorted(fit, min(room - a, a), "right") - 1
-            if i >= 0 and a == fit[i] and counts[a] < 2:
-                i -= 1
-            if i >= 0:
-                found.append((a, int(fit[i])))
-    found.sort(key=lambda f: (-sum(f), len(f)))
-    if sum(found[0]) < room:
-        for a, b in [f for f in found if len(f) == 2]:
-            rest, have = room - a - b, counts - Counter((a, b))
-            more: list[int] = []
-            while rest and (i := np.searchsorted(fit, min(rest, b), "right") - 1) >= 0:
-                c = int(fit[i])
-                while i >= 0 and have[c] <= 0:
-                    i -= 1
-                    c = int(fit[i])
-                if i < 0:
-                    break
-                more.append(c)
-                have[c] -= 1
-                rest -= c
-            if more:
-                found.append((a, b, *more))
-        found.sort(key=lambda f: (-sum(f), len(f)))
+    rows = fit[:, None]
+    rest = room - fit
+    for _ in range(ITEMS - 1):
+        top = np.minimum(rest, rows[:, -1])
+        at = np.searchsorted(fit, top, "right") - 1
+        item = np.where((at >= 0) & (rows[:, -1] > 0), fit[np.maximum(at, 0)], 0)
+        short = have[item] <= (rows == item[:, None]).sum(1)  # all of this length are in the filling already
+        item = np.where(short & (at > 0), fit[np.maximum(at - 1, 0)], np.where(short, 0, item))
+        item = np.where(have[item] > (rows == item[:, None]).sum(1), item, 0)
+        rows, rest = np.hstack([rows, item[:, None]]), rest - item
     out: list[Filling] = []
-    for f in found:
-        if room - sum(f) <= waste and len(out) < BRANCHES and not any(dominates(g, f) for g in out):
-            out.append(f)
+    for i in np.argsort(rest * (ITEMS + 1) + (rows > 0).sum(1), kind="stable"):
+        filling = tuple(x for x in rows[i].tolist() if x)
+        if rest[i] > waste or len(out) == BRANCHES:
+            break
+        if not any(dominates(f, filling) for f in out):
+            out.append(filling)
     return out
 
 
 def bin_completion(counts: dict[int, int], capacity: int, nodes: int = NODES) -> list[Pattern]:
     """As few sequences as found: best fit first, then branch and bound on fillings around the largest document left.
 
-    A branch is left as soon as its waste rules out a packing with one sequence less than the incumbent; a packing that
-    meets the bound ceil(total / capacity) ends the search.
+    A filling is applied as often as its items last. A branch is left as soon as its waste rules out a packing with one sequence
+    less than the incumbent; a packing that meets the bound ceil(total / capacity) ends the search.
     """
-    counts = {k: v for k, v in counts.items() if v}
-    total = sum(k * v for k, v in counts.items())
-    best = best_fit(counts, capacity)
+    best = best_fit({k: v for k, v in counts.items() if v}, capacity)
+    have = np.zeros(capacity + 1, np.int64)
+    for k, v in counts.items():
+        have[k] = v
+    total = int((have * np.arange(capacity + 1)).sum())
     used, least = sum(n for _, n in best), -(-total // capacity)
-
-    def search() -> Iterator[list[Pattern]]:
-        stack: list[tuple[Counter, list[Pattern], int]] = [(Counter(counts), [], 0)]
-        for _ in range(nodes):
-            if not stack:
-                return
-            have, plan, wasted = stack.pop()
-            allowed = (used - 1) * capacity - total - wasted
-            if allowed < 0:
-                continue
-            if not have:
-                yield plan
-                continue
-            top = max(have)
-            rest = have - Counter((top,))
-            options = fillings(capacity - top, np.array(sorted(rest)), rest, allowed)
-            for filling in reversed(options):
-                pattern = Counter((top, *filling))
-                times = min(have[k] // n for k, n in pattern.items())
-                waste = capacity - top - sum(filling)
-                if waste:  # a last sequence may stay part empty; many of them are not what best use looks like
-                    times = max(1, min(times, allowed // waste))
-                stack.append((have - Counter({k: n * times for k, n in pattern.items()}), [*plan, ((top, *filling), times)], wasted + waste * times))
-
-    while used > least:
-        better = next(search(), None)
-        if better is None:
-            break
-        best, used = better, sum(n for _, n in better)
+    stack: list[tuple[np.ndarray, tuple | None, int]] = [(have, None, 0)]
+    while stack and nodes and used > least:
+        nodes -= 1
+        have, plan, wasted = stack.pop()
+        allowed = (used - 1) * capacity - total - wasted
+        if allowed < 0:
+            continue
+        lengths = np.flatnonzero(have)
+        if not len(lengths):
+            best = []
+            while plan:
+                plan, pattern = plan
+                best.append(pattern)
+            used = sum(n for _, n in best)
+            continue
+        top = int(lengths[-1])
+        rest = have.copy()
+        rest[top] -= 1
+        for filling in reversed(fillings(capacity - top, np.flatnonzero(rest), rest, allowed)):
+            pattern = Counter((top, *filling))
+            times = min(int(have[k]) // n for k, n in pattern.items())
+            waste = capacity - top - sum(filling)
+            if waste:
+                times = max(1, min(times, allowed // waste))
+            left = have.copy()
+            for k, n in pattern.items():
+                left[k] -= n * times
+            stack.append((left, (plan, ((top, *filling), times)), wasted + waste * times))
     return best
 
 
