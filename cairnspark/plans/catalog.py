@@ -11,6 +11,8 @@ from cairnspark.functions import binary, codec, hashing
 from cairnspark.model import MODE_TREE, NO_OID
 from cairnspark.operators import compare, graph, index, objects, packs, refs, sync, text, trees
 from cairnspark.plans import derive
+from cairnspark.sources import files as file_sources
+from cairnspark.streaming import reflog as reflog_streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -427,9 +429,6 @@ def commit_chain_oids(spark, sf):
 
 # References
 
-REF_LIST = REFS + ",\npacked AS (SELECT name, repeat('0', 64) AS oid FROM refs WHERE oid IS NOT NULL AND hash(1) IS NOT NULL)"
-
-
 @query("SELECT name, oid FROM refs WHERE oid IS NOT NULL AND contains(name, 'A') AND NOT starts_with(name, 'refs/tags/') UNION ALL SELECT 'refs/PACKED/A', repeat('0', 64)", REFS)
 def ref_list(spark, sf):
     found = derive.refs(spark, sf).where("oid is not null").select("name", "oid")
@@ -671,3 +670,43 @@ def delta_round_trip(spark, sf):
     new = derive.worktree(spark, sf).select("doc_id", F.col("data").alias("target"))
     both = derive.objects(spark, sf).select("doc_id", "data").join(new, "doc_id").withColumn("delta", binary.delta_compress("data", "target"))
     return both.select("doc_id", ((binary.delta_apply("data", "delta") == F.col("target")) & (F.octet_length("delta") <= F.octet_length("target") + 64)).alias("same"))
+
+
+# Streams and files
+
+
+@query("SELECT ref, max_by(oid, ts) AS oid, count(*) AS n_changes FROM changes GROUP BY ref", CHANGES)
+def reflog_stream(spark, sf):
+    events = reflog_streams.read_stream(spark, f"{sf}/events.parquet")
+    changes = events.select(F.concat(F.lit("refs/heads/user-"), F.col("user_id").cast("string")).alias("ref"), "ts", derive.sha(F.col("event_id").cast("string")).alias("oid"))
+    return reflog_streams.run_to_end(reflog_streams.latest_refs(changes), graph.shared_folder(spark), "complete")
+
+
+@query("SELECT oid, any_value(size) AS size FROM files GROUP BY oid", FILES)
+def dedup_stream(spark, sf):
+    docs = reflog_streams.read_stream(spark, f"{sf}/documents.parquet")
+    data = docs.select(F.lit("blob").alias("type"), F.encode("text", "UTF-8").alias("data"))
+    return reflog_streams.run_to_end(reflog_streams.new_objects(objects.with_oid(data).select("oid", "size")), graph.shared_folder(spark))
+
+
+def _calls(events):
+    """A call an event; two of three are bad."""
+    return events.select(F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("remote"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("bigint").alias("ts_ms"), (F.col("event_id") % 3 == 0).alias("ok"))
+
+
+@query()
+def circuit_breaker_stream(spark, sf):
+    calls = _calls(reflog_streams.read_stream(spark, f"{sf}/events.parquet"))
+    return reflog_streams.run_to_end(reflog_streams.circuit_breaker(calls), graph.shared_folder(spark))
+
+
+@query()
+def circuit_breaker(spark, sf):
+    return reflog_streams.circuit_breaker(_calls(derive.table(spark, sf, "events")))
+
+
+@query("SELECT 's' || doc_id AS name, path, 'https://example.com/' || doc_id AS url, CASE WHEN doc_id % 2 = 0 THEN 'main' END AS branch FROM files", FILES)
+def submodules(spark, sf):
+    key = F.col("doc_id").cast("string")
+    body = F.concat(F.lit('# list\n[submodule "s'), key, F.lit('"]\r\n\tpath = '), "path", F.lit("  \n\turl=https://example.com/"), key, F.when(F.col("doc_id") % 2 == 0, "\n branch = main").otherwise(""))
+    return file_sources.submodules(derive.files(spark, sf).select(F.col("path").alias("file"), body.alias("text"))).drop("file")
