@@ -81,19 +81,19 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return batch.column(name).cast(pa.binary()).to_pylist()
 
 
-def lookup(rows: DataFrame, uniques: DataFrame, key: str, weight: str, total: int, salts: int | None = None) -> DataFrame:
+def lookup(rows: DataFrame, uniques: DataFrame, key: str, weight: str, total: int, by: str = "doc_id", salts: int | None = None) -> DataFrame:
     """rows LEFT JOIN uniques on key, where uniques has each key once and a few keys may own most of the rows.
 
-    weight: the column of uniques that tells about how many rows have the key; total: the sum of all weights, or more.
-    Hot keys are fewer than HOT by arithmetic, so the set that is broadcast is bounded. Their rows are dealt out by a
-    salt, their entries in uniques are repeated once a salt; all other keys join as usual.
+    weight: the column of uniques that tells about how many rows have the key; total: the sum of all weights, or more; by: a
+    column of rows that tells the rows of a key apart, by which they are dealt out. Hot keys are fewer than HOT by arithmetic, so the set that is broadcast is bounded. Their rows get a salt, their
+    entries in uniques are repeated once a salt; all other keys join as usual.
     """
     spark = rows.sparkSession
     salts = salts or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     is_hot = F.col(weight) > F.lit(max(total, 1) / HOT)
     hot = uniques.where(is_hot).select(F.col(key).alias("__hot"))
     dealt = rows.join(F.broadcast(hot), rows[key] == hot["__hot"], "left").withColumn(
-        "__salt", F.when(F.col("__hot").isNotNull(), (F.rand(7) * salts).cast("int")).otherwise(0)
+        "__salt", F.when(F.col("__hot").isNotNull(), F.pmod(F.xxhash64(F.col(f"`{by}`")), F.lit(salts)).cast("int")).otherwise(0)
     ).drop("__hot")
     copies = uniques.withColumn("__salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
     return dealt.join(copies, [key, "__salt"], "left").drop("__salt")

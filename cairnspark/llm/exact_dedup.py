@@ -139,7 +139,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     flagged = docs.withColumn("digest__", hashed(text_or_empty(text_col))).withColumn("maybe__", maybe_repeated(found.filter, F.col("digest__")))
     groups = found.groups.select(F.col("digest").alias("digest__"), F.col("keep_id").alias("keep_id__"), F.col("group_size").alias("size__"), F.col("n_top").alias("top__"))
-    tested = lookup(flagged.where("maybe__"), groups, "digest__", "size__", found.n_rows).where(F.col("size__").isNull() | F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("keep_id__")))
+    tested = lookup(flagged.where("maybe__"), groups, "digest__", "size__", found.n_rows, id_col).where(F.col("size__").isNull() | F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("keep_id__")))
     single = tested.where("coalesce(top__, 1) = 1")
     repeated = tested.where("top__ > 1").dropDuplicates(["digest__"])
     names = [f"`{c}`" for c in docs.columns]
