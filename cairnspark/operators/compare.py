@@ -34,7 +34,8 @@ def lines(text: Column) -> Column:
 def changed_texts(index: DataFrame, worktree: DataFrame, blobs: DataFrame) -> DataFrame:
     """path, old, new of tracked files whose content differs; a deleted file has no new text."""
     rows = status(index, worktree).where("worktree_status in ('WT_MODIFIED', 'WT_DELETED')").select("path", "index_oid")
-    old = blobs.select(F.col("oid").alias("index_oid"), F.decode("data", "UTF-8").alias("old")).dropDuplicates(["index_oid"])
+    wanted = rows.select("index_oid").distinct()  # so that unchanged payloads are not shuffled twice
+    old = blobs.select(F.col("oid").alias("index_oid"), F.decode("data", "UTF-8").alias("old")).join(wanted, "index_oid", "left_semi").dropDuplicates(["index_oid"])
     return rows.join(old, "index_oid").join(worktree.select("path", F.decode("data", "UTF-8").alias("new")), "path", "left").select("path", "index_oid", "old", "new")
 
 

@@ -2,22 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 HEADER_BYTES = 12
 
 
-def offsets(objects: DataFrame) -> DataFrame:
-    """objects (pack, nth, oid, size) with the byte offset of each in its pack, behind a header."""
-    before = Window.partitionBy("pack").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
-    return objects.select("pack", "oid", "size", (F.lit(HEADER_BYTES) + F.coalesce(F.sum("size").over(before), F.lit(0))).cast("bigint").alias("offset"))
+def running_sum(rows: DataFrame, group: str, bucket: Column, order: list[str], amount: Column, name: str) -> DataFrame:
+    """rows with the sum of amount over the rows before, in each group.
+
+    bucket must rise with order. Sums run inside a bucket, so that a group that holds most of the rows is not in one task; the
+    buckets' totals, which are few, are summed up on their own.
+    """
+    cut = rows.withColumns({"bucket__": bucket, "amount__": amount})
+    inside = Window.partitionBy(group, "bucket__").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(group).orderBy("bucket__").rowsBetween(Window.unboundedPreceding, -1)
+    totals = cut.groupBy(group, "bucket__").agg(F.sum("amount__").alias("total__"))
+    starts = totals.select(group, "bucket__", F.coalesce(F.sum("total__").over(before), F.lit(0)).alias("start__"))
+    summed = cut.withColumn("inner__", F.coalesce(F.sum("amount__").over(inside), F.lit(0)))
+    return summed.join(starts, [group, "bucket__"]).withColumn(name, (F.col("start__") + F.col("inner__")).cast("bigint")).drop("bucket__", "amount__", "start__", "inner__")
+
+
+def offsets(objects: DataFrame, bucket: Column, order: list[str]) -> DataFrame:
+    """objects (pack, oid, size, ...) with the byte offset of each in its pack, behind a header, in an order; bucket as above."""
+    placed = running_sum(objects, "pack", bucket, order, F.col("size"), "before")
+    return placed.select("pack", "oid", "size", (F.col("before") + HEADER_BYTES).alias("offset"))
 
 
 def order(index: DataFrame) -> DataFrame:
-    """Position of each id in its pack's index, from 0."""
-    return index.select("pack", "oid", "offset", (F.row_number().over(Window.partitionBy("pack").orderBy("oid", "offset")) - 1).cast("bigint").alias("position"))
+    """Position of each id in its pack's index, from 0. Ids are digests: their first digits make even buckets."""
+    return running_sum(index, "pack", F.substring("oid", 1, 2), ["oid", "offset"], F.lit(1), "position").select("pack", "oid", "offset", "position")
 
 
 def lookup(index: DataFrame, ids: DataFrame) -> DataFrame:

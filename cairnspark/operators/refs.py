@@ -50,9 +50,17 @@ def replacements(refs: DataFrame) -> DataFrame:
 
 
 def reflog(changes: DataFrame) -> DataFrame:
-    """changes (ref, ts, oid, message) as log rows: the id before, zeros at first, and the id after."""
-    before = F.lag("oid").over(Window.partitionBy("ref").orderBy("ts", "oid"))
-    return changes.select("ref", F.coalesce(before, F.lit(NO_OID)).alias("old_oid"), F.col("oid").alias("new_oid"), "ts", "message")
+    """changes (ref, ts, oid, message) as log rows: the id before, zeros at first, and the id after.
+
+    Changes are ordered inside a day, so that a busy ref is not in one task; the first of a day follows the last of the day
+    before, of which there is one a ref and day.
+    """
+    cut = changes.withColumn("day", F.to_date("ts"))
+    inside = F.lag("oid").over(Window.partitionBy("ref", "day").orderBy("ts", "oid"))
+    last = cut.groupBy("ref", "day").agg(F.max_by("oid", F.struct("ts", "oid")).alias("last"))
+    earlier = last.select("ref", "day", F.lag("last").over(Window.partitionBy("ref").orderBy("day")).alias("earlier"))
+    rows = cut.withColumn("before", inside).join(earlier, ["ref", "day"])
+    return rows.select("ref", F.coalesce("before", "earlier", F.lit(NO_OID)).alias("old_oid"), F.col("oid").alias("new_oid"), "ts", "message")
 
 
 def reflog_line(old: Column, new: Column, signature: Column, message: Column) -> Column:

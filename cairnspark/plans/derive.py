@@ -88,9 +88,8 @@ def ref_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """pack, oid, size, offset: a pack for each month of shipping."""
-    key = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
-    rows = table(spark, sf_dir, "lineitem").select(
-        F.date_format("l_shipdate", "yyyyMM").alias("pack"), sha(key).alias("oid"), (F.col("l_partkey") % 1000 + 20).alias("size"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("nth")
-    )
-    return packs.offsets(rows)
+    """pack, oid, size, offset: a pack for each month of shipping, filled in the order of the line items' keys."""
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    oid = sha(F.concat_ws("-", *[F.col(c).cast("string") for c in keys]))
+    rows = table(spark, sf_dir, "lineitem").select(F.date_format("l_shipdate", "yyyyMM").alias("pack"), oid.alias("oid"), (F.col("l_partkey") % 1000 + 20).alias("size"), *keys)
+    return packs.offsets(rows, F.floor(F.col("l_orderkey") / 4096), keys)
