@@ -10,10 +10,12 @@ from __future__ import annotations
 
 import re
 import string
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +37,8 @@ RECALL = 0.97
 MOST = 0.9  # the limit is no higher than this, even if all secrets held back would pass a higher one
 EMBED, FILTERS, KERNEL, HIDDEN = 10, 24, 5, 16
 ALPHABET = {c: i + 2 for i, c in enumerate(string.ascii_letters + string.digits + string.punctuation + " \n")}  # 0: nothing, 1: other
-CHUNK = 256  # candidates that the network reads at a time
+CHUNK = 256  # windows that the network reads at a time
+VIEWS = 2048  # windows that wait for it
 
 Span = tuple[str, int, int]
 
@@ -73,7 +76,7 @@ def windows(text: str, start: int, end: int) -> list[np.ndarray]:
     for a in range(start, end, WIDTH):
         b = min(end, a + WIDTH)
         left, right = text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT]
-        code, inside = np.zeros(WIDTH + 2 * CONTEXT, np.int64), np.zeros(WIDTH + 2 * CONTEXT)
+        code, inside = np.zeros(WIDTH + 2 * CONTEXT, np.uint8), np.zeros(WIDTH + 2 * CONTEXT, np.uint8)
         shown = left + text[a:b] + right
         at = CONTEXT - len(left)
         code[at : at + len(shown)] = [ALPHABET.get(c, 1) for c in shown]
@@ -109,7 +112,7 @@ class Net:
         return [self.embed, self.kernel, self.shift, self.hidden, self.hidden_shift, self.out, self.out_shift]
 
     def forward(self, x: np.ndarray) -> dict:
-        code, inside = x[:, 0].astype(np.int64), x[:, 1]
+        code, inside = x[:, 0].astype(np.int64), x[:, 1].astype(float)
         rows = np.concatenate([self.embed[code] * (code > 0)[:, :, None], inside[:, :, None]], axis=2)
         n, width, depth = rows.shape
         padded = np.pad(rows, ((0, 0), (KERNEL // 2, KERNEL // 2), (0, 0)))
@@ -223,19 +226,39 @@ def trained(recall: float = RECALL, seed: int = SEED) -> Net:
     return net
 
 
-def scan_text(text: str, net: Net) -> list[tuple[str, int, int, float]]:
-    """All spans of a text with the network's probability; those of the fixed patterns stay whatever it says."""
-    base = ordered(base_spans(text))
-    more = candidates(text, base)
-    if not base and not more:
-        return []
-    views = [windows(text, a, b) for a, b in [(a, b) for _, a, b in base] + more]
-    p = net.probability(np.array([v for own in views for v in own]))
-    ends = np.cumsum([len(v) for v in views])
-    best = [float(p[e - len(v) : e].max()) for e, v in zip(ends, views, strict=True)]
-    spans = [(*s, q) for s, q in zip(base, best, strict=False)]
-    spans += [("model", a, b, q) for (a, b), q in zip(more, best[len(base) :], strict=True) if q >= net.limit]
-    return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
+Found = tuple[str, int, int, float]
+
+
+def scan_texts(texts: Iterable[str], net: Net) -> Iterator[list[Found]]:
+    """All spans of each text with the network's probability; those of the fixed patterns stay whatever it says.
+
+    Candidates of several texts go through the network together, VIEWS windows or a little more at a time.
+    """
+    waiting: list[tuple[list[Span], list[tuple[int, int]], list[int]]] = []
+    views: list[np.ndarray] = []
+
+    def judged() -> Iterator[list[Found]]:
+        p, at = net.probability(np.array(views)), 0
+        for base, more, sizes in waiting:
+            best = []
+            for n in sizes:
+                best.append(float(p[at : at + n].max()))
+                at += n
+            spans = [(*s, q) for s, q in zip(base, best, strict=False)]
+            spans += [("model", a, b, q) for (a, b), q in zip(more, best[len(base) :], strict=True) if q >= net.limit]
+            yield sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
+        waiting.clear()
+        views.clear()
+
+    for text in texts:
+        base = ordered(base_spans(text))
+        more = candidates(text, base)
+        own = [windows(text, a, b) for a, b in [*((a, b) for _, a, b in base), *more]]
+        waiting.append((base, more, [len(v) for v in own]))
+        views += [v for one in own for v in one]
+        if len(views) >= VIEWS:
+            yield from judged()
+    yield from judged()
 
 
 SPANS = "array<struct<kind:string,start:int,end:int,p:double>>"
@@ -247,7 +270,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [[dict(zip(("kind", "start", "end", "p"), s, strict=True)) for s in scan_text(t, shared.value)] for t in batch.column(1).to_pylist()]
+        found = [[dict(zip(("kind", "start", "end", "p"), s, strict=True)) for s in spans] for spans in scan_texts(batch.column(1).to_pylist(), shared.value)]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], ["doc_id", "spans"])
 
     return over_texts(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")), rows, f"doc_id long, spans {SPANS}")
@@ -267,7 +290,9 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", reca
     shared = docs.sparkSession.sparkContext.broadcast(trained(recall))
 
     @F.pandas_udf("string")
-    def cleaned(texts):
-        return texts.map(lambda t: t if t is None else redact_text(t, scan_text(t, shared.value), mark))
+    def cleaned(texts: pd.Series) -> pd.Series:
+        plain = texts.where(texts.notna(), "").tolist()
+        clean = [redact_text(t, spans, mark) for t, spans in zip(plain, scan_texts(plain, shared.value), strict=True)]
+        return pd.Series(clean, texts.index, object).where(texts.notna(), None)
 
     return docs.withColumn(text_col, cleaned(F.col(f"`{text_col}`").cast("string")))
