@@ -54,6 +54,14 @@ def tag_text(target: Column, type_: Column, name: Column, tagger: Column, messag
     return F.concat(F.concat_ws("\n", F.concat(F.lit("object "), target), F.concat(F.lit("type "), type_), F.concat(F.lit("tag "), name), F.concat(F.lit("tagger "), tagger)), F.lit("\n"), message)
 
 
+def parse_tag(text: Column) -> Column:
+    """struct<object,type,name,tagger,message> of a tag's payload; null if it does not begin as one. A missing tagger is null."""
+    pattern = r"(?s)^object ([0-9a-f]+)\ntype (\w+)\ntag ([^\n]*)\n(?:tagger ([^\n]*)\n)?(.*)$"
+    part = lambda i: F.regexp_extract(text, pattern, i)
+    tagger = F.when(text.rlike(r"^[^\n]*\n[^\n]*\n[^\n]*\ntagger "), part(4))
+    return F.when(text.rlike(pattern), F.struct(part(1).alias("object"), part(2).alias("type"), part(3).alias("name"), tagger.alias("tagger"), part(5).alias("message")))
+
+
 def lfs_pointer(oid: Column, size: Column) -> Column:
     return F.concat(F.lit(f"{LFS_VERSION}\noid "), oid, F.lit("\nsize "), size.cast("string"), F.lit("\n"))
 

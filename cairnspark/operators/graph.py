@@ -89,6 +89,18 @@ def reach(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     return pairs.join(found, ["ancestor", "descendant"], "left").select("ancestor", "descendant", F.coalesce("hit", F.lit(False)).alias("is_ancestor"))
 
 
+def reachable(heads: DataFrame, edges: DataFrame, depth: int | None = None) -> DataFrame:
+    """oid of all commits that heads (oid) reach, themselves included; depth limits the number of hops, as a shallow copy does."""
+    seen = frontier = cut(heads.select("oid").distinct())
+    steps = edges.select(F.col("child").alias("oid"), "parent")
+    for _ in range(MAX_ROUNDS if depth is None else depth):
+        frontier = cut(frontier.join(steps, "oid").select(F.col("parent").alias("oid")).distinct().join(seen, "oid", "left_anti"))
+        if frontier.isEmpty():
+            break
+        seen = seen.union(frontier)
+    return seen
+
+
 def merge_analysis(heads: DataFrame, edges: DataFrame) -> DataFrame:
     """heads (ours, theirs) with UNBORN, UP_TO_DATE, FASTFORWARD or NORMAL; ours is null if there is no commit yet."""
     born = heads.where("ours is not null")
@@ -101,6 +113,14 @@ def merge_analysis(heads: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.select("ours", "theirs", verdict.alias("analysis"))
 
 
+def fast_forward(heads: DataFrame, edges: DataFrame) -> DataFrame:
+    """heads (name, ours, theirs) to name, oid, merged: theirs where ours is behind it or there is none, else ours as it was."""
+    verdicts = merge_analysis(heads.select("ours", "theirs").distinct(), edges)
+    verdicts = verdicts.select(F.coalesce("ours", F.lit("")).alias("from"), F.col("theirs").alias("to"), F.col("analysis").isin("FASTFORWARD", "UNBORN").alias("merged"))
+    rows = heads.join(verdicts, (F.coalesce("ours", F.lit("")) == F.col("from")) & (F.col("theirs") == F.col("to")))
+    return rows.select("name", F.when(F.col("merged"), F.col("theirs")).otherwise(F.col("ours")).alias("oid"), "merged")
+
+
 def generations(commits: DataFrame, edges: DataFrame) -> DataFrame:
     """oid, generation: 0 for a commit without parents, else one more than its parents' largest.
 

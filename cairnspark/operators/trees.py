@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnspark.functions.hashing import object_id
@@ -60,3 +60,26 @@ def expand(roots: DataFrame, tree_entries: DataFrame, levels: int) -> DataFrame:
 
 def entry(tree_entries: DataFrame, trees: DataFrame, name: str) -> DataFrame:
     return trees.select("tree_oid").distinct().join(tree_entries.where(F.col("name") == name), "tree_oid")
+
+
+# Entries of one tree as an array of structs (mode, name, oid), in the order of names.
+
+
+def add_entry(entries: Column, new: Column) -> Column:
+    """With a new entry, in order; an entry of the same name stays beside it."""
+    return F.array_sort(F.concat(entries, F.array(new)), lambda a, b: F.when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0))
+
+
+def remove_entry(entries: Column, name: Column) -> Column:
+    """Without the first entry of a name."""
+    at = F.array_position(F.transform(entries, lambda e: e["name"]), name)
+    return F.filter(entries, lambda e, i: (at == 0) | (i != at - 1))
+
+
+def entry_named(entries: Column, name: Column) -> Column:
+    return F.get(F.filter(entries, lambda e: e["name"] == name), F.lit(0))
+
+
+def entry_nth(entries: Column, n: Column) -> Column:
+    """Entry number n from 0; null beyond the end."""
+    return F.get(entries, n)

@@ -427,6 +427,25 @@ def commit_chain_oids(spark, sf):
     return chains.select(F.explode("chain").alias("x")).select("x.o_orderkey", "x.oid")
 
 
+@query("SELECT oid FROM commits WHERE o_custkey % 7 = 0", COMMITS)
+def reachable(spark, sf):
+    commits = graph.cut(derive.commits(spark, sf))
+    return graph.reachable(derive.heads(commits).where("o_custkey % 7 = 0").select(F.col("last").alias("oid")), graph.cut(derive.edges(commits)))
+
+
+@query("SELECT DISTINCT c.oid FROM commits c JOIN (SELECT o_custkey, max(seq) AS n FROM commits GROUP BY 1) m USING (o_custkey) JOIN commits h ON h.o_custkey = c.o_custkey AND h.seq = m.n WHERE c.o_custkey % 7 = 0 AND (m.n - c.seq <= 1 OR c.oid = h.parent2)", COMMITS)
+def reachable_shallow(spark, sf):
+    commits = graph.cut(derive.commits(spark, sf))
+    return graph.reachable(derive.heads(commits).where("o_custkey % 7 = 0").select(F.col("last").alias("oid")), derive.edges(commits), depth=1)
+
+
+@query("SELECT o_custkey AS name, last AS oid, n > 1 AS merged FROM heads JOIN (SELECT o_custkey, max(seq) AS n FROM commits GROUP BY 1) USING (o_custkey)", COMMITS)
+def fast_forward(spark, sf):
+    commits = graph.cut(derive.commits(spark, sf))
+    heads = derive.heads(commits).select(F.col("o_custkey").alias("name"), F.col("first").alias("ours"), F.col("last").alias("theirs"))
+    return graph.fast_forward(graph.cut(heads), graph.cut(derive.edges(commits)))
+
+
 # References
 
 @query("SELECT name, oid FROM refs WHERE oid IS NOT NULL AND contains(name, 'A') AND NOT starts_with(name, 'refs/tags/') UNION ALL SELECT 'refs/PACKED/A', repeat('0', 64)", REFS)
@@ -624,6 +643,21 @@ def tag_serialize(spark, sf):
     return derive.commits(spark, sf).select("o_orderkey", codec.tag_text(F.col("oid"), F.lit("commit"), F.concat(F.lit("v"), F.col("o_orderkey").cast("string")), tagger, F.col("o_orderpriority")).alias("payload"))
 
 
+@query("SELECT o_orderkey, oid AS object, 'commit' AS type, 'v' || o_orderkey AS name, CASE WHEN o_orderkey % 2 = 0 THEN 't' END AS tagger, o_orderpriority AS message FROM commits", COMMITS)
+def tag_parse(spark, sf):
+    tagger = F.when(F.col("o_orderkey") % 2 == 0, "t")
+    payload = codec.tag_text(F.col("oid"), F.lit("commit"), F.concat(F.lit("v"), F.col("o_orderkey").cast("string")), tagger, F.col("o_orderpriority"))
+    return derive.commits(spark, sf).select("o_orderkey", codec.parse_tag(payload).alias("t")).select("o_orderkey", "t.*")
+
+
+@query("SELECT doc_id, 2 AS n_left, CASE WHEN source < 'b' THEN source ELSE 'b' END AS first_name, oid AS second_oid, source AS found FROM files", FILES)
+def tree_entry_edits(spark, sf):
+    """Adds an entry to a tree of two, takes one away, and looks the rest up by place and by name."""
+    item = lambda name: F.struct(F.lit(MODE_TREE).alias("mode"), name.alias("name"), F.col("oid"))
+    entries = trees.remove_entry(trees.add_entry(F.array(item(F.lit("a")), item(F.lit("b"))), item(F.col("source"))), F.lit("a"))
+    return derive.objects(spark, sf).select("doc_id", F.size(entries).alias("n_left"), trees.entry_nth(entries, F.lit(0))["name"].alias("first_name"), trees.entry_nth(entries, F.lit(1))["oid"].alias("second_oid"), trees.entry_named(entries, F.col("source"))["name"].alias("found"))
+
+
 @query("SELECT doc_id, doc_id % 4 < 2 AS is_lfs, CASE WHEN doc_id % 4 < 2 THEN oid END AS oid, CASE WHEN doc_id % 4 < 2 THEN size END AS size FROM files", FILES)
 def lfs_pointers(spark, sf):
     """Pointers as written, and three kinds that are none: carriage returns, ids that are too short, other text."""
@@ -694,6 +728,12 @@ def _calls(events):
     return events.select(F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("remote"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("bigint").alias("ts_ms"), (F.col("event_id") % 3 == 0).alias("ok"))
 
 
+@query("SELECT 'r' || doc_id AS name, '/srv/' || path AS url FROM files", FILES)
+def remotes(spark, sf):
+    body = F.concat(F.lit('[core]\n\tbare = true\n[remote "r'), F.col("doc_id").cast("string"), F.lit('"]\n\turl = /srv/'), "path", F.lit("\n"))
+    return file_sources.remotes(derive.files(spark, sf).select(F.col("path").alias("file"), body.alias("text")))
+
+
 @query()
 def circuit_breaker_stream(spark, sf):
     calls = _calls(reflog_streams.read_stream(spark, f"{sf}/events.parquet"))
