@@ -28,6 +28,8 @@ VERSION = "0.1.0"
 # Defaults of remotes.
 BACKOFF_BASE_MS, BACKOFF_CAP_MS, BACKOFF_DOUBLINGS = 100, 30_000, 10
 FAILURES_TO_OPEN, SUCCESSES_TO_CLOSE, OPEN_MS = 5, 2, 30_000
+BUDGET_A_MINUTE = 20
+MOST_RUNNING, MOST_QUEUED, SHED_PERCENT = 64, 256, 90
 
 SIGNATURE = "struct<name:string,email:string,when:bigint,offset:int>"
 SCHEMAS = {

@@ -745,6 +745,18 @@ def circuit_breaker(spark, sf):
     return reflog_streams.circuit_breaker(_calls(derive.table(spark, sf, "events")))
 
 
+@query()
+def retry_budget(spark, sf):
+    return reflog_streams.retry_budget(_calls(derive.table(spark, sf, "events")))
+
+
+@query()
+def load_gate(spark, sf):
+    """Two of three events start work; a remote stands for all users with the same last digit."""
+    calls = _calls(derive.table(spark, sf, "events")).withColumn("ok", ~F.col("ok")).withColumn("remote", F.substring("remote", -1, 1))
+    return reflog_streams.load_gate(calls)
+
+
 @query("SELECT 's' || doc_id AS name, path, 'https://example.com/' || doc_id AS url, CASE WHEN doc_id % 2 = 0 THEN 'main' END AS branch FROM files", FILES)
 def submodules(spark, sf):
     key = F.col("doc_id").cast("string")

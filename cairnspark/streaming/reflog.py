@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnspark.model import FAILURES_TO_OPEN, OPEN_MS, SUCCESSES_TO_CLOSE
+from cairnspark.model import BUDGET_A_MINUTE, FAILURES_TO_OPEN, MOST_QUEUED, MOST_RUNNING, OPEN_MS, SHED_PERCENT, SUCCESSES_TO_CLOSE
 
 
 def run_to_end(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
@@ -41,48 +41,88 @@ def new_objects(objects: DataFrame) -> DataFrame:
 
 BREAKER_STATE = "failures int, successes int, open_until bigint"
 BREAKER_ROWS = "remote string, ts_ms bigint, ok boolean, allowed boolean, is_open boolean"
+BUDGET_STATE = "left int, until bigint"
+BUDGET_ROWS = "remote string, ts_ms bigint, ok boolean, allowed boolean, left int"
+GATE_STATE = "running int, queued int"
+GATE_ROWS = "remote string, ts_ms bigint, ok boolean, allowed boolean, running int, queued int"
 
 
-def breaker_step(state: tuple[int, int, int], ts: int, ok: bool) -> tuple[tuple[int, int, int], bool]:
-    """One call of a circuit breaker (failures, successes, open until; 0: closed): the next state, and whether it was allowed.
+def breaker_step(state: tuple[int, int, int], ts: int, ok: bool) -> tuple[tuple[int, int, int], tuple]:
+    """One call of a circuit breaker (failures, successes, open until; 0: closed): the next state, whether the call was
+    allowed, and whether the breaker is open after it.
 
     Open: calls are refused until the time is up. Then probes are let through: enough good ones close it, a bad one opens it
     again. Closed: a good call clears the count of failures, enough bad ones open it.
     """
     failures, successes, until = state
-    if until and ts < until:
-        return state, False
-    if ok:
-        if not until:
-            return (0, successes, 0), True
-        return ((0, 0, 0) if successes + 1 >= SUCCESSES_TO_CLOSE else (failures, successes + 1, until)), True
-    if until or failures + 1 >= FAILURES_TO_OPEN:
-        return (failures if until else failures + 1, 0, ts + OPEN_MS), True
-    return (failures + 1, successes, 0), True
-
-
-def fold_calls(remote: str, calls: pd.DataFrame, state: tuple[int, int, int]) -> tuple[pd.DataFrame, tuple[int, int, int]]:
-    rows = []
-    for ts, ok in calls.sort_values(["ts_ms", "ok"])[["ts_ms", "ok"]].itertuples(index=False):
-        state, allowed = breaker_step(state, int(ts), bool(ok))
-        rows.append((remote, int(ts), bool(ok), allowed, state[2] > int(ts)))
-    return pd.DataFrame(rows, columns=["remote", "ts_ms", "ok", "allowed", "is_open"]), state
-
-
-def circuit_breaker(calls: DataFrame) -> DataFrame:
-    """calls (remote, ts_ms, ok), a stream or a table, with what a breaker for each remote made of them.
+    allowed = not (until and ts < until)
+    if allowed and ok:
+        closing = until and successes + 1 >= SUCCESSES_TO_CLOSE
+        state = (0, successes, 0) if not until else (0, 0, 0) if closing else (failures, successes + 1, until)
+    elif allowed:
+        opening = until or failures + 1 >= FAILURES_TO_OPEN
+        state = (failures + (not until), 0, ts + OPEN_MS) if opening else (failures + 1, successes, 0)
+    return state, (allowed, state[2] > ts)
+
+
+def budget_step(state: tuple[int, int], ts: int, ok: bool) -> tuple[tuple[int, int], tuple]:
+    """One retry against a budget (left, until): it is filled up when its minute is over, and refuses when it is used up."""
+    left, until = state
+    if ts >= until:
+        left, until = BUDGET_A_MINUTE, ts + 60_000
+    allowed = left > 0
+    return (left - allowed, until), (allowed, left - allowed)
+
+
+def gate_step(state: tuple[int, int], ts: int, start: bool) -> tuple[tuple[int, int], tuple]:
+    """A start or an end of work at a load gate (running, queued): work runs, waits, or is shed close to the gate's limit. An end
+    lets one that waits run."""
+    running, queued = state
+    if not start:
+        running, queued = (running, queued - 1) if queued and running else (max(running - 1, 0), queued)
+        return (running, queued), (True, running, queued)
+    allowed = running + queued < (MOST_RUNNING + MOST_QUEUED) * SHED_PERCENT // 100 and (running < MOST_RUNNING or queued < MOST_QUEUED)
+    if allowed:
+        running, queued = (running + 1, queued) if running < MOST_RUNNING else (running, queued + 1)
+    return (running, queued), (allowed, running, queued)
+
+
+def by_remote(calls: DataFrame, step, start: tuple, state_schema: str, row_schema: str) -> DataFrame:
+    """calls (remote, ts_ms, ok), a stream or a table, with what a state machine for each remote made of them.
 
     On a stream the state of a remote is kept between batches; calls are taken in order of time within a batch.
     """
+    names = [c.split()[0] for c in row_schema.split(", ")]
+
+    def fold(remote: str, rows: pd.DataFrame, state: tuple) -> tuple[pd.DataFrame, tuple]:
+        out = []
+        for ts, ok in rows.sort_values(["ts_ms", "ok"])[["ts_ms", "ok"]].itertuples(index=False):
+            state, said = step(state, int(ts), bool(ok))
+            out.append((remote, int(ts), bool(ok), *said))
+        return pd.DataFrame(out, columns=names), state
+
     if not calls.isStreaming:
-        return calls.groupBy("remote").applyInPandas(lambda key, rows: fold_calls(key[0], rows, (0, 0, 0))[0], BREAKER_ROWS)
+        return calls.groupBy("remote").applyInPandas(lambda key, rows: fold(key[0], rows, start)[0], row_schema)
 
     def update(key, batches, state):
-        rows, now = fold_calls(key[0], pd.concat(list(batches)), state.get if state.exists else (0, 0, 0))
+        rows, now = fold(key[0], pd.concat(list(batches)), state.get if state.exists else start)
         state.update(now)
         yield rows
 
-    return calls.groupBy("remote").applyInPandasWithState(update, BREAKER_ROWS, BREAKER_STATE, "append", "NoTimeout")
+    return calls.groupBy("remote").applyInPandasWithState(update, row_schema, state_schema, "append", "NoTimeout")
+
+
+def circuit_breaker(calls: DataFrame) -> DataFrame:
+    return by_remote(calls, breaker_step, (0, 0, 0), BREAKER_STATE, BREAKER_ROWS)
+
+
+def retry_budget(calls: DataFrame) -> DataFrame:
+    return by_remote(calls, budget_step, (0, 0), BUDGET_STATE, BUDGET_ROWS)
+
+
+def load_gate(calls: DataFrame) -> DataFrame:
+    """ok marks the start of work, not ok its end."""
+    return by_remote(calls, gate_step, (0, 0), GATE_STATE, GATE_ROWS)
 
 
 def read_stream(spark: SparkSession, path: str) -> DataFrame:

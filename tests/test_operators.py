@@ -191,6 +191,21 @@ def test_circuit_breaker(spark):
         assert got[got.remote == r].sort_values("ts_ms").allowed.tolist() == brute_breaker(own)
 
 
+def test_retry_budget(spark):
+    rows = [("r", i * 1000, True) for i in range(150)]
+    got = reflog.retry_budget(spark.createDataFrame(rows, "remote string, ts_ms long, ok boolean")).orderBy("ts_ms").collect()
+    assert [r["allowed"] for r in got] == [i % 60 < 20 for i in range(150)]
+
+
+def test_load_gate(spark):
+    rows = [("r", i, True) for i in range(300)] + [("r", 1000 + i, False) for i in range(300)]
+    got = reflog.load_gate(spark.createDataFrame(rows, "remote string, ts_ms long, ok boolean")).orderBy("ts_ms").collect()
+    assert sum(r["allowed"] for r in got[:300]) == 288  # 90 % of 64 + 256
+    assert (got[299]["running"], got[299]["queued"]) == (64, 224)
+    assert (got[300]["running"], got[300]["queued"]) == (64, 223)
+    assert (got[-1]["running"], got[-1]["queued"]) == (0, 0)
+
+
 def test_breaker_stream_equals_batch(spark, tmp_path):
     rows = pd.DataFrame([(f"r{i % 4}", i * 900, i % 7 == 0) for i in range(600)], columns=["remote", "ts_ms", "ok"])
     for k in range(3):
