@@ -73,20 +73,19 @@ def reach(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     A frontier for each pair moves towards the roots; commits that it has seen are not visited again, and pairs that are
     decided leave. A commit is its own ancestor.
     """
-    open_ = pairs.distinct().select("ancestor", "descendant", F.col("descendant").alias("at"))
-    found = open_.where("ancestor = at").select("ancestor", "descendant")
-    seen = frontier = cut(open_.where("ancestor <> at"))
+    start = pairs.distinct().select("ancestor", "descendant", F.col("descendant").alias("at"))
     steps = edges.select(F.col("child").alias("at"), "parent")
+    pair = ["ancestor", "descendant"]
+    seen = frontier = cut(start)
     for _ in range(MAX_ROUNDS):
+        decided = frontier.where("at = ancestor").select(*pair).distinct()
+        moved = frontier.join(decided, pair, "left_anti").join(steps, "at").select(*pair, F.col("parent").alias("at")).distinct()
+        frontier = cut(moved.join(seen, [*pair, "at"], "left_anti"))
         if frontier.isEmpty():
             break
-        moved = cut(frontier.join(steps, "at").select("ancestor", "descendant", F.col("parent").alias("at")).distinct())
-        hits = moved.where("ancestor = at").select("ancestor", "descendant")
-        found = found.union(hits)
-        frontier = cut(moved.join(hits, ["ancestor", "descendant"], "left_anti").join(seen, ["ancestor", "descendant", "at"], "left_anti"))
         seen = seen.union(frontier)
-    found = found.withColumn("hit", F.lit(True)).distinct()
-    return pairs.join(found, ["ancestor", "descendant"], "left").select("ancestor", "descendant", F.coalesce("hit", F.lit(False)).alias("is_ancestor"))
+    found = seen.where("at = ancestor").select(*pair).distinct().withColumn("hit", F.lit(True))
+    return pairs.join(found, pair, "left").select(*pair, F.coalesce("hit", F.lit(False)).alias("is_ancestor"))
 
 
 def reachable(heads: DataFrame, edges: DataFrame, depth: int | None = None) -> DataFrame:
@@ -124,20 +123,18 @@ def fast_forward(heads: DataFrame, edges: DataFrame) -> DataFrame:
 def generations(commits: DataFrame, edges: DataFrame) -> DataFrame:
     """oid, generation: 0 for a commit without parents, else one more than its parents' largest.
 
-    Round by round, commits whose parents are all done are settled. A round for each generation, each over what is left.
+    Round k keeps the commits at the end of a path of k edges; the last round that has a commit is its generation. A round is one
+    join with the edges, over the commits that are left.
     """
-    left = cut(edges.select("child", "parent").distinct())
-    done = cut(commits.select("oid").join(left.select(F.col("child").alias("oid")), "oid", "left_anti"))
-    out, level = done.withColumn("generation", F.lit(0)), 0
-    while not left.isEmpty() and level < MAX_ROUNDS:
-        level += 1
-        rest = left.join(done.select(F.col("oid").alias("parent")), "parent", "left_anti").select("child", "parent")
-        ready = cut(left.select("child").distinct().join(rest.select("child").distinct(), "child", "left_anti").select(F.col("child").alias("oid")))
-        left = cut(rest)
-        out, done = out.union(ready.withColumn("generation", F.lit(level))), ready
-        if ready.isEmpty() and not left.isEmpty():
-            raise ValueError("the graph has a cycle")
-    return out
+    steps = edges.select(F.col("parent").alias("oid"), "child").distinct()
+    at = commits.select("oid").distinct()
+    reached = at.withColumn("generation", F.lit(0))
+    for level in range(1, MAX_ROUNDS):
+        at = cut(at.join(steps, "oid").select(F.col("child").alias("oid")).distinct())
+        if at.isEmpty():
+            return reached.groupBy("oid").agg(F.max("generation").alias("generation"))
+        reached = reached.union(at.withColumn("generation", F.lit(level)))
+    raise ValueError(f"the graph has a cycle, or a path of {MAX_ROUNDS} commits")
 
 
 def topological(edges_by_parents: DataFrame, positions: DataFrame, generations_: DataFrame) -> DataFrame:
