@@ -42,9 +42,9 @@ class Encoder(dict):
     def __missing__(self, part: str) -> bytes:
         if not part or part[0].isspace() or part[-1].isspace():
             raise Irregular
-        if len(self) >= CACHED_PARTS:
-            self.clear()
-        self[part] = ids = self.plain(" " + part)
+        ids = self.plain(" " + part)
+        if len(self) < CACHED_PARTS:  # the cache keeps what came first: frequent words come early
+            self[part] = ids
         return ids
 
     def ids(self, text: str) -> bytes:

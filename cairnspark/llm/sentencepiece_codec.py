@@ -12,6 +12,8 @@ pair merging it is the best path under the same scores, not the order of merges.
 from __future__ import annotations
 
 import re
+from array import array
+from collections.abc import Callable
 from functools import cache
 
 import ahocorasick
@@ -27,13 +29,23 @@ from cairnspark.llm.common import over_texts, text_or_empty
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0  # below the lowest score, for a character that has no piece
-CACHED, CACHED_CHARS = 300_000, 64
+CACHED, CACHED_CHARS = 400_000, 64  # stretches, and as many parts of them; their length
 
 
 def model_path() -> str:
     return public_tokenizers.path(MODEL)
 
 
+class Cache(dict):
+    """Asks for what it does not hold."""
+
+    def __init__(self, ask: Callable[[str], bytes]) -> None:
+        self.ask = ask
+
+    def __missing__(self, key: str) -> bytes:
+        return self.ask(key)
+
+
 class Codec:
     """Texts to ids and back. A mark in a text decodes to a space, as in the library; all other texts come back as they were."""
 
@@ -50,6 +62,7 @@ class Codec:
             else:
                 normal[piece] = (len(piece), model.get_score(i), i)
                 self.bytes_of.append(piece.replace(MARK, " ").encode())
+        self.pairs = {p[i : i + 2] for p in normal for i in range(len(p) - 1)}
         self.single = {p for p in normal if len(p) == 1}
         self.unknown = min((s for _, s, _ in normal.values()), default=0.0) - UNKNOWN_PENALTY
         self.whole = any(MARK in p.lstrip(MARK) for p in normal)
@@ -57,44 +70,67 @@ class Codec:
         for piece, value in normal.items():
             self.automaton.add_word(piece, value)
         self.automaton.make_automaton()
-        self.ids_of: dict[str, bytes] = {}
+        self.ids_of = Cache(self.add)
         self.score_of: dict[str, float] = {}
+        self.late: list[str] = []
+        self.parts: dict[str, tuple[bytes, float]] = {}
 
     def segment(self, chunk: str) -> tuple[list[int], float]:
-        """Ids and score of the best path; of equal scores, the one whose last piece is longest, at every position."""
+        """Ids and score of the best path; of equal scores, the one whose last piece is longest, at every position.
+
+        The automaton names the pieces that end at a character from the longest to the shortest, so the first of equals stays.
+        """
         n = len(chunk)
-        best, back, piece = [0.0] + [-np.inf] * n, [0] * (n + 1), [0] * (n + 1)
-        missing = iter([i + 1 for i, c in enumerate(chunk) if c not in self.single])
-        gap = next(missing, n + 1)  # the next position that follows a character without a piece
+        best, back, piece = [0.0] + [-np.inf] * n, [0] * (n + 1), [-1] * (n + 1)
+        gaps = [] if self.single.issuperset(chunk) else [i + 1 for i, c in enumerate(chunk) if c not in self.single]
+        gaps.append(n + 1)  # the next place behind a character without a piece
+        k = 0
         for last, (length, score, i) in self.automaton.iter(chunk):
-            end = last + 1
-            while gap < end:
-                if best[gap - 1] + self.unknown > best[gap]:
-                    best[gap], back[gap], piece[gap] = best[gap - 1] + self.unknown, gap - 1, -1
-                gap = next(missing, n + 1)
-            start = end - length
-            value = best[start] + score
-            if value > best[end] or (value == best[end] and start < back[end]):
-                best[end], back[end], piece[end] = value, start, i
-        while gap <= n:
-            if best[gap - 1] + self.unknown > best[gap]:
-                best[gap], back[gap], piece[gap] = best[gap - 1] + self.unknown, gap - 1, -1
-            gap = next(missing, n + 1)
+            while gaps[k] <= last:
+                self._bridge(gaps[k], best, back, piece)
+                k += 1
+            value = best[last + 1 - length] + score
+            if value > best[last + 1]:
+                best[last + 1], back[last + 1], piece[last + 1] = value, last + 1 - length, i
+        for gap in gaps[k:-1]:
+            self._bridge(gap, best, back, piece)
         ids, at = [], n
         while at:
-            ids += [piece[at]] if piece[at] >= 0 else [self.byte_id[b] for b in reversed(chunk[back[at] : at].encode())]
+            if piece[at] >= 0:
+                ids.append(piece[at])
+            else:
+                ids += [self.byte_id[b] for b in reversed(chunk[back[at] : at].encode())]
             at = back[at]
-        return ids[::-1], best[n]
-
-    def _add(self, key: str, chunk: str) -> tuple[bytes, float]:
-        ids, score = self.segment(chunk)
-        found = np.array(ids, "<i4").tobytes()
-        if len(chunk) <= CACHED_CHARS:
-            if len(self.ids_of) >= CACHED:
-                self.ids_of.clear()
-                self.score_of.clear()
-            self.ids_of[key], self.score_of[key] = found, score
-        return found, score
+        ids.reverse()
+        return ids, best[n]
+
+    def _bridge(self, gap: int, best: list[float], back: list[int], piece: list[int]) -> None:
+        if best[gap - 1] + self.unknown > best[gap]:
+            best[gap], back[gap], piece[gap] = best[gap - 1] + self.unknown, gap - 1, -1
+
+    def _part(self, part: str) -> tuple[bytes, float]:
+        known = self.parts.get(part)
+        if known is None:
+            path, score = self.segment(part)
+            known = (array("i", path).tobytes(), score)
+            if len(self.parts) < CACHED and len(part) <= CACHED_CHARS:
+                self.parts[part] = known
+        return known
+
+    def add(self, key: str) -> bytes:
+        """Ids of a stretch that is not in the cache; its score is noted too.
+
+        It is cut once more where two characters stand side by side in no piece, above all before a last comma or stop; most of
+        the parts are in the cache. The cache keeps what came first, as frequent words come early; later entries last for a text.
+        """
+        chunk = key if key[:1] == MARK else MARK + key
+        cuts = [0, *(i for i in range(1, len(chunk)) if chunk[i - 1 : i + 1] not in self.pairs), len(chunk)]
+        found = [self._part(chunk[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)]
+        if len(self.ids_of) >= CACHED or len(chunk) > CACHED_CHARS:
+            self.late.append(key)
+        self.ids_of[key] = b"".join([ids for ids, _ in found])
+        self.score_of[key] = sum([score for _, score in found])
+        return self.ids_of[key]
 
     def encode(self, text: str) -> tuple[bytes, float]:
         """Ids as little-endian 32-bit integers, and the score; an empty text has none."""
@@ -104,15 +140,12 @@ class Codec:
         if not self.whole:
             regular = "  " not in text and MARK not in text and text[0] != " " and text[-1] != " "
             chunks = text.split(" ") if regular else re.findall(f"{MARK}+[^{MARK}]*", chunks[0])
-        out, total = [], 0.0
-        for key in chunks:
-            ids = self.ids_of.get(key)
-            score = self.score_of[key] if ids is not None else 0.0
-            if ids is None:
-                ids, score = self._add(key, key if key[:1] == MARK else MARK + key)
-            out.append(ids)
-            total += score
-        return b"".join(out), total
+        ids = b"".join(map(self.ids_of.__getitem__, chunks))
+        total = sum(map(self.score_of.__getitem__, chunks))
+        for key in self.late:
+            del self.ids_of[key], self.score_of[key]
+        self.late.clear()
+        return ids, total
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids, without the space that encoding puts first; bytes that are no UTF-8 become U+FFFD, unknown ids nothing."""

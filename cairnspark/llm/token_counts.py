@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cairnspark.llm.byte_bpe import encoder, vocabulary_path
-from cairnspark.llm.common import over_texts, text_or_empty
+from cairnspark.llm.common import keep, over_texts, text_or_empty
 
 BLOCK = 1024  # lengths that one window of the running sums holds
 
@@ -29,8 +29,8 @@ def lengths(docs: DataFrame, text_col: str = "text", vocabulary: str | None = No
 
 
 def histogram(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """(length, n_docs), counted before the shuffle."""
-    return lengths(docs, text_col, vocabulary).groupBy("length").agg(F.count("*").alias("n_docs"))
+    """(length, n_docs), counted before the shuffle. It is small and read more than once, so it is kept."""
+    return keep(lengths(docs, text_col, vocabulary).groupBy("length").agg(F.count("*").alias("n_docs")), "histogram")
 
 
 def by_limit(hist: DataFrame) -> DataFrame:
