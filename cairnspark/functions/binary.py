@@ -152,3 +152,38 @@ def pkt_refs(data: pd.Series) -> pd.Series:
         return out
 
     return data.map(lambda b: None if b is None else refs(bytes(b)))
+
+
+# Channels of a multiplexed response, by the first byte of a payload.
+PACK_BAND, PROGRESS_BAND, ERROR_BAND = 1, 2, 3
+
+
+def bands(data: bytes) -> dict:
+    """What a captured response holds, by channel. A pack may also stand outside pkt-lines, alone or behind them: it goes on to the
+    end. No pack gives null; a line that breaks off ends the response."""
+    parts: dict[int, list[bytes]] = {PACK_BAND: [], PROGRESS_BAND: [], ERROR_BAND: []}
+    at = 0
+    while at + 4 <= len(data):
+        head = data[at : at + 4]
+        if head == b"PACK":
+            parts[PACK_BAND].append(data[at:])
+            break
+        try:
+            size = max(int(head, 16), 4)
+        except ValueError:
+            break
+        payload = data[at + 4 : at + size]
+        if len(payload) < size - 4:
+            break
+        if payload[:4] == b"PACK":
+            parts[PACK_BAND].append(payload)
+        elif payload and payload[0] in parts:
+            parts[payload[0]].append(payload[1:])
+        at += size
+    pack, progress, error = (b"".join(parts[k]) for k in (PACK_BAND, PROGRESS_BAND, ERROR_BAND))
+    return {"pack": pack or None, "progress": progress.decode("utf-8", "replace"), "error": error.decode("utf-8", "replace")}
+
+
+@F.pandas_udf(T.StructType([T.StructField("pack", T.BinaryType()), T.StructField("progress", T.StringType()), T.StructField("error", T.StringType())]))
+def split_bands(data: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([bands(b"" if b is None else bytes(b)) for b in data], columns=["pack", "progress", "error"])

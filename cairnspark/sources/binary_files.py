@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnspark.functions.binary import apply_delta
+from cairnspark.functions.binary import apply_delta, bands
 from cairnspark.model import OBJECT_TYPES
 from cairnspark.sources.files import binary_files
 
@@ -127,6 +127,16 @@ def packs(spark: SparkSession, root: str) -> DataFrame:
     return _read(spark, root, "*.pack", r"/([^/]+)\.pack$", frame, "nth int, offset bigint, type string, size bigint, data binary, oid string").withColumnRenamed("file", "pack")
 
 
+def responses(spark: SparkSession, root: str, glob: str = "*.response") -> DataFrame:
+    """file, nth, offset, type, size, data, oid of the packs in captured responses; one without a pack gives no rows."""
+
+    def rows(content: bytes) -> pd.DataFrame:
+        pack = bands(content)["pack"]
+        return pd.DataFrame(pack_objects(pack) if pack else [], columns=["nth", "offset", "type", "size", "data", "oid"]).astype({"nth": "int32", "offset": "int64", "size": "Int64"})
+
+    return _read(spark, root, glob, "/([^/]+)$", rows, "nth int, offset bigint, type string, size bigint, data binary, oid string")
+
+
 def staging_files(spark: SparkSession, root: str, glob: str = "index") -> DataFrame:
     """file, path, stage, oid, mode, size, mtime of all staging files below root."""
     frame = lambda content: pd.DataFrame(staged(content), columns=["path", "stage", "oid", "mode", "size", "mtime"])
