@@ -9,6 +9,7 @@ pieces of that length, in parallel and without meeting in one group.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,11 +26,11 @@ from cairnspark.llm.common import bounded_batches, keep, text_or_empty
 CAPACITY = 1024
 END_ID = 2
 NODES = 12_000  # branch-and-bound nodes; the incumbent stands if no better packing is found within them
-BRANCHES = 4  # fillings tried at a node
-ITEMS = 4  # of a filling at most
+STEPS = 40  # partial fillings looked at for each of these nodes, on the average; the search ends there too
 
 Filling = tuple[int, ...]
 Pattern = tuple[Filling, int]  # lengths in a sequence, number of such sequences
+Items = tuple[int, int]  # a length, number of such items in a filling
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
@@ -55,83 +56,122 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
     return [(tuple(c), n) for groups in rooms.values() for c, n in groups]
 
 
-def dominates(b: Filling, a: Filling) -> bool:
-    """True if the items of a fit into the items of b taken as boxes, so that b uses the room at least as well."""
-    if not a:
+def spread(sums: int, length: int, times: int) -> int:
+    """The sums, a bit each, with up to so many items of a length added."""
+    step = 1
+    while times > 0:
+        n = min(step, times)
+        sums |= sums << length * n
+        times, step = times - n, 2 * step
+    return sums
+
+
+def dominated(taken: tuple[Items, ...], sums: int, have: list[int], lengths: int, slack: int, above: int) -> bool:
+    """True if an item over `above` that is left fits in the place of some items of the filling, or of none, so that the room is
+    used at least as well. Every dominated filling has such an exchange.
+
+    sums: bits of what items of the filling add up to; lengths: bits of the lengths that there are.
+    """
+    own = 0
+    for length, _ in taken:
+        own |= 1 << length
+    if spread(sums, 1, slack) & (lengths & ~own) >> above + 1 << above + 1:
         return True
-    return any(x >= a[0] and dominates(tuple(sorted((*b[:i], x - a[0], *b[i + 1 :]), reverse=True)), a[1:]) for i, x in enumerate(b))
+    for length, n in taken:
+        if length > above and have[length] > n:
+            others = 1
+            for other, m in taken:
+                others = others if other == length else spread(others, other, m)
+            if spread(others, 1, slack) >> length & 1:
+                return True
+    return False
 
 
-def fillings(room: int, lengths: np.ndarray, have: np.ndarray, waste: int) -> list[Filling]:
-    """Undominated fillings of the room beside the largest document that waste no more than allowed, fullest first.
+def fillings(room: int, have: list[int], waste: int, steps: list[int]) -> Iterator[Filling]:
+    """All undominated fillings of the room that waste no more than allowed, fullest first and of these the largest items first.
 
-    lengths: those that are left, ascending; have: how many of each length. A filling is a first item, any that fits, and then
-    the largest item that still fits, again and again: with smaller ones in its place it would be dominated. A single item
-    stands beside them all.
+    have: how many of each length are left. A filling takes as many items as fit. They are made as they are asked for; steps[0] is
+    what may still be tried on the way.
     """
-    fit = lengths[: np.searchsorted(lengths, room, "right")]
-    if not len(fit):
-        return [()] if room <= waste else []
-    rows = fit[:, None]
-    rest = room - fit
-    for _ in range(ITEMS - 1):
-        top = np.minimum(rest, rows[:, -1])
-        at = np.searchsorted(fit, top, "right") - 1
-        item = np.where((at >= 0) & (rows[:, -1] > 0), fit[np.maximum(at, 0)], 0)
-        short = have[item] <= (rows == item[:, None]).sum(1)  # all of this length are in the filling already
-        item = np.where(short & (at > 0), fit[np.maximum(at - 1, 0)], np.where(short, 0, item))
-        item = np.where(have[item] > (rows == item[:, None]).sum(1), item, 0)
-        rows, rest = np.hstack([rows, item[:, None]]), rest - item
-    out: list[Filling] = []
-    for i in np.argsort(rest * (ITEMS + 1) + (rows > 0).sum(1), kind="stable"):
-        filling = tuple(x for x in rows[i].tolist() if x)
-        if rest[i] > waste or len(out) == BRANCHES:
-            break
-        if not any(dominates(f, filling) for f in out):
-            out.append(filling)
-    return out
+    fit = [k for k in range(1, min(room, len(have) - 1) + 1) if have[k]]
+    below, whole, bits = [1], (1 << room + 1) - 1, 0  # sums of the smallest lengths
+    for k in fit:
+        below.append(spread(below[-1], k, min(have[k], room // k)) & whole)
+        bits |= 1 << k
+
+    def complete(i: int, left: int, taken: tuple[Items, ...], sums: int, slack: int) -> Iterator[Filling]:
+        if not left:
+            if not dominated(taken, sums, have, bits, slack, 0):
+                yield tuple(k for k, n in taken for _ in range(n))
+            return
+        j = min(i, bisect_right(fit, left))
+        while j and below[j] >> left & 1 and steps[0] > 0:
+            k = fit[j - 1]
+            for n in range(min(have[k], left // k), 0, -1):
+                if below[j - 1] >> left - k * n & 1:
+                    steps[0] -= 1
+                    more, reached = (*taken, (k, n)), spread(sums, k, n)
+                    if not dominated(more, reached, have, bits, slack, k):
+                        yield from complete(j - 1, left - k * n, more, reached, slack)
+            j -= 1
+
+    for total in range(room, max(room - waste, 0) - 1, -1):
+        if below[-1] >> total & 1:
+            yield from complete(len(fit), total, (), 1, room - total)
 
 
 def bin_completion(counts: dict[int, int], capacity: int, nodes: int = NODES) -> list[Pattern]:
     """As few sequences as found: best fit first, then branch and bound on fillings around the largest document left.
 
-    A filling is applied as often as its items last. A branch is left as soon as its waste rules out a packing with one sequence
-    less than the incumbent; a packing that meets the bound ceil(total / capacity) ends the search.
+    A filling is applied as often as its items last; other branches apply it half as often, and once. A branch is left as soon as
+    its waste rules out a packing with one sequence less than the incumbent; a packing that meets the bound
+    ceil(total / capacity) ends the search.
     """
     best = best_fit({k: v for k, v in counts.items() if v}, capacity)
-    have = np.zeros(capacity + 1, np.int64)
-    for k, v in counts.items():
-        have[k] = v
-    total = int((have * np.arange(capacity + 1)).sum())
-    used, least = sum(n for _, n in best), -(-total // capacity)
-    stack: list[tuple[np.ndarray, tuple | None, int]] = [(have, None, 0)]
+    first = [counts.get(k, 0) for k in range(capacity + 1)]
+    total = sum(k * n for k, n in enumerate(first))
+    used, least, steps = sum(n for _, n in best), -(-total // capacity), [STEPS * nodes]
+
+    def choices(have: list[int], allowed: int) -> Iterator[tuple[Filling, int]]:
+        top = max(k for k, n in enumerate(have) if n)
+        rest = have.copy()
+        rest[top] -= 1
+        for filling in fillings(capacity - top, rest, allowed, steps):
+            pattern = (top, *filling)
+            times = min(have[k] // n for k, n in Counter(pattern).items())
+            waste = capacity - sum(pattern)
+            if waste:
+                times = max(1, min(times, allowed // waste))
+            for n in dict.fromkeys((times, -(-times // 2), 1)):
+                yield pattern, n
+
+    stack: list[tuple[list[int], tuple | None, int, Iterator]] = []
+    if used > least:
+        stack.append((first, None, 0, choices(first, (used - 1) * capacity - total)))
     while stack and nodes and used > least:
+        have, plan, wasted, more = stack[-1]
+        pattern, times = next(more, ((), 0))
+        if not times:
+            stack.pop()
+            continue
         nodes -= 1
-        have, plan, wasted = stack.pop()
+        wasted += (capacity - sum(pattern)) * times
         allowed = (used - 1) * capacity - total - wasted
         if allowed < 0:
+            if times == 1:  # those that follow waste as much
+                stack.pop()
             continue
-        lengths = np.flatnonzero(have)
-        if not len(lengths):
-            best = []
-            while plan:
-                plan, pattern = plan
-                best.append(pattern)
-            used = sum(n for _, n in best)
+        left, plan = have.copy(), (plan, (pattern, times))
+        for k in pattern:
+            left[k] -= times
+        if any(left):
+            stack.append((left, plan, wasted, choices(left, allowed)))
             continue
-        top = int(lengths[-1])
-        rest = have.copy()
-        rest[top] -= 1
-        for filling in reversed(fillings(capacity - top, np.flatnonzero(rest), rest, allowed)):
-            pattern = Counter((top, *filling))
-            times = min(int(have[k]) // n for k, n in pattern.items())
-            waste = capacity - top - sum(filling)
-            if waste:
-                times = max(1, min(times, allowed // waste))
-            left = have.copy()
-            for k, n in pattern.items():
-                left[k] -= n * times
-            stack.append((left, (plan, ((top, *filling), times)), wasted + waste * times))
+        best = []
+        while plan:
+            plan, one = plan
+            best.append(one)
+        used = sum(n for _, n in best)
     return best
 
 

@@ -221,6 +221,33 @@ def test_bin_completion_beats_best_fit():
     assert sum(n for _, n in packing.bin_completion({5: 2, 4: 2, 3: 2}, 12)) == 2
 
 
+def test_fillings_of_many_documents():
+    assert sum(n for _, n in packing.best_fit({171: 60, 170: 60}, 1024)) == 22
+    assert sum(n for _, n in packing.bin_completion({171: 60, 170: 60}, 1024)) == 20  # six each: four of one and two of the other
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        room, have = int(rng.integers(5, 24)), [0] * 25
+        for k in rng.integers(1, 13, rng.integers(1, 8)).tolist():
+            have[k] += 1
+
+        def every(top, left):
+            yield ()
+            for k in range(min(top, left), 0, -1):
+                if have[k]:
+                    have[k] -= 1
+                    rest = list(every(k, left - k))
+                    have[k] += 1
+                    yield from ((k, *x) for x in rest)
+
+        def fits(a, boxes):
+            return not a or any(x >= a[0] and fits(a[1:], (*boxes[:i], x - a[0], *boxes[i + 1 :])) for i, x in enumerate(boxes))
+
+        all_ = sorted(set(every(12, room)))
+        want = {a for a in all_ if not any(a != b and fits(a, b) for b in all_)}
+        got = list(packing.fillings(room, have, room, [10**6]))
+        assert len(got) == len(want) and set(got) == want and [sum(x) for x in got] == sorted(map(sum, got), reverse=True)
+
+
 def test_token_counts(spark, odd, empty):
     exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     docs = odd.select("text").union(table(spark, SF, "documents").select("text"))
