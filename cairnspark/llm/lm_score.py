@@ -32,7 +32,7 @@ HELD_OUT = (7, 2)  # rows with crc32(doc_id as text) mod 7 = 2 are not learned f
 #: Words with more than 1/HOT_WORDS of all tokens are fewer than HOT_WORDS; they are broadcast, the others are joined.
 HOT_WORDS = 100_000
 FLUSH = 200_000  # distinct words that a task counts before it passes them on
-LONG = 48  # code points from which words are spelled one by one
+LONG = 48  # code points up to which words are spelled together, longer ones one by one
 BLOCK_WORDS = 40_000  # words that a task spells at a time
 CELLS = 1 << 20  # piece positions that a block of words has at a time
 NONE = -np.inf
@@ -190,20 +190,46 @@ class Lattice:
             out[np.array(short)[part]] = self._forward(logs, into, *chars.shape)[-1]
         return out
 
-    def _spell_long(self, word: str) -> float:
-        """The same recursion in one pass over a word of any length."""
-        alpha, id_of, longest, log = [0.0], self.known.id_of, self.known.longest, self.log
+    def _into(self, word: str, end: int) -> list[tuple[int, int, float]]:
+        """Edges of a word that end there: start, piece (0 for bytes), log weight."""
+        id_of, log = self.known.id_of, self.log
+        out = [(start, i, log[i]) for start in range(max(0, end - self.known.longest), end) if (i := id_of.get(word[start:end]))]
+        if word[end - 1] not in id_of:
+            out.append((end - 1, 0, len(word[end - 1].encode()) * self.known.log_byte))
+        return out
+
+    def _forward_long(self, word: str) -> list[float]:
+        alpha = [0.0]
         for end in range(1, len(word) + 1):
-            terms = [alpha[start] + log[i] for start in range(max(0, end - longest), end) if (i := id_of.get(word[start:end]))]
-            if word[end - 1] not in id_of:
-                terms.append(alpha[end - 1] + len(word[end - 1].encode()) * self.known.log_byte)
+            terms = [alpha[start] + weight for start, _, weight in self._into(word, end)]
             top = max(terms, default=NONE)
             alpha.append(top + float(np.log(sum(np.exp(t - top) for t in terms))) if top > NONE else NONE)
-        return alpha[-1]
+        return alpha
+
+    def _spell_long(self, word: str) -> float:
+        """The same recursion in one pass over a word of any length."""
+        return self._forward_long(word)[-1]
+
+    def _expect_long(self, word: str, out: np.ndarray) -> None:
+        """Adds the expected uses of pieces in a word of any length to out."""
+        alpha = self._forward_long(word)
+        if alpha[-1] == NONE:
+            return
+        beta = [NONE] * len(word) + [0.0]
+        for end in range(len(word), 0, -1):
+            if beta[end] == NONE:
+                continue
+            for start, i, weight in self._into(word, end):
+                after = weight + beta[end]
+                beta[start] = float(np.logaddexp(beta[start], after))
+                out[i] += np.exp(alpha[start] + after - alpha[-1])
 
     def expect(self, words: list[str]) -> np.ndarray:
         """Expected number of times each piece is used to spell these words, by a forward and a backward pass."""
         out = np.zeros(len(self.log))
+        for w in words:
+            if len(w) > LONG:
+                self._expect_long(MARK + w, out)
         for _, chars in blocks([w for w in words if len(w) <= LONG], self.known.longest):
             n, width = chars.shape
             logs, into, grid = self._edges(chars)

@@ -365,3 +365,34 @@ def test_lattice_sums_all_segmentations():
                 expected[i] += q / total
     assert np.allclose(lattice.expect(words), expected)
     assert known.prior.sum() + 256 * math.exp(known.log_byte) == pytest.approx(1)
+
+
+def test_long_words_are_learned(spark):
+    path = lm_score.model_path()
+    known = lm_score.pieces(path)
+    lattice = lm_score.Lattice(known, known.prior)
+    word = "https://example.org/日本語/" + "thntblere%C3" * 5
+    assert len(word) > lm_score.LONG
+
+    def brute(lattice, marked):
+        """Sums over prefixes and suffixes in plain probabilities."""
+        weight = lambda a, b: math.exp(lattice.log[known.id_of[marked[a:b]]]) if marked[a:b] in known.id_of else math.exp(known.log_byte * len(marked[a].encode())) if b == a + 1 else 0.0
+        n = len(marked)
+        head, tail = [1.0] + [0.0] * n, [0.0] * n + [1.0]
+        for b in range(1, n + 1):
+            head[b] = sum(head[a] * weight(a, b) for a in range(b))
+        for a in range(n - 1, -1, -1):
+            tail[a] = sum(weight(a, b) * tail[b] for b in range(a + 1, n + 1))
+        out = np.zeros(len(known.strings))
+        for a in range(n):
+            for b in range(a + 1, n + 1):
+                if marked[a:b] in known.id_of:
+                    out[known.id_of[marked[a:b]]] += head[a] * weight(a, b) * tail[b] / head[n]
+        return out
+
+    want = brute(lattice, lm_score.MARK + word)
+    assert want.sum() > 10 and np.allclose(lattice.expect([word]), want)
+    assert np.allclose(lattice.expect([word, "the"]), want + lattice.expect(["the"]))
+    mass = want + lm_score.PRIOR_PIECES * known.prior
+    words = spark.createDataFrame([(bytearray(word.encode()), 1)], "word binary, c long")
+    assert np.allclose(lm_score.learn(words, path, steps=1), mass / mass.sum() * known.prior.sum())
