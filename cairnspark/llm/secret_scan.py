@@ -56,18 +56,25 @@ def ordered(spans: list[Span]) -> list[Span]:
 
 
 def candidates(text: str, taken: list[Span]) -> list[tuple[int, int]]:
-    """Long tokens with a digit, or with both cases inside, that no fixed pattern touches."""
-    covered = sorted((a, b) for _, a, b in taken)
+    """Long tokens with a digit, or with both cases inside; of a token that fixed patterns touch, each stretch that they leave."""
+    covered: list[list[int]] = []
+    for a, b in sorted((a, b) for _, a, b in taken):
+        if covered and a <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], b)
+        else:
+            covered.append([a, b])
     out, k = [], 0
     for m in TOKEN.finditer(text):
         token, (start, end) = m[0], m.span()
         while k < len(covered) and covered[k][1] <= start:
             k += 1
-        if any(a < end and start < b for a, b in covered[k:]):
-            continue
         if any(c in token for c in string.digits) or (len(token) >= 20 and token[1:].lower() != token[1:] and token.upper() != token):
-            out.append((start, end))
-    return out
+            at, i = start, k
+            while i < len(covered) and covered[i][0] < end:
+                out.append((at, covered[i][0]))
+                at, i = covered[i][1], i + 1
+            out.append((at, end))
+    return [(a, b) for a, b in out if any(c.isalnum() for c in text[a:b])]
 
 
 def windows(text: str, start: int, end: int) -> list[np.ndarray]:

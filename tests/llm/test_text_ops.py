@@ -169,6 +169,22 @@ def test_secrets(odd, empty, spark, rows):
     assert [r.text for r in left.where("doc_id = 12").collect()] == ["[secret] [secret] [secret]"]
 
 
+def test_secrets_beside_fixed_patterns():
+    net, commit = secret_scan.trained(), "0123456789abcdef" * 2 + "01234567"
+    text = f"https://bob:S3cr3tPassw0rd99@git.example.com/x/commit/{commit} token=Ab12Cd34%2FEf56Gh78Ij90Kl key=ab12{commit}:Zx81Kq72Wv63Ut54"
+    base = secret_scan.ordered(secret_scan.base_spans(text))
+    spans = next(secret_scan.scan_texts([text], net))
+    assert [s[:3] for s in spans if s[0] != "model"] == base
+    clean = secret_scan.redact_text(text, spans, "[secret]")
+    assert not any(x in clean for x in ("S3cr3tPassw0rd99", "Ef56Gh78Ij90Kl", "Zx81Kq72Wv63Ut54", commit))
+    covered = {i for _, a, b in base for i in range(a, b)}
+    own = [set(range(a, b)) for a, b in secret_scan.candidates(text, base)]
+    assert not any(x & covered for x in own)
+    assert all(i in covered or any(i in x for x in own) for m in secret_scan.TOKEN.finditer(text) for i in range(*m.span()) if text[i].isalnum())
+    plain = f"see https://git.example.com/x/commit/{commit}/v2/a1"
+    assert secret_scan.redact_text(plain, next(secret_scan.scan_texts([plain], net)), "[secret]") == "see https://git.example.com/x/commit/[secret]/v2/a1"
+
+
 def test_network():
     net = secret_scan.Net.fresh(np.random.default_rng(0))
     x, y = secret_scan.findings(6, 3)
