@@ -16,6 +16,7 @@ from cairnspark.functions.hashing import header, object_id
 
 # Format of a pack index.
 IDX_MAGIC, IDX_VERSION, FANOUT_BYTES, TRAILER_BYTES = b"\xfftOc", 2, 1024, 64
+LARGE_OFFSET = 1 << 31  # from here on, an offset is a place in the table of 64-bit offsets
 
 
 def binary_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
@@ -73,7 +74,16 @@ def pack_indexes(spark: SparkSession, root: str) -> DataFrame:
                 at, n = 8 + FANOUT_BYTES, int.from_bytes(content[4 + FANOUT_BYTES : 8 + FANOUT_BYTES])
                 width = next(w for w in (32, 20, 48, 64) if at + n * (w + 8) <= len(content) - 2 * min(w, TRAILER_BYTES) and (len(content) - at - n * (w + 8) - 2 * w) % 8 == 0)
                 crc, offset = at + n * width, at + n * (width + 4)
-                rows = [(pack, content[at + i * width : at + (i + 1) * width].hex(), int.from_bytes(content[crc + 4 * i : crc + 4 * i + 4]), int.from_bytes(content[offset + 4 * i : offset + 4 * i + 4])) for i in range(n)]
+                large, end = offset + 4 * n, len(content) - 2 * min(width, TRAILER_BYTES)
+                rows = []
+                for i in range(n):
+                    value = int.from_bytes(content[offset + 4 * i : offset + 4 * i + 4])
+                    if value >= LARGE_OFFSET:
+                        k = large + 8 * (value - LARGE_OFFSET)
+                        if k + 8 > end:
+                            raise ValueError(f"{pack} has an offset beyond its table of large offsets")
+                        value = int.from_bytes(content[k : k + 8])
+                    rows.append((pack, content[at + i * width : at + (i + 1) * width].hex(), int.from_bytes(content[crc + 4 * i : crc + 4 * i + 4]), value))
                 yield pd.DataFrame(rows, columns=["pack", "oid", "crc32", "offset"])
 
     return files.mapInPandas(open_, "pack string, oid string, crc32 bigint, offset bigint")
@@ -81,7 +91,8 @@ def pack_indexes(spark: SparkSession, root: str) -> DataFrame:
 
 def bundle_refs(spark: SparkSession, root: str) -> DataFrame:
     """file, oid, name of the refs in the headers of all *.bundle files."""
-    text = F.decode(F.substring("content", 1, 1 << 20), "ISO-8859-1")
+    head = F.udf(lambda content: bytes(content).partition(b"\n\n")[0] + b"\n\n", "binary")("content")  # up to the first empty line
+    text = F.decode(head, "ISO-8859-1")
     files = binary_files(spark, root, "*.bundle").select("path", F.explode(parse_bundle_header(text)).alias("r"))
     return files.select(F.col("path").alias("file"), "r.oid", "r.name")
 

@@ -248,3 +248,22 @@ def test_ref_files_and_ini(spark, tmp_path):
     config = spark.createDataFrame([("c", '[core]\n\tbare = false\n[remote "origin"]\r\n url = /srv/x \r\n# no = key\n')], "file string, text string")
     assert [tuple(r) for r in files.remotes(config).collect()] == [("origin", "/srv/x")]
     assert files.ini(config).count() == 2
+
+
+def test_large_pack_indexes(spark, tmp_path):
+    ids = sorted(hashlib.sha256(str(i).encode()).digest() for i in range(5))
+    fan = b"".join(sum(x[0] <= b for x in ids).to_bytes(4, "big") for b in range(256))
+    places = [12, (1 << 31) + 1, 40, 1 << 31, (1 << 31) - 1]
+    large = [(5 << 32) + 7, 3 << 31]
+    body = b"\xfftOc" + (2).to_bytes(4, "big") + fan + b"".join(ids) + bytes(20) + b"".join(x.to_bytes(4, "big") for x in places) + b"".join(x.to_bytes(8, "big") for x in large) + bytes(64)
+    (tmp_path / "big.idx").write_bytes(body)
+    got = {r["oid"]: r["offset"] for r in files.pack_indexes(spark, str(tmp_path)).collect()}
+    assert [got[x.hex()] for x in ids] == [12, 3 << 31, 40, (5 << 32) + 7, (1 << 31) - 1]
+
+
+def test_long_bundle_headers(spark, tmp_path):
+    refs = [(f"{i:064x}", f"refs/heads/topic-{i}-" + "x" * 60) for i in range(9000)]
+    head = codec.BUNDLE_TITLE + "\n" + "".join(f"{o} {n}\n" for o, n in refs) + "\n"
+    assert len(head) > 1 << 20
+    (tmp_path / "a.bundle").write_bytes(head.encode() + b"PACK\xff\n\n" + bytes(100))
+    assert [(r["oid"], r["name"]) for r in files.bundle_refs(spark, str(tmp_path)).collect()] == refs
