@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,7 +78,7 @@ def reach(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     steps = edges.select(F.col("child").alias("at"), "parent")
     pair = ["ancestor", "descendant"]
     seen = frontier = cut(start)
-    for _ in range(MAX_ROUNDS):
+    while True:  # each round visits commits that were not seen, so there is an end
         decided = frontier.where("at = ancestor").select(*pair).distinct()
         moved = frontier.join(decided, pair, "left_anti").join(steps, "at").select(*pair, F.col("parent").alias("at")).distinct()
         frontier = cut(moved.join(seen, [*pair, "at"], "left_anti"))
@@ -92,7 +93,7 @@ def reachable(heads: DataFrame, edges: DataFrame, depth: int | None = None) -> D
     """oid of all commits that heads (oid) reach, themselves included; depth limits the number of hops, as a shallow copy does."""
     seen = frontier = cut(heads.select("oid").distinct())
     steps = edges.select(F.col("child").alias("oid"), "parent")
-    for _ in range(MAX_ROUNDS if depth is None else depth):
+    for _ in count() if depth is None else range(depth):
         frontier = cut(frontier.join(steps, "oid").select(F.col("parent").alias("oid")).distinct().join(seen, "oid", "left_anti"))
         if frontier.isEmpty():
             break

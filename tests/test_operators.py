@@ -267,3 +267,11 @@ def test_long_bundle_headers(spark, tmp_path):
     assert len(head) > 1 << 20
     (tmp_path / "a.bundle").write_bytes(head.encode() + b"PACK\xff\n\n" + bytes(100))
     assert [(r["oid"], r["name"]) for r in files.bundle_refs(spark, str(tmp_path)).collect()] == refs
+
+
+def test_reach_has_no_limit(spark, monkeypatch):
+    monkeypatch.setattr(graph, "MAX_ROUNDS", 2)
+    edges = spark.createDataFrame([(f"c{i}", f"c{i - 1}", 1) for i in range(1, 6)], "child string, parent string, nth int")
+    pairs = spark.createDataFrame([("c0", "c5")], "ancestor string, descendant string")
+    assert [r["is_ancestor"] for r in graph.reach(pairs, edges).collect()] == [True]
+    assert graph.reachable(spark.createDataFrame([("c5",)], "oid string"), edges).count() == 6
