@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+import zlib
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cairnspark.model import BACKOFF_BASE_MS, BACKOFF_CAP_MS, BACKOFF_DOUBLINGS
+from cairnspark.model import BACKOFF_BASE_MS, BACKOFF_CAP_MS, BACKOFF_DOUBLINGS, BACKOFF_JITTER, RETRYABLE
 
 # Formats.
 SIGNATURE_PATTERN = r"^(.*) <(.*)> (-?\d+) ([+-])(\d{2})(\d{2})$"
@@ -35,18 +37,29 @@ def parse_signature(text: Column) -> Column:
     return F.when(text.rlike(SIGNATURE_PATTERN), found)
 
 
-def commit_text(tree: Column, parents: Column, author: Column, committer: Column, message: Column) -> Column:
-    """A commit's payload: tree, parents, author and committer lines, an empty line, the message."""
+def commit_text(tree: Column, parents: Column, author: Column, committer: Column, message: Column, encoding: Column | None = None, gpg_signature: Column | None = None) -> Column:
+    """A commit's payload: tree, parents, author and committer lines, encoding and signature if there are any, an empty line, the
+    message. Further lines of a signature begin with a blank."""
     lines = F.concat(F.array(F.concat(F.lit("tree "), tree)), F.transform(parents, lambda p: F.concat(F.lit("parent "), p)), F.array(F.concat(F.lit("author "), author), F.concat(F.lit("committer "), committer)))
+    for key, value in (("encoding ", encoding), ("gpgsig ", gpg_signature)):
+        if value is not None:
+            lines = F.concat(lines, F.array_compact(F.array(F.concat(F.lit(key), F.replace(value, F.lit("\n"), F.lit("\n "))))))
     return F.concat(F.array_join(lines, "\n"), F.lit("\n\n"), message)
 
 
 def parse_commit(text: Column) -> Column:
-    """struct<tree,parents,author,committer,message> of a commit's payload."""
-    head, lines = F.substring_index(text, "\n\n", 1), F.split(F.substring_index(text, "\n\n", 1), "\n")
-    after = lambda key: F.transform(F.filter(lines, lambda x: F.startswith(x, F.lit(key))), lambda x: F.substr(x, F.lit(len(key) + 1)))
+    """struct<tree,parents,author,committer,message,encoding,gpg_signature> of a commit's payload.
+
+    A line that begins with a blank goes on with the one before it. What is missing is null.
+    """
+    head = F.substring_index(text, "\n\n", 1)
+    lines = F.split(F.replace(head, F.lit("\n "), F.lit("\0")), "\n")
+    after = lambda key: F.transform(F.filter(lines, lambda x: F.startswith(x, F.lit(key))), lambda x: F.replace(F.substr(x, F.lit(len(key) + 1)), F.lit("\0"), F.lit("\n")))
     first = lambda key: F.get(after(key), 0)
-    return F.struct(first("tree ").alias("tree"), after("parent ").alias("parents"), first("author ").alias("author"), first("committer ").alias("committer"), F.substr(text, F.length(head) + 3).alias("message"))
+    return F.struct(
+        first("tree ").alias("tree"), after("parent ").alias("parents"), first("author ").alias("author"), first("committer ").alias("committer"),
+        F.substr(text, F.length(head) + 3).alias("message"), first("encoding ").alias("encoding"), first("gpgsig ").alias("gpg_signature"),
+    )
 
 
 def tag_text(target: Column, type_: Column, name: Column, tagger: Column, message: Column) -> Column:
@@ -115,9 +128,34 @@ def retry_after_ms(value: Column) -> Column:
     return F.when(value.rlike(r"^\s*\d{1,9}\s*$"), F.trim(value).try_cast("bigint") * 1000).otherwise(F.lit(0).cast("bigint"))
 
 
-def backoff_ms(attempt: Column, base: int = BACKOFF_BASE_MS, cap: int = BACKOFF_CAP_MS) -> Column:
-    """Delay before an attempt, without jitter: doubled each time, up to a cap."""
-    return F.least(F.lit(cap), F.lit(base) * F.pow(F.lit(2), F.least(attempt, F.lit(BACKOFF_DOUBLINGS)))).cast("bigint")
+def backoff_ms(attempt: Column, base: int = BACKOFF_BASE_MS, cap: int = BACKOFF_CAP_MS, key: Column | None = None, jitter: float = BACKOFF_JITTER) -> Column:
+    """Delay before an attempt: doubled each time, up to a cap. With a key, a hash of it and of the attempt moves the delay up or
+    down by at most the jitter, so that callers do not come back together and a repeated run gives the same."""
+    delay = F.least(F.lit(cap), F.lit(base) * F.pow(F.lit(2), F.least(attempt, F.lit(BACKOFF_DOUBLINGS))))
+    if key is not None:
+        delay = delay * (1 + jitter * (F.pmod(F.xxhash64(key, attempt), F.lit(2001)) - 1000) / 1000)
+    return delay.cast("bigint")
+
+
+def is_retryable(code: Column) -> Column:
+    """Errors that may pass by themselves: I/O error, busy, try again."""
+    return code.isin(*RETRYABLE)
+
+
+def crc32_raw(data: Column) -> Column:
+    """CRC-32 with its register at 0 at first and not inverted at the end, as a loop over bits gives it; F.crc32 is the usual one."""
+
+    @F.pandas_udf("bigint")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda b: None if b is None else zlib.crc32(bytes(b), 0xFFFFFFFF) ^ 0xFFFFFFFF).astype("Int64")
+
+    return run(data)
+
+
+def submodule_section(name: Column, path: Column, url: Column, branch: Column) -> Column:
+    """The section that adding a submodule appends to the list of submodules; a null branch leaves its line out."""
+    line = lambda key, value: F.concat(F.lit(f"\t{key} = "), value)
+    return F.concat(F.concat_ws("\n", F.concat(F.lit('[submodule "'), name, F.lit('"]')), line("path", path), line("url", url), line("branch", branch)), F.lit("\n"))
 
 
 def filter_spec(spec: str) -> Column:

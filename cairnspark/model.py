@@ -15,6 +15,7 @@ HASH_ALGORITHMS = (
 )
 # Object types.
 OBJECT_TYPES = ((1, "blob"), (2, "tree"), (3, "commit"), (4, "tag"), (6, "ofs-delta"), (7, "ref-delta"))
+OFFSET_DELTA, REFERENCE_DELTA = 6, 7
 # Error codes and their texts.
 ERRORS = (
     (0, "ok"), (-1, "generic error"), (-2, "out of memory"), (-3, "invalid argument"), (-4, "not found"), (-5, "already exists"),
@@ -26,10 +27,12 @@ MODE_FILE, MODE_EXECUTABLE, MODE_TREE = 0o100644, 0o100755, 0o40000
 NO_OID = "0" * 64
 VERSION = "0.1.0"
 # Defaults of remotes.
-BACKOFF_BASE_MS, BACKOFF_CAP_MS, BACKOFF_DOUBLINGS = 100, 30_000, 10
+BACKOFF_BASE_MS, BACKOFF_CAP_MS, BACKOFF_DOUBLINGS, BACKOFF_JITTER = 100, 30_000, 10, 0.2
+MOST_RETRIES, BUDGET_A_MINUTE = 3, 20
 FAILURES_TO_OPEN, SUCCESSES_TO_CLOSE, OPEN_MS = 5, 2, 30_000
-BUDGET_A_MINUTE = 20
 MOST_RUNNING, MOST_QUEUED, SHED_PERCENT = 64, 256, 90
+# Codes of errors that may pass by themselves.
+RETRYABLE = (-8, -7, -6)
 
 SIGNATURE = "struct<name:string,email:string,when:bigint,offset:int>"
 SCHEMAS = {

@@ -1,46 +1,30 @@
-"""The commit graph. Edges are (child, parent, nth), nth 1 for the first parent."""
+"""The commit graph. Edges are (child, parent, nth), nth 1 for the first parent.
+
+Walks over all parents go from run to run. A run is a stretch of commits without a branch or a merge inside: every commit but the
+last has one parent, which is nobody else's. Runs are found by doubling, so a history of a million commits in a row costs
+twenty rounds; after that a walk needs a round for each run on its way, not for each commit.
+"""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
+from collections.abc import Iterator
 from itertools import count
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_ROUNDS = 10_000
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local session without one gets a temporary folder."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        own = tempfile.mkdtemp(prefix="cairnspark-")
-        atexit.register(shutil.rmtree, own, True)
-        root = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+from cairnspark.scratch import cut, drop
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back, so that loops do not grow plans and lost executors cost nothing."""
-    path = f"{shared_folder(df.sparkSession)}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+COMPACT = 8  # rounds after which what was seen is put into one table
 
 
 def hops(edges: DataFrame, doublings: int) -> list[DataFrame]:
     """(node, ancestor) over 1, 2, 4, ... first-parent hops: N hops need as many joins as N has binary digits."""
-    step = edges.where("nth = 1").select(F.col("child").alias("node"), F.col("parent").alias("ancestor"))
-    out = [step]
+    out = [cut(edges.where("nth = 1").select(F.col("child").alias("node"), F.col("parent").alias("ancestor")), "hops")]
     for _ in range(doublings - 1):
-        last = out[-1]
-        out.append(last.alias("a").join(last.alias("b"), F.col("a.ancestor") == F.col("b.node")).select("a.node", "b.ancestor"))
+        a, b = out[-1].alias("a"), out[-1].alias("b")
+        out.append(cut(a.join(b, F.col("a.ancestor") == F.col("b.node")).select("a.node", "b.ancestor"), "hops"))
     return out
 
 
@@ -54,16 +38,61 @@ def ancestor_at(heads: DataFrame, edges: DataFrame, n: int) -> DataFrame:
     return at.select("head", F.col("node").alias("ancestor"))
 
 
+def ancestors_at(asked: DataFrame, edges: DataFrame) -> DataFrame:
+    """asked (key, node, n), each row with its own number of hops, to key, oid; null where the history is shorter.
+
+    Only the powers of two that occur are joined, and a row takes those of its number.
+    """
+    at = cut(asked.select("key", "node", F.col("n").cast("bigint").alias("n")), "asked")
+    most = at.agg(F.max("n")).first()[0] or 0
+    for k, step in enumerate(hops(edges, most.bit_length())) if most else ():
+        takes = F.shiftright("n", k).bitwiseAND(F.lit(1)) == 1
+        joined = at.join(step, (at["node"] == step["node"]) & takes, "left")
+        at = joined.select("key", F.when(takes, step["ancestor"]).otherwise(at["node"]).alias("node"), "n")
+    return at.select("key", F.col("node").alias("oid"))
+
+
 def log(heads: DataFrame, edges: DataFrame, limit: int = 20) -> DataFrame:
     """The first limit commits of each head's first-parent history: head, depth, commit. Every round doubles what is known."""
     doublings = max(1, (limit - 1).bit_length())
     known = heads.select("head", F.lit(0).alias("depth"), F.col("head").alias("commit"))
     for k, step in enumerate(hops(edges, doublings)):
         further = known.where(F.col("depth") < limit - (1 << k)).join(step, F.col("commit") == F.col("node"))
-        known = known.union(further.select("head", F.col("depth") + (1 << k), "ancestor"))
+        known = cut(known.union(further.select("head", F.col("depth") + (1 << k), "ancestor")), "log")
     return known
 
 
+def runs(edges: DataFrame) -> DataFrame:
+    """oid, run (the id of its last commit, the one nearest to the roots) and place (hops to that) of all commits with an edge.
+
+    A parent that a commit names twice counts once. A cycle is an error.
+    """
+    steps = edges.select("child", "parent").distinct()
+    one_parent = steps.groupBy("child").agg(F.count("*").alias("n"), F.first("parent").alias("parent")).where("n = 1")
+    one_child = steps.groupBy("parent").agg(F.count("*").alias("n")).where("n = 1").select("parent")
+    inner = one_parent.join(one_child, "parent").select(F.col("child").alias("oid"), F.col("parent").alias("to"), F.lit(1).cast("bigint").alias("place"))
+    all_ = steps.select(F.col("child").alias("oid")).union(steps.select("parent")).distinct()
+    at = cut(all_.join(inner, "oid", "left").select("oid", F.coalesce("to", "oid").alias("to"), F.coalesce("place", F.lit(0).cast("bigint")).alias("place")), "runs")
+    while True:
+        ahead = at.where("place > 0").select(F.col("oid").alias("to"), F.col("to").alias("next"), F.col("place").alias("more"))
+        moved = at.join(ahead, "to", "left").select("oid", F.coalesce("next", "to").alias("to"), (F.col("place") + F.coalesce("more", F.lit(0).cast("bigint"))).alias("place"), F.col("next").isNotNull().alias("moved"))
+        before, at = at, cut(moved, "runs")
+        drop(before)
+        going, most, n = at.agg(F.count_if("moved"), F.max("place"), F.count("*")).first()
+        if not going:
+            return at.select("oid", F.col("to").alias("run"), "place")
+        if most > n:
+            raise ValueError("the graph has a cycle")
+
+
+def run_edges(edges: DataFrame, member: DataFrame) -> DataFrame:
+    """(run, next, place): the runs that a run's last commit leads to, and the place at which they are entered, their top."""
+    steps = edges.select("child", "parent").distinct()
+    last = member.where("place = 0").select(F.col("oid").alias("child"), "run")
+    top = member.select(F.col("oid").alias("parent"), F.col("run").alias("next"), "place")
+    return steps.join(last, "child").join(top, "parent").select("run", "next", "place")
+
+
 def first_parent_reach(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     return reach(pairs, edges.where("nth = 1"))
 
@@ -71,41 +100,62 @@ def first_parent_reach(pairs: DataFrame, edges: DataFrame) -> DataFrame:
 def reach(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """pairs (ancestor, descendant) with is_ancestor, over all parents and without a limit on the graph's size.
 
-    A frontier for each pair moves towards the roots; commits that it has seen are not visited again, and pairs that are
-    decided leave. A commit is its own ancestor.
+    A frontier of runs for each pair of runs moves towards the roots; runs that it has seen are not visited again, and pairs that
+    are decided leave. A commit is its own ancestor.
     """
-    start = pairs.distinct().select("ancestor", "descendant", F.col("descendant").alias("at"))
-    steps = edges.select(F.col("child").alias("at"), "parent")
-    pair = ["ancestor", "descendant"]
-    seen = frontier = cut(start)
-    while True:  # each round visits commits that were not seen, so there is an end
-        decided = frontier.where("at = ancestor").select(*pair).distinct()
-        moved = frontier.join(decided, pair, "left_anti").join(steps, "at").select(*pair, F.col("parent").alias("at")).distinct()
-        frontier = cut(moved.join(seen, [*pair, "at"], "left_anti"))
+    member = runs(edges)
+    side = lambda name: member.select(F.col("oid").alias(name), F.col("run").alias(f"{name}_run"), F.col("place").alias(f"{name}_place"))
+    asked = pairs.select("ancestor", "descendant").join(side("ancestor"), "ancestor", "left").join(side("descendant"), "descendant", "left")
+    asked = cut(asked, "pairs")
+    steps = cut(run_edges(edges, member).select(F.col("run").alias("at"), "next").distinct(), "runs")
+    pair = ["ancestor_run", "descendant_run"]
+    open_ = asked.where("ancestor_run <> descendant_run").select(*pair).distinct()
+    seen = frontier = cut(open_.withColumn("at", F.col("descendant_run")), "frontier")
+    for k in count(1):  # each round visits runs that were not seen, so there is an end
+        decided = frontier.where("at = ancestor_run").select(*pair).distinct()
+        moved = frontier.join(decided, pair, "left_anti").join(steps, "at").select(*pair, F.col("next").alias("at")).distinct()
+        frontier = cut(moved.join(seen, [*pair, "at"], "left_anti"), "frontier")
         if frontier.isEmpty():
             break
-        seen = seen.union(frontier)
-    found = seen.where("at = ancestor").select(*pair).distinct().withColumn("hit", F.lit(True))
-    return pairs.join(found, pair, "left").select(*pair, F.coalesce("hit", F.lit(False)).alias("is_ancestor"))
+        seen = seen.union(frontier) if k % COMPACT else cut(seen.union(frontier), "seen")
+    found = seen.where("at = ancestor_run").select(*pair).distinct().withColumn("hit", F.lit(True))
+    same = F.col("ancestor_run") == F.col("descendant_run")
+    inside = F.when(F.col("ancestor") == F.col("descendant"), True).when(same, F.col("ancestor_place") <= F.col("descendant_place")).otherwise(F.coalesce("hit", F.lit(False)))
+    return asked.join(found, pair, "left").select("ancestor", "descendant", F.coalesce(inside, F.lit(False)).alias("is_ancestor"))
 
 
 def reachable(heads: DataFrame, edges: DataFrame, depth: int | None = None) -> DataFrame:
     """oid of all commits that heads (oid) reach, themselves included; depth limits the number of hops, as a shallow copy does."""
-    seen = frontier = cut(heads.select("oid").distinct())
-    steps = edges.select(F.col("child").alias("oid"), "parent")
-    for _ in count() if depth is None else range(depth):
-        frontier = cut(frontier.join(steps, "oid").select(F.col("parent").alias("oid")).distinct().join(seen, "oid", "left_anti"))
+    if depth is not None:
+        steps = edges.select(F.col("child").alias("oid"), "parent")
+        seen = frontier = cut(heads.select("oid").distinct(), "reached")
+        for _ in range(depth):
+            frontier = cut(frontier.join(steps, "oid").select(F.col("parent").alias("oid")).distinct().join(seen, "oid", "left_anti"), "reached")
+            if frontier.isEmpty():
+                break
+            seen = seen.union(frontier)
+        return seen
+    member = runs(edges)
+    steps = cut(run_edges(edges, member).withColumnRenamed("place", "top"), "runs")
+    start = heads.select("oid").distinct()
+    frontier = seen = cut(start.join(member, "oid").groupBy("run").agg(F.max("place").alias("top")), "reached")
+    for k in count(1):  # a run comes back at most once, with its top, if a head stands inside it
+        moved = frontier.join(steps.select("run", "next", F.col("top").alias("entered")), "run").groupBy(F.col("next").alias("run")).agg(F.max("entered").alias("top"))
+        known = seen.select("run", F.col("top").alias("have"))
+        frontier = cut(moved.join(known, (moved["run"] == known["run"]) & (moved["top"] <= known["have"]), "left_anti"), "reached")
         if frontier.isEmpty():
             break
-        seen = seen.union(frontier)
-    return seen
+        seen = seen.union(frontier) if k % COMPACT else cut(seen.union(frontier).groupBy("run").agg(F.max("top").alias("top")), "reached")
+    tops = seen.groupBy("run").agg(F.max("top").alias("top"))
+    below = member.join(tops, "run").where("place <= top").select("oid")
+    return below.union(start.join(member, "oid", "left_anti"))
 
 
 def merge_analysis(heads: DataFrame, edges: DataFrame) -> DataFrame:
     """heads (ours, theirs) with UNBORN, UP_TO_DATE, FASTFORWARD or NORMAL; ours is null if there is no commit yet."""
     born = heads.where("ours is not null")
     asked = born.select(F.col("ours").alias("ancestor"), F.col("theirs").alias("descendant")).union(born.select("theirs", "ours"))
-    known = reach(asked.distinct(), edges)
+    known = cut(reach(asked.distinct(), edges), "known")
     forward = known.select(F.col("ancestor").alias("ours"), F.col("descendant").alias("theirs"), F.col("is_ancestor").alias("forward"))
     back = known.select(F.col("descendant").alias("ours"), F.col("ancestor").alias("theirs"), F.col("is_ancestor").alias("back"))
     rows = heads.join(forward, ["ours", "theirs"], "left").join(back, ["ours", "theirs"], "left")
@@ -124,18 +174,24 @@ def fast_forward(heads: DataFrame, edges: DataFrame) -> DataFrame:
 def generations(commits: DataFrame, edges: DataFrame) -> DataFrame:
     """oid, generation: 0 for a commit without parents, else one more than its parents' largest.
 
-    Round k keeps the commits at the end of a path of k edges; the last round that has a commit is its generation. A round is one
-    join with the edges, over the commits that are left.
+    Round k has the runs at the end of a way over k others, with the longest such way; the longest of all rounds counts. A round is
+    one join with the edges between runs.
     """
-    steps = edges.select(F.col("parent").alias("oid"), "child").distinct()
-    at = commits.select("oid").distinct()
-    reached = at.withColumn("generation", F.lit(0))
-    for level in range(1, MAX_ROUNDS):
-        at = cut(at.join(steps, "oid").select(F.col("child").alias("oid")).distinct())
+    member = runs(edges)
+    between = run_edges(edges, member)
+    steps = cut(between.select(F.col("next").alias("run"), F.col("run").alias("above"), (F.col("place") + 1).alias("step")), "runs")
+    at = cut(member.where("place = 0").select("run", F.lit(0).cast("bigint").alias("way")), "ways")
+    ways, rounds = at, at.count()
+    for k in count(1):
+        at = cut(at.join(steps, "run").groupBy(F.col("above").alias("run")).agg(F.max(F.col("way") + F.col("step")).alias("way")), "ways")
         if at.isEmpty():
-            return reached.groupBy("oid").agg(F.max("generation").alias("generation"))
-        reached = reached.union(at.withColumn("generation", F.lit(level)))
-    raise ValueError(f"the graph has a cycle, or a path of {MAX_ROUNDS} commits")
+            break
+        if k > rounds:
+            raise ValueError("the graph has a cycle")
+        ways = ways.union(at) if k % COMPACT else cut(ways.union(at).groupBy("run").agg(F.max("way").alias("way")), "ways")
+    longest = ways.groupBy("run").agg(F.max("way").alias("way"))
+    known = member.join(longest, "run").select("oid", (F.col("way") + F.col("place")).cast("int").alias("generation"))
+    return commits.select("oid").distinct().join(known, "oid", "left").select("oid", F.coalesce("generation", F.lit(0)).alias("generation"))
 
 
 def topological(edges_by_parents: DataFrame, positions: DataFrame, generations_: DataFrame) -> DataFrame:
@@ -144,3 +200,27 @@ def topological(edges_by_parents: DataFrame, positions: DataFrame, generations_:
     parent = lambda n: edges_by_parents.where(F.col("nth") == n).select(F.col("child").alias("oid"), F.col("parent").alias(f"parent{n}_oid"))
     rows = positions.join(generations_, "oid").join(parent(1), "oid", "left").join(parent(2), "oid", "left")
     return rows.join(at("parent1"), "parent1_oid", "left").join(at("parent2"), "parent2_oid", "left").select("position", "oid", "parent1", "parent2", "generation")
+
+
+def chain_ids(rows: DataFrame) -> DataFrame:
+    """rows (chain, seq, key, head, tail) to key, oid: ids of commits that name the one before them, in each chain by seq.
+
+    A payload is head, a parent line unless the commit is the first, and tail. An id holds the id before it, so a chain is computed
+    one commit after the other, in one pass over sorted rows that keeps a single id in memory.
+    """
+    import hashlib
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chain, last = None, None
+        for batch in batches:
+            out = []
+            for own, head, tail in zip(batch["chain"], batch["head"], batch["tail"], strict=True):
+                middle = f"parent {last}\n" if own == chain else ""
+                payload = f"{head}{middle}{tail}".encode()
+                chain, last = own, hashlib.sha256(b"commit %d\0" % len(payload) + payload).hexdigest()
+                out.append(last)
+            yield pd.DataFrame({"key": batch["key"], "oid": pd.Series(out, batch.index, object)})
+
+    kind = rows.schema["key"].dataType.simpleString()
+    dealt = rows.select("chain", "seq", "key", "head", "tail").repartition("chain").sortWithinPartitions("chain", "seq")
+    return dealt.select("chain", "key", "head", "tail").mapInPandas(run, f"key {kind}, oid string")

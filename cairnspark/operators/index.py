@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairnspark.scratch import cut
+
 COLUMNS = ("path", "stage", "oid", "mode", "size")
 
 
@@ -23,9 +25,22 @@ def find_by_oid(index: DataFrame, ids: DataFrame) -> DataFrame:
     return index.join(ids.select("oid").distinct(), "oid").groupBy("oid").agg(F.min("path").alias("path"))
 
 
+def is_valid(path: Column) -> Column:
+    """An entry needs a path."""
+    return F.coalesce(path != "", F.lit(False))
+
+
 def nth(index: DataFrame, n: int) -> DataFrame:
-    """Entry number n, from 0, in the order of path and stage."""
-    return index.orderBy("path", "stage").offset(n).limit(1)
+    """Entry number n, from 0, in the order of path and stage. Rows are dealt out by ranges of the path; the ranges' sizes tell
+    which of them holds the entry, and only that one is numbered."""
+    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(index.repartitionByRange(parts, "path", "stage").withColumn("part__", F.spark_partition_id()), "index")
+    before = 0
+    for row in dealt.groupBy("part__").agg(F.count("*").alias("n")).orderBy("part__").collect():  # one row a range
+        if n < before + row["n"]:
+            return dealt.where(F.col("part__") == row["part__"]).drop("part__").orderBy("path", "stage").offset(n - before).limit(1)
+        before += row["n"]
+    return index.limit(0)
 
 
 def upsert(index: DataFrame, entries: DataFrame) -> DataFrame:
@@ -38,7 +53,13 @@ def remove(index: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def stats(index: DataFrame) -> DataFrame:
-    return index.agg(F.count("*").alias("entries"), F.count_if(F.col("stage") != 0).alias("conflicts"), F.coalesce(F.bool_or(F.col("stage") != 0), F.lit(False)).alias("has_conflicts"), F.sum("size").alias("total_size"))
+    """Entries, conflicts, size, the last modification where there is one (mtime), and a checksum of all entries in any order."""
+    mtime = F.max("mtime") if "mtime" in index.columns else F.lit(None).cast("bigint")
+    marks = F.bit_xor(F.crc32(F.concat_ws("\0", "path", F.col("stage").cast("string"), "oid").cast("binary")))
+    return index.agg(
+        F.count("*").alias("entries"), F.count_if(F.col("stage") != 0).alias("conflicts"), F.coalesce(F.bool_or(F.col("stage") != 0), F.lit(False)).alias("has_conflicts"),
+        F.sum("size").alias("total_size"), mtime.alias("mtime"), marks.alias("checksum"),
+    )
 
 
 def add_conflicts(index: DataFrame, conflicts: DataFrame) -> DataFrame:

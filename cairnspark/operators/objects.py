@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from cairnspark.functions.codec import filter_spec
 from cairnspark.functions.hashing import object_id
+from cairnspark.model import MODE_TREE
+from cairnspark.operators.graph import reachable
+from cairnspark.scratch import cut
 
 
 def with_oid(payloads: DataFrame) -> DataFrame:
@@ -23,8 +26,32 @@ def dedup(objects: DataFrame) -> DataFrame:
 
 
 def write_new(sink: DataFrame, objects: DataFrame) -> DataFrame:
-    """Rows of objects that the sink lacks, one an id: writing the same content twice writes nothing."""
-    return objects.join(sink.select("oid"), "oid", "left_anti").dropDuplicates(["oid"])
+    """Rows of objects that the sink lacks, one an id: writing the same content twice writes nothing. Ids are compared first, so
+    that only payloads that are written are brought together."""
+    wanted = objects.select("oid").distinct().join(sink.select("oid"), "oid", "left_anti")
+    return objects.join(wanted, "oid", "left_semi").dropDuplicates(["oid"])
+
+
+def remove(objects: DataFrame, ids: DataFrame) -> DataFrame:
+    """objects without those of the ids (oid); ids that are not there change nothing."""
+    return objects.join(ids.select("oid"), "oid", "left_anti")
+
+
+def closure(heads: DataFrame, edges: DataFrame, commit_trees: DataFrame, tree_entries: DataFrame, levels: int) -> DataFrame:
+    """oid of all that heads (oid) keep alive: commits, their trees (oid, tree_oid), and what these hold, level by level."""
+    commits = cut(reachable(heads, edges).select("oid").distinct(), "alive")
+    trees, out = commits.join(commit_trees, "oid").select(F.col("tree_oid").alias("oid")).distinct(), [commits]
+    for _ in range(levels + 1):
+        out.append(trees)
+        below = trees.withColumnRenamed("oid", "tree_oid").join(tree_entries, "tree_oid").select("oid", "mode").distinct()
+        out.append(below.where(F.col("mode") != MODE_TREE).select("oid"))
+        trees = below.where(F.col("mode") == MODE_TREE).select("oid")
+    return reduce(DataFrame.union, out).distinct()
+
+
+def unreachable(objects: DataFrame, alive: DataFrame) -> DataFrame:
+    """Objects that nothing keeps alive, which a collection removes."""
+    return objects.join(alive.select("oid"), "oid", "left_anti")
 
 
 def by_priority(sources: list[tuple[int, DataFrame]]) -> DataFrame:

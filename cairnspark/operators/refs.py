@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cairnspark.model import NO_OID
+from cairnspark.operators.graph import ancestors_at
+from cairnspark.scratch import cut
 
 
 def full_name(name: Column) -> Column:
@@ -23,12 +27,46 @@ def listing(files: DataFrame, packed: DataFrame, pattern: str | None = None) ->
 
 
 def resolve(refs: DataFrame, most: int = 8) -> DataFrame:
-    """name, oid after following symbolic targets at most `most` times; null if that leads nowhere."""
-    step = refs.select(F.col("name").alias("at"), F.col("oid").alias("found"), F.col("target").alias("next"))
-    now = refs.select("name", "oid", "target")
+    """name, oid after following symbolic targets at most `most` times; null if that leads nowhere. Only refs that still have a
+    target go into the next round."""
+    step = cut(refs.select(F.col("name").alias("at"), F.col("oid").alias("found"), F.col("target").alias("next")), "refs")
+    ends = lambda rows: rows.where("found is not null or next is null").select("name", F.col("found").alias("oid"))
+    now = step.withColumnRenamed("at", "name")
+    done = [ends(now)]
     for _ in range(most):
-        now = now.join(step, now["target"] == step["at"], "left").select("name", F.coalesce("oid", "found").alias("oid"), F.when(F.col("oid").isNull() & F.col("found").isNull(), F.col("next")).alias("target"))
-    return now.select("name", "oid")
+        going = now.where("found is null and next is not null").select("name", F.col("next").alias("at"))
+        if going.isEmpty():
+            break
+        now = cut(going.join(step, "at", "left").select("name", "found", "next"), "refs")
+        done.append(ends(now))
+    else:
+        done.append(now.where("found is null and next is not null").select("name", "found"))
+    return reduce(DataFrame.unionByName, [d.toDF("name", "oid") for d in done])
+
+
+def rev_parse(specs: DataFrame, refs: DataFrame, edges: DataFrame, width: int = 64) -> DataFrame:
+    """specs (spec) to spec, oid: a name with any number of ~N, ^ and ^N behind it; null if there is no such commit.
+
+    A name is, in this order, HEAD, a whole id, a full ref, a branch or a tag. ~N goes back N first parents; ^N is the Nth
+    parent, ^ the first, ^0 the commit itself. Names are looked up by one join, steps of all specs are taken together.
+    """
+    short = F.regexp_extract("spec", r"^([^~^]+)", 1)
+    rows = specs.select("spec").distinct().withColumn("name", short)
+    asked = rows.select("spec", "name", F.posexplode(F.array("name", F.concat(F.lit("refs/heads/"), "name"), F.concat(F.lit("refs/tags/"), "name"))).alias("rank", "full"))
+    asked = asked.where((F.col("rank") > 0) | (F.col("name") == "HEAD") | F.col("name").startswith("refs/"))
+    known = asked.join(resolve(refs).select(F.col("name").alias("full"), "oid"), "full").where("oid is not null").groupBy("spec").agg(F.min_by("oid", "rank").alias("by_name"))
+    whole = F.when(F.col("name").rlike(f"^[0-9a-f]{{{width}}}$"), F.col("name"))
+    at = rows.join(known, "spec", "left").select("spec", F.coalesce(whole, "by_name").alias("oid"), F.expr(r"regexp_extract_all(substr(spec, length(name) + 1), '([~^][0-9]*)', 1)").alias("steps"))
+    at = cut(at, "specs")
+    for k in range(at.agg(F.max(F.size("steps"))).first()[0] or 0):
+        step = F.get("steps", F.lit(k))
+        n = F.when(F.length(step) > 1, F.substr(step, F.lit(2)).cast("int")).otherwise(1)
+        now = at.select("spec", "oid", "steps", F.substring(step, 1, 1).alias("kind"), n.alias("n"))
+        back = ancestors_at(now.where("kind = '~' and oid is not null").select(F.col("spec").alias("key"), F.col("oid").alias("node"), "n"), edges).select(F.col("key").alias("spec"), F.col("oid").alias("moved"))
+        up = now.where("kind = '^' and n > 0").join(edges, (F.col("oid") == F.col("child")) & (F.col("n") == F.col("nth"))).select("spec", F.col("parent").alias("moved"))
+        stays = F.col("kind").isNull() | (F.col("n") == 0)
+        at = cut(now.join(back.union(up), "spec", "left").select("spec", F.when(stays, F.col("oid")).otherwise(F.col("moved")).alias("oid"), "steps"), "specs")
+    return at.select("spec", "oid")
 
 
 def upsert(refs: DataFrame, changes: DataFrame, force: bool = True) -> DataFrame:

@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnspark.model import NO_OID
+from cairnspark.operators.graph import fast_forward
+from cairnspark.operators.objects import write_new
 
 
 def lacking(source: DataFrame, sink: DataFrame) -> DataFrame:
     """Objects to copy from source to sink, each id once."""
-    return source.join(sink.select("oid"), "oid", "left_anti").dropDuplicates(["oid"])
+    return write_new(sink, source)
 
 
 def in_both(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -32,3 +34,28 @@ def fetch_refs(local: DataFrame, remote: DataFrame) -> DataFrame:
 def haves(local: DataFrame, most: int = 32) -> DataFrame:
     """The ids that a request names as held: the first ones in order."""
     return local.select("oid").distinct().orderBy("oid").limit(most)
+
+
+def wants(local: DataFrame, remote_refs: DataFrame) -> DataFrame:
+    """The ids that a request asks for: those of the remote's refs that the local store lacks, each once."""
+    return remote_refs.select("oid").where("oid is not null").distinct().join(local.select("oid"), "oid", "left_anti")
+
+
+def fetch(objects: DataFrame, refs: DataFrame, remote_objects: DataFrame, remote_refs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a fetch adds to the objects, and the refs after it."""
+    return lacking(remote_objects, objects), fetch_refs(refs, remote_refs)
+
+
+def push(objects: DataFrame, refs: DataFrame, remote_objects: DataFrame, remote_refs: DataFrame, edges: DataFrame, force: bool = False) -> tuple[DataFrame, DataFrame]:
+    """What a push adds to the remote's objects, and for each local branch the remote's ref after it: name, oid, accepted.
+
+    Without force a branch is accepted if the remote does not have it or is behind it.
+    """
+    commands = receive_commands(refs, remote_refs)
+    asked = commands.select("name", F.nullif("old_oid", F.lit(NO_OID)).alias("ours"), F.col("new_oid").alias("theirs"))
+    if force:
+        after = asked.select("name", F.col("theirs").alias("oid"), F.lit(True).alias("accepted"))
+    else:
+        moved = fast_forward(asked, edges)
+        after = asked.select("name", "theirs").join(moved, "name").select("name", "oid", (F.col("merged") | (F.col("oid") == F.col("theirs"))).alias("accepted"))
+    return lacking(objects, remote_objects), after

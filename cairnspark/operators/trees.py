@@ -16,13 +16,20 @@ def entry_bytes(mode, name, oid):
     return F.concat(F.encode(F.concat(F.conv(mode.cast("string"), 10, 8), F.lit(" "), name), "UTF-8"), F.unhex(F.lit("00")), F.unhex(oid))
 
 
+def entry_hex(mode, name, oid):
+    """entry_bytes() in hex digits: strings can be joined, bytes only appended one by one."""
+    return F.concat(F.hex(F.encode(F.concat(F.conv(mode.cast("string"), 10, 8), F.lit(" "), name), "UTF-8")), F.lit("00"), oid)
+
+
 def build(files: DataFrame, levels: int | None = None) -> tuple[DataFrame, DataFrame]:
     """files (path, mode, oid) to trees (dir, tree_oid, n_entries) and entries (dir, mode, name, oid) of all directories.
 
     One aggregation a level, from the deepest up; '' is the root. levels: the number of directories above the deepest file, if
     it is known; otherwise it is looked up. Entries are in the order of their names' bytes. A directory is one group, as its id
-    is a digest over all its entries in order.
+    is a digest over all its entries in order. An index with conflicts, entries of a stage above 0, has no tree and is an error.
     """
+    if "stage" in files.columns and not files.where("stage > 0").isEmpty():
+        raise ValueError("the index has conflicts")
     depth = F.size(F.split("path", "/")) - 1
     if levels is None:
         levels = files.agg(F.max(depth)).first()[0] or 0
@@ -34,10 +41,10 @@ def build(files: DataFrame, levels: int | None = None) -> tuple[DataFrame, DataF
             here = here.unionByName(below.select(F.col("dir").alias("path"), F.lit(MODE_TREE).alias("mode"), F.col("tree_oid").alias("oid")))
         name = F.element_at(F.split("path", "/"), -1)
         rows = here.select(F.when(F.lit(level) == 0, "").otherwise(F.substring_index("path", "/", level)).alias("dir"), "mode", name.alias("name"), "oid")
-        payload = F.array_sort(F.collect_list(F.struct("name", entry_bytes(F.col("mode"), F.col("name"), F.col("oid")).alias("bytes"))))
-        grouped = rows.groupBy("dir").agg(payload.alias("rows"), F.count("*").alias("n_entries"))
-        joined = F.aggregate("rows", F.unhex(F.lit("")), lambda acc, x: F.concat(acc, x["bytes"]))
-        below = grouped.select("dir", object_id(F.lit("tree"), joined).alias("tree_oid"), "n_entries")
+        listed = F.array_sort(F.collect_list(F.struct("name", entry_hex(F.col("mode"), F.col("name"), F.col("oid")).alias("hex"))))
+        grouped = rows.groupBy("dir").agg(listed.alias("rows"), F.count("*").alias("n_entries"))
+        payload = F.unhex(F.array_join(F.transform("rows", lambda x: x["hex"]), ""))
+        below = grouped.select("dir", object_id(F.lit("tree"), payload).alias("tree_oid"), "n_entries")
         trees.append(below)
         entries.append(rows)
     return reduce(DataFrame.unionByName, trees), reduce(DataFrame.unionByName, entries)
