@@ -187,3 +187,18 @@ def bands(data: bytes) -> dict:
 @F.pandas_udf(T.StructType([T.StructField("pack", T.BinaryType()), T.StructField("progress", T.StringType()), T.StructField("error", T.StringType())]))
 def split_bands(data: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([bands(b"" if b is None else bytes(b)) for b in data], columns=["pack", "progress", "error"])
+
+
+LINE = 65_515  # bytes of a multiplexed line at most, its length and channel not counted
+
+
+@F.pandas_udf(T.BinaryType())
+def multiplex(pack: pd.Series) -> pd.Series:
+    """A pack as a response carries it: lines of the pack's channel with one of progress before each, and a flush."""
+
+    def one(data: bytes) -> bytes:
+        line = lambda channel, part: b"%04x" % (len(part) + 5) + bytes([channel]) + part
+        parts = (line(PROGRESS_BAND, b"%d\n" % at) + line(PACK_BAND, data[at : at + LINE]) for at in range(0, len(data), LINE))
+        return b"".join(parts) + b"0000"
+
+    return pack.map(lambda b: None if b is None else one(bytes(b)))

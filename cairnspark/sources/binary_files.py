@@ -2,27 +2,34 @@
 
 from __future__ import annotations
 
-import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from cairnspark.functions.binary import apply_delta, bands
-from cairnspark.model import OBJECT_TYPES
-from cairnspark.sources.files import binary_files
+from cairnspark.functions.binary import bands, delta_apply
+from cairnspark.functions.hashing import object_id
+from cairnspark.model import OBJECT_TYPES, OFFSET_DELTA, REFERENCE_DELTA
+from cairnspark.scratch import cut
+from cairnspark.sources.files import binary_files, pack_indexes
 
 # Signatures, versions and field layouts of the formats.
 PACK = struct.Struct(">4sII")  # PACK, version, objects
 STAGING = struct.Struct(">4sII")  # DIRC, version, entries
 STAT = struct.Struct(">10I")  # changed s, ns; modified s, ns; device, inode, mode, user, group, size
 MULTI = struct.Struct(">4sII")  # MIDX, version, packs
-OFFSET_DELTA, REFERENCE_DELTA = 6, 7
+TRAILER, NO_PARENT = 32, 0xFFFFFFFF
 FEED = 1 << 16
+AT_ONCE = 500  # entries of a pack that are handed on together
+RANGE = 16 << 20  # bytes of a pack that a task reads together
 
 
 def inflate_at(data: memoryview, at: int) -> tuple[bytes, int]:
@@ -37,45 +44,79 @@ def inflate_at(data: memoryview, at: int) -> tuple[bytes, int]:
     return b"".join(out), at
 
 
-def pack_objects(content: bytes) -> list[tuple]:
-    """(nth, offset, type, size, data, oid) of a pack; deltas are resolved, those without a base in the pack have no data."""
+Entry = tuple[int, int, str, int | None, str | None, bytes]
+ENTRY = "nth int, offset bigint, kind string, base_offset bigint, base_oid string, payload binary"
+OBJECT = "nth int, offset bigint, type string, size bigint, data binary, oid string"
+
+
+def pack_entry(data: memoryview, start: int, nth: int = 0, shift: int = 0) -> tuple[Entry, int]:
+    """(nth, offset, kind, base_offset, base_oid, payload) of the entry at a place, and the place behind it. shift is what lies before
+    the data in its pack. A delta's payload is the delta; one of its bases is not null."""
+    at, byte = start, data[start]
+    kind = byte >> 4 & 7
+    while data[at] & 0x80:  # the size, which the stream tells too
+        at += 1
+    at += 1
+    base_offset = base_oid = None
+    if kind == OFFSET_DELTA:
+        back = data[at] & 0x7F
+        while data[at] & 0x80:
+            at += 1
+            back = back + 1 << 7 | data[at] & 0x7F
+        at += 1
+        base_offset = start + shift - back
+    elif kind == REFERENCE_DELTA:
+        base_oid = bytes(data[at : at + 32]).hex()
+        at += 32
+    payload, at = inflate_at(data, at)
+    return (nth, start + shift, dict(OBJECT_TYPES)[kind], base_offset, base_oid, payload), at
+
+
+def pack_entries(content: bytes) -> Iterator[Entry]:
+    """The entries of a pack, one after the other."""
     data = memoryview(content)
-    magic, version, count = PACK.unpack_from(data)
+    magic, version, n = PACK.unpack_from(data)
     if magic != b"PACK" or version != 2:
         raise ValueError("no pack of version 2")
-    names = dict(OBJECT_TYPES)
-    by_offset: dict[int, tuple[str, bytes]] = {}
-    by_oid: dict[str, tuple[str, bytes]] = {}
-    rows, at = [], PACK.size
-    for nth in range(count):
-        start, byte = at, data[at]
-        kind = byte >> 4 & 7
-        while data[at] & 0x80:  # the size, which the stream tells too
-            at += 1
-        at += 1
-        base: tuple[str, bytes] | None = None
-        if kind == OFFSET_DELTA:
-            back = data[at] & 0x7F
-            while data[at] & 0x80:
-                at += 1
-                back = back + 1 << 7 | data[at] & 0x7F
-            at += 1
-            base = by_offset.get(start - back)
-        elif kind == REFERENCE_DELTA:
-            base = by_oid.get(bytes(data[at : at + 32]).hex())
-            at += 32
-        payload, at = inflate_at(data, at)
-        if kind in (OFFSET_DELTA, REFERENCE_DELTA):
-            if base is None:
-                rows.append((nth, start, names[kind], None, None, None))
-                continue
-            name, payload = base[0], apply_delta(base[1], payload)
-        else:
-            name = names[kind]
-        oid = hashlib.sha256(f"{name} {len(payload)}\0".encode() + payload).hexdigest()
-        by_offset[start] = by_oid[oid] = (name, payload)
-        rows.append((nth, start, name, len(payload), payload, oid))
-    return rows
+    at = PACK.size
+    for nth in range(n):
+        entry, at = pack_entry(data, at, nth)
+        yield entry
+
+
+def objects_of(entries: DataFrame, external: DataFrame | None = None) -> DataFrame:
+    """entries (file, ENTRY) to file, OBJECT, with deltas resolved by joins: those of whole objects first, then those of the objects
+    that this gives, and so on; a round for each link of the longest chain.
+
+    Bases are looked up in the same file, by place or by id, and in external (oid, type, data). A delta whose base is nowhere has
+    neither data nor id.
+    """
+    entries = cut(entries, "entries")
+    whole = entries.where("base_offset is null and base_oid is null").select("file", "nth", "offset", F.col("kind").alias("type"), F.octet_length("payload").cast("bigint").alias("size"), F.col("payload").alias("data"))
+    found = cut(whole.withColumn("oid", object_id(F.col("type"), F.col("data"))), "objects")
+    done, left = [found], entries.where("base_offset is not null or base_oid is not null")
+    if external is not None:
+        mine = left.where("base_oid is not null").join(found.select("file", F.col("oid").alias("base_oid")), ["file", "base_oid"], "left_anti")
+        outside = mine.join(external.select(F.col("oid").alias("base_oid"), F.col("type").alias("base_type"), F.col("data").alias("base")), "base_oid")
+        done.append(cut(_applied(outside), "objects"))
+        found = found.unionByName(done[-1])
+    while not left.isEmpty():
+        base = found.select("file", F.col("offset").alias("base_offset"), F.col("oid").alias("base_oid"), F.col("type").alias("base_type"), F.col("data").alias("base"))
+        met = [left.where(f"{key} is not null").join(base.drop(other), ["file", key]) for key, other in (("base_offset", "base_oid"), ("base_oid", "base_offset"))]
+        found = cut(_applied(met[0].unionByName(met[1], allowMissingColumns=True)).dropDuplicates(["file", "offset"]), "objects")
+        left = cut(left.join(reduce(DataFrame.unionByName, [*done, found]).select("file", "offset"), ["file", "offset"], "left_anti"), "entries")
+        if found.isEmpty():
+            break
+        done.append(found)
+    none = lambda c: F.lit(None).cast(c)
+    done.append(left.select("file", "nth", "offset", F.col("kind").alias("type"), none("bigint").alias("size"), none("binary").alias("data"), none("string").alias("oid")))
+    return reduce(DataFrame.unionByName, done)
+
+
+def _applied(rows: DataFrame) -> DataFrame:
+    """rows (file, nth, offset, payload, base_type, base) as objects."""
+    new = rows.select("file", "nth", "offset", F.col("base_type").alias("type"), delta_apply("base", "payload").alias("data"))
+    return new.select("file", "nth", "offset", "type", F.octet_length("data").cast("bigint").alias("size"), "data", object_id(F.col("type"), F.col("data")).alias("oid"))
 
 
 def staged(content: bytes, width: int = 32) -> list[tuple]:
@@ -107,6 +148,18 @@ def multi_pack_rows(content: bytes, width: int = 32) -> pd.DataFrame:
     return pd.DataFrame({"oid": [r.tobytes().hex() for r in raw], "pack": pack.astype(np.int32), "offset": offset.astype(np.int64)})
 
 
+def commit_graph_rows(content: bytes) -> pd.DataFrame:
+    """position, oid, parent1, parent2, generation, commit_time; a parent of all ones is null."""
+    if content[:4] != b"CGPH":
+        raise ValueError("no commit graph")
+    ids = 8 + 1024
+    n = int.from_bytes(content[ids - 4 : ids])
+    oids = [content[ids + 32 * i : ids + 32 * i + 32].hex() for i in range(n)]
+    data = np.frombuffer(content, np.dtype([("generation", ">u4"), ("commit_time", ">u8"), ("parent1", ">u4"), ("parent2", ">u4")]), n, ids + 32 * n)
+    parent = lambda c: pd.Series(data[c].astype(np.int64)).where(data[c] != NO_PARENT).astype("Int64")
+    return pd.DataFrame({"position": np.arange(n), "oid": oids, "parent1": parent("parent1"), "parent2": parent("parent2"), "generation": data["generation"].astype(np.int32), "commit_time": data["commit_time"].astype(np.int64)})
+
+
 def _read(spark: SparkSession, root: str, glob: str, pattern: str, rows, schema: str) -> DataFrame:
     named = binary_files(spark, root, glob).select(F.regexp_extract("path", pattern, 1).alias("file"), "content")
 
@@ -120,26 +173,79 @@ def _read(spark: SparkSession, root: str, glob: str, pattern: str, rows, schema:
     return named.mapInPandas(run, f"file string, {schema}")
 
 
-def packs(spark: SparkSession, root: str) -> DataFrame:
-    """pack, nth, offset, type, size, data, oid of all *.pack files. A pack is read by one task, as its deltas need each other."""
-    columns = ["nth", "offset", "type", "size", "data", "oid"]
-    frame = lambda content: pd.DataFrame(pack_objects(content), columns=columns).astype({"size": "Int64"})
-    return _read(spark, root, "*.pack", r"/([^/]+)\.pack$", frame, "nth int, offset bigint, type string, size bigint, data binary, oid string").withColumnRenamed("file", "pack")
+def _frame(file: str, entries: list[Entry]) -> pd.DataFrame:
+    out = pd.DataFrame(entries, columns=["nth", "offset", "kind", "base_offset", "base_oid", "payload"]).astype({"nth": "int32", "offset": "int64", "base_offset": "Int64"})
+    out.insert(0, "file", file)
+    return out
+
+
+def _entries(spark: SparkSession, root: str, glob: str, pattern: str, find: Callable[[bytes], bytes | None]) -> DataFrame:
+    """Entries of the packs that find() takes out of files, a few hundred in memory at a time."""
+    named = binary_files(spark, root, glob).select(F.regexp_extract("path", pattern, 1).alias("file"), "content")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for file, content in zip(batch["file"], batch["content"], strict=True):
+                pack = find(bytes(content))
+                entries = iter(pack_entries(pack) if pack else ())
+                while part := list(islice(entries, AT_ONCE)):
+                    yield _frame(file, part)
+
+    return named.mapInPandas(run, f"file string, {ENTRY}")
+
+
+def packs(spark: SparkSession, root: str, external: DataFrame | None = None) -> DataFrame:
+    """pack, OBJECT of all *.pack files. A file is one row of the reader, so it has 2 GB at most; indexed_packs() has no such limit."""
+    return objects_of(_entries(spark, root, "*.pack", r"/([^/]+)\.pack$", lambda content: content), external).withColumnRenamed("file", "pack")
+
+
+def indexed_packs(spark: SparkSession, root: str, external: DataFrame | None = None) -> DataFrame:
+    """pack, OBJECT of all packs with an index beside them, read by the ranges that the offsets give: a pack of any size is shared
+    out among tasks, and nth counts in the order of offsets within a range."""
+    files = binary_files(spark, root, "*.pack").select("path", F.regexp_extract("path", r"/([^/]+)\.pack$", 1).alias("pack"), "length")
+    index = pack_indexes(spark, root).select("pack", "offset", F.floor(F.col("offset") / RANGE).alias("range"))
+    inside = F.lead("offset").over(Window.partitionBy("pack", "range").orderBy("offset"))
+    first = index.groupBy("pack", "range").agg(F.min("offset").alias("first"))
+    after = first.select("pack", "range", F.lead("first").over(Window.partitionBy("pack").orderBy("range")).alias("after"))
+    rows = index.withColumn("inner", inside).join(after, ["pack", "range"]).join(files, "pack")
+    rows = rows.select("path", "pack", "range", "offset", F.coalesce("inner", "after", F.col("length") - TRAILER).alias("end"))
+    dealt = rows.repartition("pack", "range").sortWithinPartitions("pack", "range", "offset")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        opened, path = None, None
+        for batch in batches:
+            for name, part in batch.groupby("path", sort=False):
+                if name != path:
+                    store, plain = fs.FileSystem.from_uri(name)
+                    opened, path = store.open_input_file(plain), name
+                entries = []
+                for nth, (start, end) in enumerate(zip(part["offset"], part["end"], strict=True)):
+                    opened.seek(start)
+                    entries.append(pack_entry(memoryview(opened.read(end - start)), 0, nth, start)[0])
+                yield _frame(part["pack"].iloc[0], entries)
+
+    return objects_of(dealt.mapInPandas(run, f"file string, {ENTRY}"), external).withColumnRenamed("file", "pack")
+
+
+def responses(spark: SparkSession, root: str, glob: str = "*.response", external: DataFrame | None = None) -> DataFrame:
+    """file, OBJECT of the packs in captured responses; one without a pack gives no rows."""
+    return objects_of(_entries(spark, root, glob, "/([^/]+)$", lambda content: bands(content)["pack"]), external)
 
 
-def responses(spark: SparkSession, root: str, glob: str = "*.response") -> DataFrame:
-    """file, nth, offset, type, size, data, oid of the packs in captured responses; one without a pack gives no rows."""
+def bundles(spark: SparkSession, root: str, external: DataFrame | None = None) -> DataFrame:
+    """bundle, OBJECT of the packs behind the headers of all *.bundle files."""
+    entries = _entries(spark, root, "*.bundle", r"/([^/]+)\.bundle$", lambda content: content.partition(b"\n\n")[2])
+    return objects_of(entries, external).withColumnRenamed("file", "bundle")
 
-    def rows(content: bytes) -> pd.DataFrame:
-        pack = bands(content)["pack"]
-        return pd.DataFrame(pack_objects(pack) if pack else [], columns=["nth", "offset", "type", "size", "data", "oid"]).astype({"nth": "int32", "offset": "int64", "size": "Int64"})
 
-    return _read(spark, root, glob, "/([^/]+)$", rows, "nth int, offset bigint, type string, size bigint, data binary, oid string")
+def commit_graphs(spark: SparkSession, root: str, glob: str = "commit-graph") -> DataFrame:
+    """file, position, oid, parent1, parent2, generation, commit_time of all commit-graph files below root."""
+    return _read(spark, root, glob, "/([^/]+)$", commit_graph_rows, "position bigint, oid string, parent1 bigint, parent2 bigint, generation int, commit_time bigint")
 
 
-def staging_files(spark: SparkSession, root: str, glob: str = "index") -> DataFrame:
-    """file, path, stage, oid, mode, size, mtime of all staging files below root."""
-    frame = lambda content: pd.DataFrame(staged(content), columns=["path", "stage", "oid", "mode", "size", "mtime"])
+def staging_files(spark: SparkSession, root: str, glob: str = "index", width: int = 32) -> DataFrame:
+    """file, path, stage, oid, mode, size, mtime of all staging files below root; width: the bytes of an id."""
+    frame = lambda content: pd.DataFrame(staged(content, width), columns=["path", "stage", "oid", "mode", "size", "mtime"])
     return _read(spark, root, glob, "([^/]+/[^/]+)$", frame, "path string, stage int, oid string, mode int, size bigint, mtime bigint")
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,11 +21,25 @@ IDX_MAGIC, IDX_VERSION, FANOUT_BYTES, TRAILER_BYTES = b"\xfftOc", 2, 1024, 64
 LARGE_OFFSET = 1 << 31  # from here on, an offset is a place in the table of 64-bit offsets
 
 
+# Directories that adding a directory passes over.
+PASSED_OVER = (".git", "build", "build-linux")
+
+
 def binary_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     return (reader.option("pathGlobFilter", glob) if glob else reader).load(root)
 
 
+def working_files(spark: SparkSession, root: str) -> DataFrame:
+    """path (below root), size and data of the files of a working tree, without those in PASSED_OVER."""
+    files = binary_files(spark, root)
+    plain = re.sub("^[a-z]+:/*", "/", root.rstrip("/"))  # the reader spells a scheme with one slash or three
+    below = F.regexp_extract("path", rf"^[a-z]*:?/*{re.escape(plain.lstrip('/'))}/(.*)$", 1)
+    hidden = rf"(^|/)({'|'.join(map(re.escape, PASSED_OVER))})/"
+    named = files.select(below.alias("path"), F.col("length").alias("size"), F.col("content").alias("data"))
+    return named.where(~F.col("path").rlike(hidden))
+
+
 def loose_objects(spark: SparkSession, root: str) -> DataFrame:
     """oid, type, size, data of the files `xx/yyyy...` below root; other names are passed over."""
     pattern = r"/([0-9a-f]{2})/([0-9a-f]{38,126})$"
@@ -75,16 +91,14 @@ def pack_indexes(spark: SparkSession, root: str) -> DataFrame:
                 width = next(w for w in (32, 20, 48, 64) if at + n * (w + 8) <= len(content) - 2 * min(w, TRAILER_BYTES) and (len(content) - at - n * (w + 8) - 2 * w) % 8 == 0)
                 crc, offset = at + n * width, at + n * (width + 4)
                 large, end = offset + 4 * n, len(content) - 2 * min(width, TRAILER_BYTES)
-                rows = []
-                for i in range(n):
-                    value = int.from_bytes(content[offset + 4 * i : offset + 4 * i + 4])
-                    if value >= LARGE_OFFSET:
-                        k = large + 8 * (value - LARGE_OFFSET)
-                        if k + 8 > end:
-                            raise ValueError(f"{pack} has an offset beyond its table of large offsets")
-                        value = int.from_bytes(content[k : k + 8])
-                    rows.append((pack, content[at + i * width : at + (i + 1) * width].hex(), int.from_bytes(content[crc + 4 * i : crc + 4 * i + 4]), value))
-                yield pd.DataFrame(rows, columns=["pack", "oid", "crc32", "offset"])
+                ids = np.frombuffer(content, np.uint8, n * width, at).reshape(n, width)
+                crcs, places = (np.frombuffer(content, ">u4", n, k).astype(np.int64) for k in (crc, offset))
+                far = places >= LARGE_OFFSET
+                table = np.frombuffer(content, ">u8", (end - large) // 8, large).astype(np.int64)
+                if far.any() and (places[far] - LARGE_OFFSET).max() >= len(table):
+                    raise ValueError(f"{pack} has an offset beyond its table of large offsets")
+                places[far] = table[places[far] - LARGE_OFFSET]
+                yield pd.DataFrame({"pack": pack, "oid": [r.tobytes().hex() for r in ids], "crc32": crcs, "offset": places})
 
     return files.mapInPandas(open_, "pack string, oid string, crc32 bigint, offset bigint")
 

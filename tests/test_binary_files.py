@@ -6,7 +6,7 @@ import zlib
 import pytest
 
 from cairnspark.functions.binary import make_delta
-from cairnspark.sources import binary_files
+from cairnspark.sources import binary_files, files, writers
 
 
 def head(kind, size):
@@ -48,7 +48,11 @@ def test_packs(spark, tmp_path):
     assert got == [("a", i, offsets[i], *row) for i, row in enumerate(rows)]
     (tmp_path / "b.pack").write_bytes(body[:60])
     with pytest.raises(ValueError):
-        binary_files.pack_objects(body[:60])
+        list(binary_files.pack_entries(body[:60]))
+    (tmp_path / "b.pack").unlink()
+    outside = spark.createDataFrame([(bytes(32).hex(), "blob", bytearray(base))], "oid string, type string, data binary")
+    thin = {r["nth"]: (r["type"], r["size"], r["oid"]) for r in binary_files.packs(spark, str(tmp_path), outside).collect()}
+    assert thin == {**{i: row for i, row in enumerate(rows[:4])}, 4: blob(other)}
 
 
 def test_staging_files(spark, tmp_path):
@@ -70,3 +74,32 @@ def test_multi_packs(spark, tmp_path):
     (tmp_path / "m.midx").write_bytes(body)
     got = sorted((r["oid"], r["pack"], r["offset"]) for r in binary_files.multi_packs(spark, str(tmp_path)).collect())
     assert got == [(x.hex(), i % 2, 100 + i) for i, x in enumerate(ids)]
+
+
+def test_written_packs(spark, tmp_path, monkeypatch):
+    """Long chains of deltas, read as whole files and by ranges of a few bytes."""
+    monkeypatch.setattr(binary_files, "RANGE", 64)
+    texts = [b"line %d\n" % k * 400 for k in range(12)]
+    for k in range(1, 12):
+        texts[k] = texts[k - 1][:-50] + b"changed %d" % k
+    ids = [oid("blob", t).hex() for t in texts]
+    rows = [("pack-x", ids[k], "blob", bytearray(make_delta(texts[k - 1], texts[k]) if k else texts[0]), ids[k - 1] if k else None) for k in range(12)] + [("pack-y", oid("tag", b"t").hex(), "tag", bytearray(b"t"), None)]
+    index = writers.write_packs(spark.createDataFrame(rows, "pack string, oid string, type string, data binary, base_oid string"), f"file://{tmp_path}")
+    want = {("pack-x", i, "blob", t) for i, t in zip(ids, texts, strict=True)} | {("pack-y", oid("tag", b"t").hex(), "tag", b"t")}
+    for read in (binary_files.packs, binary_files.indexed_packs):
+        assert {(r["pack"], r["oid"], r["type"], bytes(r["data"])) for r in read(spark, str(tmp_path)).collect()} == want
+    body = (tmp_path / "pack-x.pack").read_bytes()
+    assert hashlib.sha256(body[:-32]).digest() == body[-32:]
+    packed = sorted(tuple(r) for r in files.pack_indexes(spark, str(tmp_path)).select("pack", "oid", "crc32", "offset").collect())
+    assert packed == sorted(tuple(r) for r in index.select("pack", "oid", "crc32", "offset").collect())
+    places = sorted(r[3] for r in packed if r[0] == "pack-x") + [len(body) - 32]
+    assert {r[3]: r[2] for r in packed if r[0] == "pack-x"} == {a: zlib.crc32(body[a:b]) for a, b in zip(places, places[1:], strict=False)}
+    idx = (tmp_path / "pack-x.idx").read_bytes()
+    assert idx[-64:-32] == body[-32:] and hashlib.sha256(idx[:-32]).digest() == idx[-32:]
+
+
+def test_staging_ids_of_other_widths():
+    name = b"a"
+    one = b"".join(x.to_bytes(4, "big") for x in (0,) * 6 + (0o100644, 0, 0, 5)) + bytes(range(20)) + (1).to_bytes(2, "big") + name
+    body = b"DIRC" + (2).to_bytes(4, "big") + (1).to_bytes(4, "big") + one + bytes(8 - len(one) % 8)
+    assert binary_files.staged(body, 20) == [("a", 0, bytes(range(20)).hex(), 0o100644, 5, 0)]
