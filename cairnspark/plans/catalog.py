@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cairnspark.functions import binary, codec, hashing
-from cairnspark.model import MODE_TREE, NO_OID
+from cairnspark.model import MODE_FILE, MODE_TREE, NO_OID, VERSION
 from cairnspark.operators import compare, graph, index, objects, packs, refs, sync, text, trees
 from cairnspark.plans import derive
+from cairnspark.scratch import cut, shared_folder
+from cairnspark.sources import binary_files, checkout, writers
 from cairnspark.sources import files as file_sources
 from cairnspark.streaming import reflog as reflog_streams
 
@@ -21,12 +26,12 @@ ORACLE_SQL: dict[str, str] = {}
 BLOB_OID = "sha256(encode('blob ' || octet_length(encode({0}))) || '\\x00'::BLOB || encode({0}))"
 FILES = f"""files AS (SELECT doc_id, lang, source, text, lang || '/' || source || '/' || doc_id || '.txt' AS path, 33188 AS mode, 0 AS stage,
   octet_length(encode(text))::BIGINT AS size, {BLOB_OID.format('text')} AS oid FROM documents)"""
-INDEX = FILES + ",\nidx AS (SELECT * FROM files WHERE doc_id % 11 <> 0)"
+INDEX = FILES + ",\nidx AS (SELECT * FROM files WHERE source <> 'src7')"
 WORKTREE = INDEX + f""",
-wt0 AS (SELECT doc_id, lang, source, path, mode, CASE WHEN doc_id % 7 = 0 THEN text || chr(10) || 'X' ELSE text END AS text FROM files WHERE doc_id % 13 <> 0),
+wt0 AS (SELECT doc_id, lang, source, path, mode, CASE WHEN lang = 'de' THEN text || chr(10) || 'X' ELSE text END AS text FROM files WHERE source <> 'src3'),
 wt AS (SELECT *, octet_length(encode(text))::BIGINT AS size, {BLOB_OID.format('text')} AS oid FROM wt0)"""
 CONFLICTS = INDEX + f""",
-c0 AS (SELECT path, mode, s AS stage, text || s AS text FROM files, (VALUES (1), (2), (3)) v(s) WHERE doc_id % 17 = 0 AND NOT (s = 1 AND doc_id % 34 = 0)),
+c0 AS (SELECT path, mode, s AS stage, text || s AS text FROM files, (VALUES (1), (2), (3)) v(s) WHERE source = 'src5' AND NOT (s = 1 AND lang = 'fr')),
 conf AS (SELECT path, stage, {BLOB_OID.format('text')} AS oid, mode, octet_length(encode(text))::BIGINT AS size FROM c0)"""
 STATUS = WORKTREE + """,
 status AS (SELECT coalesce(idx.path, wt.path) AS path,
@@ -37,17 +42,22 @@ LINES = "CASE WHEN string_split({0}, chr(10))[-1] = '' THEN string_split({0}, ch
 CHANGED = STATUS + f""",
 changed AS (SELECT s.path, {LINES.format('i.text')} AS old, {LINES.format('w.text')} AS new FROM status s JOIN idx i ON i.path = s.path JOIN wt w ON w.path = s.path
   WHERE worktree_status = 'WT_MODIFIED')"""
-COMMITS = """c0 AS (SELECT sha256('commit ' || o_orderkey) AS oid, o_custkey, o_orderkey, o_orderpriority, o_orderdate FROM orders),
-commits AS (SELECT oid, o_custkey, o_orderkey, o_orderpriority, row_number() OVER w AS seq, lag(oid) OVER w AS parent1,
-  CASE WHEN o_orderkey % 5 = 0 THEN lag(oid, 3) OVER w END AS parent2 FROM c0 WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+COMMITS = """c0 AS (SELECT sha256('commit ' || o_orderkey) AS oid, o_custkey, o_orderkey, o_orderpriority, o_orderstatus, o_orderdate FROM orders),
+commits AS (SELECT oid, o_custkey, o_orderkey, o_orderpriority, o_orderstatus, row_number() OVER w AS seq, CASE WHEN o_orderstatus = 'F' THEN lag(oid, 2) OVER w ELSE lag(oid) OVER w END AS parent1,
+  CASE WHEN o_orderpriority = '1-URGENT' THEN lag(oid, 3) OVER w END AS parent2, epoch(o_orderdate)::BIGINT AS commit_time FROM c0 WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
 edges AS (SELECT oid AS child, parent1 AS parent, 1 AS nth FROM commits WHERE parent1 IS NOT NULL UNION ALL SELECT oid, parent2, 2 FROM commits WHERE parent2 IS NOT NULL),
 heads AS (SELECT o_custkey, max_by(oid, seq) AS last, min_by(oid, seq) AS first FROM commits GROUP BY 1)"""
+# Recursive CTEs: first-parent history of the heads, and all ancestors of all commits.
+WALK = COMMITS + """,
+walk AS (SELECT last AS head, 0 AS depth, last AS oid FROM heads UNION ALL SELECT head, depth + 1, parent1 FROM walk JOIN commits USING (oid) WHERE parent1 IS NOT NULL)"""
+ABOVE = COMMITS + """,
+above AS (SELECT oid, oid AS anc FROM commits UNION SELECT oid, parent FROM above JOIN edges ON child = anc)"""
 REFS = COMMITS + """,
-ends AS (SELECT o_custkey, last, first, n_name FROM heads JOIN customer ON c_custkey = o_custkey JOIN nation ON c_nationkey = n_nationkey),
+ends AS (SELECT o_custkey, last, first, n_name, c_mktsegment, c_acctbal FROM heads JOIN customer ON c_custkey = o_custkey JOIN nation ON c_nationkey = n_nationkey),
 refs AS (SELECT 'refs/heads/' || n_name || '/' || o_custkey AS name, last AS oid, NULL AS target FROM ends
   UNION ALL SELECT 'refs/tags/' || o_custkey, first, NULL FROM ends
-  UNION ALL SELECT 'refs/alias/' || o_custkey, NULL, 'refs/heads/' || n_name || '/' || o_custkey FROM ends WHERE o_custkey % 10 = 0
-  UNION ALL SELECT 'refs/alias2/' || o_custkey, NULL, 'refs/alias/' || o_custkey FROM ends WHERE o_custkey % 50 = 0)"""
+  UNION ALL SELECT 'refs/alias/' || o_custkey, NULL, 'refs/heads/' || n_name || '/' || o_custkey FROM ends WHERE c_mktsegment = 'BUILDING'
+  UNION ALL SELECT 'refs/alias2/' || o_custkey, NULL, 'refs/alias/' || o_custkey FROM ends WHERE c_mktsegment = 'BUILDING' AND c_acctbal < 0)"""
 CHANGES = "changes AS (SELECT 'refs/heads/user-' || user_id AS ref, ts, sha256(event_id::VARCHAR) AS oid, event_type AS message FROM events)"
 PACKS = """p0 AS (SELECT strftime(l_shipdate, '%Y%m') AS pack, sha256(l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey) AS oid,
   l_partkey % 1000 + 20 AS size, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem),
@@ -55,6 +65,11 @@ pack_idx AS (SELECT pack, oid, size, (12 + coalesce(sum(size) OVER (PARTITION BY
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS "offset" FROM p0)"""
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder among the shared ones, for files that a query writes and reads again."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def query(sql: str | None = None, ctes: str = "", recursive: bool = False):
     """Registers a query under its function's name, with the SQL that checks it."""
 
@@ -80,21 +95,21 @@ def dedup_objects(spark, sf):
     return objects.dedup(derive.objects(spark, sf))
 
 
-@query("SELECT oid, any_value(size) AS size FROM files WHERE doc_id % 3 = 0 AND oid NOT IN (SELECT oid FROM files WHERE doc_id % 2 = 0) GROUP BY oid", FILES)
+@query("SELECT oid, any_value(size) AS size FROM files WHERE oid NOT IN (SELECT oid FROM files WHERE lang = 'en') GROUP BY oid", FILES)
 def write_new_objects(spark, sf):
     all_ = derive.objects(spark, sf)
-    return objects.write_new(all_.where("doc_id % 2 = 0"), all_.where("doc_id % 3 = 0")).select("oid", "size")
+    return objects.write_new(all_.where("lang = 'en'"), all_).select("oid", "size")
 
 
 @query(
     """SELECT oid, any_value(type) AS type, any_value(size) AS size, CASE min(p) WHEN 1 THEN 'loose' WHEN 2 THEN 'midx' ELSE 'pack' END AS source, min(p) AS priority FROM
-    (SELECT oid, 'blob' AS type, size, unnest(CASE WHEN doc_id % 2 = 0 THEN [1, 3] WHEN doc_id % 3 = 0 THEN [2, 3] ELSE [3] END) AS p FROM files) GROUP BY oid""",
+    (SELECT oid, 'blob' AS type, size, unnest(CASE WHEN lang = 'en' THEN [1, 3] WHEN lang = 'de' THEN [2, 3] ELSE [3] END) AS p FROM files) GROUP BY oid""",
     FILES,
 )
 def lookup_by_priority(spark, sf):
-    all_ = derive.objects(spark, sf).drop("source")
+    all_ = derive.objects(spark, sf)
     part = lambda label, rule: all_.where(rule).withColumn("source", F.lit(label))
-    return objects.by_priority([(1, part("loose", "doc_id % 2 = 0")), (2, part("midx", "doc_id % 2 <> 0 and doc_id % 3 = 0")), (3, part("pack", "true"))])
+    return objects.by_priority([(1, part("loose", "lang = 'en'")), (2, part("midx", "lang = 'de'")), (3, part("pack", "true"))])
 
 
 @query("SELECT min(oid) AS oid, count(DISTINCT oid) AS matches FROM files WHERE starts_with(oid, 'a')", FILES)
@@ -112,21 +127,21 @@ def filter_blob_limit(spark, sf):
     return objects.filtered(derive.objects(spark, sf), "blob:limit=2k").select("oid", "size", (F.col("size") > 1000).alias("large"))
 
 
-@query("SELECT doc_id, oid FROM files WHERE doc_id % 5 = 0 AND oid IN (SELECT oid FROM files WHERE doc_id % 2 = 1)", FILES)
+@query("SELECT doc_id, oid FROM files WHERE oid IN (SELECT oid FROM files WHERE lang <> 'en')", FILES)
 def objects_existing(spark, sf):
     all_ = derive.objects(spark, sf)
-    return objects.existing(all_.where("doc_id % 2 = 1"), all_.where("doc_id % 5 = 0")).select("doc_id", "oid")
+    return objects.existing(all_.where("lang <> 'en'"), all_).select("doc_id", "oid")
 
 
-@query("SELECT doc_id, oid FROM files WHERE doc_id % 5 = 0 AND oid NOT IN (SELECT oid FROM files WHERE doc_id % 2 = 1)", FILES)
+@query("SELECT doc_id, oid FROM files WHERE oid NOT IN (SELECT oid FROM files WHERE lang <> 'en')", FILES)
 def objects_missing(spark, sf):
     all_ = derive.objects(spark, sf)
-    return objects.missing(all_.where("doc_id % 2 = 1"), all_.where("doc_id % 5 = 0")).select("doc_id", "oid")
+    return objects.missing(all_.where("lang <> 'en'"), all_).select("doc_id", "oid")
 
 
-@query(f"SELECT doc_id, oid, {BLOB_OID.format('(text || chr(33))')} AS actual FROM files WHERE doc_id % 19 = 0", FILES)
+@query(f"SELECT doc_id, oid, {BLOB_OID.format('(text || chr(33))')} AS actual FROM files WHERE lang = 'es'", FILES)
 def verify_objects(spark, sf):
-    spoilt = F.when(F.col("doc_id") % 19 == 0, F.encode(F.concat("text", F.lit("!")), "UTF-8")).otherwise(F.col("data"))
+    spoilt = F.when(F.col("lang") == "es", F.encode(F.concat("text", F.lit("!")), "UTF-8")).otherwise(F.col("data"))
     return objects.corrupt(derive.objects(spark, sf).withColumn("data", spoilt)).select("doc_id", "oid", "actual")
 
 
@@ -172,20 +187,20 @@ def ls_files(spark, sf):
     return index.listing(derive.index(spark, sf))
 
 
-@query("SELECT path, '100644' AS mode, oid, stage FROM idx WHERE path = (SELECT min(path) FROM idx WHERE doc_id = 7)", INDEX)
+@query("SELECT path, '100644' AS mode, oid, stage FROM idx WHERE path = (SELECT min(path) FROM idx)", INDEX)
 def ls_files_one(spark, sf):
-    one = derive.files(spark, sf).where("doc_id = 7").select("path")
-    return index.listing(derive.index(spark, sf).join(F.broadcast(one), "path", "left_semi"))
+    rows = derive.index(spark, sf)
+    return index.listing(rows, rows.agg(F.min("path")).first()[0])
 
 
-@query("SELECT path, stage, oid, size FROM idx WHERE doc_id % 6 = 0", INDEX)
+@query("SELECT path, stage, oid, size FROM idx", INDEX)
 def index_find(spark, sf):
-    return index.find(derive.index(spark, sf), derive.files(spark, sf).where("doc_id % 6 = 0").select("path", "stage")).select("path", "stage", "oid", "size")
+    return index.find(derive.index(spark, sf), derive.files(spark, sf).select("path", "stage")).select("path", "stage", "oid", "size")
 
 
-@query("SELECT oid, min(path) AS path FROM idx WHERE oid IN (SELECT oid FROM files WHERE doc_id % 4 = 0) GROUP BY oid", INDEX)
+@query("SELECT oid, min(path) AS path FROM idx GROUP BY oid", INDEX)
 def index_find_by_oid(spark, sf):
-    return index.find_by_oid(derive.index(spark, sf), derive.objects(spark, sf).where("doc_id % 4 = 0"))
+    return index.find_by_oid(derive.index(spark, sf), derive.objects(spark, sf))
 
 
 @query("SELECT path, stage, oid, size FROM idx ORDER BY path, stage LIMIT 1 OFFSET 100", INDEX)
@@ -196,9 +211,10 @@ def index_nth(spark, sf):
 ALL_STAGES = CONFLICTS + ",\nall_ AS (SELECT path, stage, oid, mode, size FROM idx WHERE path NOT IN (SELECT path FROM conf) UNION ALL SELECT path, stage, oid, mode, size FROM conf)"
 
 
-@query("SELECT count(*) AS entries, count(*) FILTER (WHERE stage <> 0) AS conflicts, bool_or(stage <> 0) AS has_conflicts, sum(size)::BIGINT AS total_size FROM all_", ALL_STAGES)
+@query("SELECT count(*) AS entries, count(*) FILTER (WHERE stage <> 0) AS conflicts, bool_or(stage <> 0) AS has_conflicts, sum(size)::BIGINT AS total_size, max(size) AS mtime FROM all_", ALL_STAGES)
 def index_stats(spark, sf):
-    return index.stats(index.add_conflicts(derive.index(spark, sf), derive.conflicts(spark, sf)))
+    """The size stands for the time of modification; the checksum, which DuckDB has no function for, is left out."""
+    return index.stats(index.add_conflicts(derive.index(spark, sf), derive.conflicts(spark, sf)).withColumn("mtime", F.col("size"))).drop("checksum")
 
 
 @query("SELECT * FROM all_", ALL_STAGES)
@@ -211,9 +227,9 @@ def conflict_pivot(spark, sf):
     return index.conflicts(index.add_conflicts(derive.index(spark, sf), derive.conflicts(spark, sf)))
 
 
-@query("SELECT * FROM all_ WHERE path NOT IN (SELECT path FROM files WHERE doc_id % 51 = 0)", ALL_STAGES)
+@query("SELECT * FROM all_ WHERE path NOT IN (SELECT path FROM files WHERE lang = 'de')", ALL_STAGES)
 def conflict_remove(spark, sf):
-    return index.remove_conflicts(index.add_conflicts(derive.index(spark, sf), derive.conflicts(spark, sf)), derive.files(spark, sf).where("doc_id % 51 = 0"))
+    return index.remove_conflicts(index.add_conflicts(derive.index(spark, sf), derive.conflicts(spark, sf)), derive.files(spark, sf).where("lang = 'de'"))
 
 
 @query("SELECT path, stage, oid, mode, size FROM idx WHERE path NOT IN (SELECT path FROM wt) UNION ALL SELECT path, 0, oid, mode, size FROM wt", WORKTREE)
@@ -221,14 +237,14 @@ def index_upsert(spark, sf):
     return index.upsert(derive.index(spark, sf), derive.worktree(spark, sf))
 
 
-@query("SELECT path, stage, oid, mode, size FROM idx WHERE doc_id % 9 <> 0", INDEX)
+@query("SELECT path, stage, oid, mode, size FROM idx WHERE lang <> 'fr'", INDEX)
 def index_remove(spark, sf):
-    return index.remove(derive.index(spark, sf), derive.files(spark, sf).where("doc_id % 9 = 0"))
+    return index.remove(derive.index(spark, sf), derive.files(spark, sf).where("lang = 'fr'"))
 
 
-@query("SELECT path, stage, oid, mode, size FROM idx WHERE oid NOT IN (SELECT oid FROM files WHERE doc_id % 23 <> 0)", INDEX)
+@query("SELECT path, stage, oid, mode, size FROM idx WHERE oid NOT IN (SELECT oid FROM files WHERE lang <> 'es')", INDEX)
 def doctor_missing(spark, sf):
-    return index.without_object(derive.index(spark, sf), derive.objects(spark, sf).where("doc_id % 23 <> 0"))
+    return index.without_object(derive.index(spark, sf), derive.objects(spark, sf).where("lang <> 'es'"))
 
 
 # Compare
@@ -330,7 +346,7 @@ def tree_build(spark, sf):
 
 def _stored(spark, sf):
     built, entries = trees.build(derive.index(spark, sf).select("path", "mode", "oid"), levels=2)
-    return graph.cut(built), entries
+    return cut(built), entries
 
 
 @query("SELECT (SELECT tree_oid FROM o0) AS root, path, mode, oid FROM idx", TREES)
@@ -346,58 +362,101 @@ def tree_entry(spark, sf):
     return trees.entry(trees.link(built, entries), built, "src3")
 
 
-@query(f"SELECT doc_id, true AS same FROM documents")  # noqa: F541
+@query("SELECT doc_id, 2 AS n, 16384 AS mode, 'é' || doc_id AS name, oid FROM files", FILES)
 def tree_payload_round_trip(spark, sf):
     entry = trees.entry_bytes(F.lit(MODE_TREE), F.col("name"), F.col("oid"))
     parsed = derive.objects(spark, sf).withColumn("name", F.concat(F.lit("é"), F.col("doc_id").cast("string"))).withColumn("e", binary.parse_tree(F.concat(entry, entry)))
     first = F.col("e")[1]
-    return parsed.select("doc_id", ((F.size("e") == 2) & (first["mode"] == MODE_TREE) & (first["name"] == F.col("name")) & (first["oid"] == F.col("oid"))).alias("same"))
+    return parsed.select("doc_id", F.size("e").alias("n"), first["mode"].alias("mode"), first["name"].alias("name"), first["oid"].alias("oid"))
 
 
 # Graph
 
 
-@query("SELECT h.last AS head, (c.n - seq)::INT AS depth, oid AS \"commit\" FROM heads h JOIN commits USING (o_custkey) JOIN (SELECT o_custkey, max(seq) AS n FROM commits GROUP BY 1) c USING (o_custkey) WHERE c.n - seq < 20", COMMITS)
+def _graph(spark, sf):
+    """Commits and edges, each written once for all that a query does with them."""
+    commits = cut(derive.commits(spark, sf), "commits")
+    return commits, cut(derive.edges(commits), "edges")
+
+
+@query("SELECT head, depth, oid AS \"commit\" FROM walk WHERE depth < 20", WALK, recursive=True)
 def log_20(spark, sf):
-    commits = derive.commits(spark, sf)
-    return graph.log(derive.heads(commits).select(F.col("last").alias("head")), derive.edges(commits), 20)
+    commits, edges = _graph(spark, sf)
+    return graph.log(derive.heads(commits).select(F.col("last").alias("head")), edges, 20)
 
 
-@query("SELECT h.last AS head, oid AS ancestor FROM heads h JOIN commits USING (o_custkey) JOIN (SELECT o_custkey, max(seq) AS n FROM commits GROUP BY 1) c USING (o_custkey) WHERE c.n - seq = 5", COMMITS)
+@query("SELECT head, oid AS ancestor FROM walk WHERE depth = 5", WALK, recursive=True)
 def rev_tilde(spark, sf):
-    commits = derive.commits(spark, sf)
-    return graph.ancestor_at(derive.heads(commits).select(F.col("last").alias("head")), derive.edges(commits), 5)
+    commits, edges = _graph(spark, sf)
+    return graph.ancestor_at(derive.heads(commits).select(F.col("last").alias("head")), edges, 5)
 
 
-PAIRS = COMMITS + """,
-pairs AS (SELECT a.oid AS ancestor, d.oid AS descendant, a.seq <= d.seq AS is_ancestor FROM commits a JOIN commits d ON a.o_custkey = d.o_custkey WHERE a.seq % 4 = 1 AND d.seq % 5 = 2 AND a.o_custkey % 10 = 1)"""
+PAIRS = ABOVE + """,
+next AS (SELECT o_custkey, last, lead(last, 1, last) OVER (ORDER BY o_custkey) AS other FROM heads),
+asked AS (SELECT oid AS a, last AS d FROM commits JOIN next USING (o_custkey) UNION SELECT last, oid FROM commits JOIN next USING (o_custkey)
+  UNION SELECT oid, other FROM commits JOIN next USING (o_custkey) UNION SELECT parent2, oid FROM commits WHERE parent2 IS NOT NULL),
+pairs AS (SELECT a AS ancestor, d AS descendant, above.oid IS NOT NULL AS is_ancestor FROM asked LEFT JOIN above ON above.oid = d AND anc = a)"""
 
 
 def _pairs(commits):
-    a = commits.where("seq % 4 = 1 and o_custkey % 10 = 1").select(F.col("oid").alias("ancestor"), "o_custkey")
-    d = commits.where("seq % 5 = 2").select(F.col("oid").alias("descendant"), "o_custkey")
-    return graph.cut(a.join(d, "o_custkey").select("ancestor", "descendant"))
+    """Each commit against the last one of its customer, both ways round, and against the last one of the next customer; merges
+    against what they merge."""
+    heads = derive.heads(commits)
+    keys = heads.select("o_custkey").agg(F.max("o_custkey")).first()[0]
+    near = Window.partitionBy("part").orderBy("o_custkey")
+    parted = heads.withColumn("part", F.floor(F.col("o_custkey") * 64 / (keys + 1)))
+    ends = parted.groupBy("part").agg(F.min_by("last", "o_custkey").alias("start"))  # 64 rows
+    ends = ends.select("part", F.lead("start").over(Window.orderBy("part")).alias("following"))
+    nexts = parted.withColumn("beside", F.lead("last").over(near)).join(F.broadcast(ends), "part").select("o_custkey", "last", F.coalesce("beside", "following", "last").alias("other"))
+    own = commits.select("o_custkey", "oid").join(nexts, "o_custkey")
+    pair = lambda a, d: F.struct(F.col(a).alias("ancestor"), F.col(d).alias("descendant"))
+    asked = own.select(F.explode(F.array(pair("oid", "last"), pair("last", "oid"), pair("oid", "other"))).alias("p")).select("p.*")
+    return cut(asked.union(commits.where("parent2 is not null").select("parent2", "oid")).distinct(), "pairs")
+
+
+@query("SELECT * FROM pairs", PAIRS, recursive=True)
+def is_ancestor(spark, sf):
+    commits, edges = _graph(spark, sf)
+    return graph.reach(_pairs(commits), edges)
 
 
-@query("SELECT * FROM pairs", PAIRS)
-def is_ancestor(spark, sf):
-    commits = graph.cut(derive.commits(spark, sf))
-    return graph.reach(_pairs(commits), graph.cut(derive.edges(commits)))
+@query("SELECT DISTINCT d AS head, a AS ancestor, walk.oid IS NOT NULL AS is_ancestor FROM (SELECT oid AS a, last AS d FROM commits JOIN heads USING (o_custkey)) LEFT JOIN walk ON head = d AND walk.oid = a", WALK, recursive=True)
+def first_parent_ancestor(spark, sf):
+    commits, edges = _graph(spark, sf)
+    asked = commits.select("o_custkey", F.col("oid").alias("ancestor")).join(derive.heads(commits).select("o_custkey", F.col("last").alias("descendant")), "o_custkey").drop("o_custkey")
+    return graph.first_parent_reach(asked, edges).withColumnRenamed("descendant", "head")
 
 
-@query("SELECT ancestor AS ours, descendant AS theirs, CASE WHEN ancestor = descendant THEN 'UP_TO_DATE' WHEN is_ancestor THEN 'FASTFORWARD' ELSE 'UP_TO_DATE' END AS analysis FROM pairs", PAIRS)
+@query("""SELECT p.ancestor AS ours, p.descendant AS theirs, CASE WHEN p.ancestor = p.descendant THEN 'UP_TO_DATE' WHEN p.is_ancestor THEN 'FASTFORWARD' WHEN b.oid IS NOT NULL THEN 'UP_TO_DATE' ELSE 'NORMAL' END AS analysis
+FROM pairs p LEFT JOIN above b ON b.oid = p.ancestor AND b.anc = p.descendant""", PAIRS, recursive=True)
 def merge_analysis(spark, sf):
-    commits = graph.cut(derive.commits(spark, sf))
-    return graph.merge_analysis(_pairs(commits).select(F.col("ancestor").alias("ours"), F.col("descendant").alias("theirs")), graph.cut(derive.edges(commits)))
+    commits, edges = _graph(spark, sf)
+    return graph.merge_analysis(_pairs(commits).select(F.col("ancestor").alias("ours"), F.col("descendant").alias("theirs")), edges)
+
+
+POSITIONS = """,
+p AS (SELECT oid, row_number() OVER (ORDER BY oid) - 1 AS position FROM commits),
+g AS (SELECT oid, 0 AS g FROM commits UNION SELECT child, g + 1 FROM g JOIN edges ON parent = oid),
+cg AS (SELECT p.position, p.oid, a.position AS parent1, b.position AS parent2, (SELECT max(g) FROM g WHERE g.oid = p.oid)::INT AS generation, commit_time FROM p
+JOIN commits c USING (oid) LEFT JOIN p a ON a.oid = c.parent1 LEFT JOIN p b ON b.oid = c.parent2)"""
 
 
-@query("""SELECT p.position, p.oid, a.position AS parent1, b.position AS parent2, (c.seq - 1)::INT AS generation FROM (SELECT oid, row_number() OVER (ORDER BY oid) - 1 AS position FROM commits) p
-JOIN commits c USING (oid) LEFT JOIN (SELECT oid, row_number() OVER (ORDER BY oid) - 1 AS position FROM commits) a ON a.oid = c.parent1
-LEFT JOIN (SELECT oid, row_number() OVER (ORDER BY oid) - 1 AS position FROM commits) b ON b.oid = c.parent2""", COMMITS)
+def _commit_graph(spark, sf):
+    commits, edges = _graph(spark, sf)
+    return graph.topological(edges, objects.positions(commits.select("oid")), graph.generations(commits, edges)).join(commits.select("oid", "commit_time"), "oid")
+
+
+@query("SELECT * FROM cg", COMMITS + POSITIONS, recursive=True)
 def commit_graph(spark, sf):
-    commits = graph.cut(derive.commits(spark, sf))
-    edges = graph.cut(derive.edges(commits))
-    return graph.topological(edges, objects.positions(commits.select("oid")), graph.generations(commits, edges))
+    return _commit_graph(spark, sf)
+
+
+@query("SELECT * FROM cg", COMMITS + POSITIONS, recursive=True)
+def commit_graph_scan(spark, sf):
+    """Written as a file and read again."""
+    root = folder(spark, "graph")
+    writers.write_commit_graph(_commit_graph(spark, sf), root)
+    return binary_files.commit_graphs(spark, root).drop("file")
 
 
 SIGNATURE = "'c' || o_custkey || ' <c' || o_custkey || '@example.com> ' || o_orderkey || ' +0000'"
@@ -412,38 +471,52 @@ chain(o_custkey, seq, o_orderkey, oid) AS (
 
 @query("SELECT o_orderkey, oid FROM chain", CHAIN, recursive=True)
 def commit_chain_oids(spark, sf):
-    """Ids that hold their parent's id can only be computed one after the other, so a chain is folded inside its group."""
     name = F.concat(F.lit("c"), F.col("o_custkey").cast("string"))
     signature = codec.signature_text(name, F.concat(name, F.lit("@example.com")), F.col("o_orderkey"), F.lit(0))
-    rows = derive.commits(spark, sf).select("o_custkey", F.struct("seq", "o_orderkey", derive.sha(F.col("o_orderkey").cast("string")).alias("tree"), signature.alias("sig"), F.col("o_orderpriority").alias("message")).alias("c"))
-    start = F.from_json(F.lit("[]"), "array<struct<o_orderkey:bigint,oid:string>>")
-
-    def step(done, c):
-        parents = F.when(F.size(done) > 0, F.array(F.get(done, F.size(done) - 1)["oid"])).otherwise(F.from_json(F.lit("[]"), "array<string>"))
-        data = F.encode(codec.commit_text(c["tree"], parents, c["sig"], c["sig"], c["message"]), "UTF-8")
-        return F.concat(done, F.array(F.struct(c["o_orderkey"].alias("o_orderkey"), hashing.object_id(F.lit("commit"), data).alias("oid"))))
-
-    chains = rows.groupBy("o_custkey").agg(F.aggregate(F.array_sort(F.collect_list("c")), start, step).alias("chain"))
-    return chains.select(F.explode("chain").alias("x")).select("x.o_orderkey", "x.oid")
+    head = F.concat(F.lit("tree "), derive.sha(F.col("o_orderkey").cast("string")), F.lit("\n"))
+    tail = F.concat(F.lit("author "), signature, F.lit("\ncommitter "), signature, F.lit("\n\n"), F.col("o_orderpriority"))
+    rows = derive.commits(spark, sf).select(F.col("o_custkey").alias("chain"), "seq", F.col("o_orderkey").alias("key"), head.alias("head"), tail.alias("tail"))
+    return graph.chain_ids(rows).withColumnRenamed("key", "o_orderkey")
 
 
-@query("SELECT oid FROM commits WHERE o_custkey % 7 = 0", COMMITS)
+@query("SELECT DISTINCT anc AS oid FROM above WHERE oid IN (SELECT last FROM heads)", ABOVE, recursive=True)
 def reachable(spark, sf):
-    commits = graph.cut(derive.commits(spark, sf))
-    return graph.reachable(derive.heads(commits).where("o_custkey % 7 = 0").select(F.col("last").alias("oid")), graph.cut(derive.edges(commits)))
+    commits, edges = _graph(spark, sf)
+    return graph.reachable(derive.heads(commits).select(F.col("last").alias("oid")), edges)
 
 
-@query("SELECT DISTINCT c.oid FROM commits c JOIN (SELECT o_custkey, max(seq) AS n FROM commits GROUP BY 1) m USING (o_custkey) JOIN commits h ON h.o_custkey = c.o_custkey AND h.seq = m.n WHERE c.o_custkey % 7 = 0 AND (m.n - c.seq <= 1 OR c.oid = h.parent2)", COMMITS)
+@query("SELECT last AS oid FROM heads UNION SELECT parent FROM heads JOIN edges ON child = last", COMMITS)
 def reachable_shallow(spark, sf):
-    commits = graph.cut(derive.commits(spark, sf))
-    return graph.reachable(derive.heads(commits).where("o_custkey % 7 = 0").select(F.col("last").alias("oid")), derive.edges(commits), depth=1)
+    commits, edges = _graph(spark, sf)
+    return graph.reachable(derive.heads(commits).select(F.col("last").alias("oid")), edges, depth=1)
 
 
-@query("SELECT o_custkey AS name, last AS oid, n > 1 AS merged FROM heads JOIN (SELECT o_custkey, max(seq) AS n FROM commits GROUP BY 1) USING (o_custkey)", COMMITS)
+@query("SELECT o_custkey AS name, CASE WHEN ok THEN last ELSE first END AS oid, ok AS merged FROM (SELECT h.*, first <> last AND above.oid IS NOT NULL AS ok FROM heads h LEFT JOIN above ON above.oid = last AND anc = first)", ABOVE, recursive=True)
 def fast_forward(spark, sf):
-    commits = graph.cut(derive.commits(spark, sf))
+    commits, edges = _graph(spark, sf)
     heads = derive.heads(commits).select(F.col("o_custkey").alias("name"), F.col("first").alias("ours"), F.col("last").alias("theirs"))
-    return graph.fast_forward(graph.cut(heads), graph.cut(derive.edges(commits)))
+    return graph.fast_forward(cut(heads, "heads"), edges)
+
+
+SPECS = REFS + """,
+named AS (SELECT oid AS ref_oid, name FROM (SELECT last AS oid, n_name || '/' || o_custkey AS name, first, o_custkey FROM ends)),
+up AS (SELECT oid, parent1 AS p1, parent2 AS p2 FROM commits),
+specs AS (SELECT name || '~2' AS spec, b.p1 AS oid FROM named JOIN up a ON a.oid = ref_oid LEFT JOIN up b ON b.oid = a.p1
+  UNION ALL SELECT name || '^2~1', b.p1 FROM named JOIN up a ON a.oid = ref_oid LEFT JOIN up b ON b.oid = a.p2
+  UNION ALL SELECT 'refs/heads/' || name || '^^0', a.p1 FROM named JOIN up a ON a.oid = ref_oid
+  UNION ALL SELECT o_custkey::VARCHAR, first FROM ends UNION ALL SELECT oid || '^', p1 FROM up UNION ALL SELECT 'none/' || oid, NULL FROM up)"""
+
+
+@query("SELECT * FROM specs", SPECS)
+def rev_names(spark, sf):
+    """Branches, tags, full refs and ids with steps behind them, and names that there are not."""
+    commits, edges = _graph(spark, sf)
+    refs_ = cut(derive.refs(spark, sf), "refs")
+    branch = F.regexp_replace("name", "^refs/(heads|tags)/", "")
+    of_branch = refs_.where("name like 'refs/heads/%'").select(F.explode(F.array(F.concat(branch, F.lit("~2")), F.concat(branch, F.lit("^2~1")), F.concat("name", F.lit("^^0")))).alias("spec"))
+    of_tag = refs_.where("name like 'refs/tags/%'").select(branch.alias("spec"))
+    of_id = commits.select(F.explode(F.array(F.concat("oid", F.lit("^")), F.concat(F.lit("none/"), "oid"))).alias("spec"))
+    return refs.rev_parse(of_branch.union(of_tag).union(of_id), refs_, edges)
 
 
 # References
@@ -496,11 +569,11 @@ def ref_names(spark, sf):
     return derive.table(spark, sf, "documents").select("doc_id", refs.full_name(short).alias("name"))
 
 
-@query("SELECT doc_id, oid, CASE WHEN doc_id % 8 = 0 THEN sha256(oid) ELSE oid END AS read_oid FROM (SELECT doc_id, sha256(doc_id::VARCHAR) AS oid FROM documents)")
+@query("SELECT doc_id, oid, CASE WHEN lang = 'en' THEN sha256(oid) ELSE oid END AS read_oid FROM (SELECT doc_id, lang, sha256(doc_id::VARCHAR) AS oid FROM documents)")
 def replace_lookup(spark, sf):
-    wanted = derive.table(spark, sf, "documents").select("doc_id", derive.sha(F.col("doc_id").cast("string")).alias("oid"))
-    stored = wanted.where("doc_id % 8 = 0").select(F.concat(F.lit("refs/replace/"), "oid").alias("name"), derive.sha(F.col("oid")).alias("oid"))
-    return objects.follow_replacements(wanted, refs.replacements(stored))
+    wanted = derive.table(spark, sf, "documents").select("doc_id", "lang", derive.sha(F.col("doc_id").cast("string")).alias("oid"))
+    stored = wanted.where("lang = 'en'").select(F.concat(F.lit("refs/replace/"), "oid").alias("name"), derive.sha(F.col("oid")).alias("oid"))
+    return objects.follow_replacements(wanted.drop("lang"), refs.replacements(stored))
 
 
 # Packs
@@ -514,7 +587,7 @@ def pack_order(spark, sf):
 @query("""SELECT b::INT AS bucket, coalesce(n, 0) AS n, (sum(coalesce(n, 0)) OVER (ORDER BY b))::BIGINT AS cumulative FROM range(256) r(b)
 LEFT JOIN (SELECT ('0x' || substr(oid, 1, 2))::INT AS k, count(*) AS n FROM pack_idx GROUP BY 1) ON k = b""", PACKS)
 def fanout(spark, sf):
-    return objects.fanout(derive.pack_index(spark, sf))
+    return objects.fanout(derive.packed(spark, sf))
 
 
 @query("SELECT pack, count(*) AS n_objects, sum(size)::BIGINT AS total_size, max(\"offset\") AS last_offset FROM pack_idx GROUP BY pack", PACKS)
@@ -522,12 +595,13 @@ def pack_stats(spark, sf):
     return packs.stats(derive.pack_index(spark, sf))
 
 
-WANTED = PACKS + ",\nwanted AS (SELECT DISTINCT oid FROM p0 WHERE l_orderkey % 10 = 0)"
+WANTED = PACKS + ",\nwanted AS (SELECT DISTINCT oid FROM p0 JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F')"
 
 
 def _wanted(spark, sf):
-    key = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
-    return derive.table(spark, sf, "lineitem").where("l_orderkey % 10 = 0").select(derive.sha(key).alias("oid")).distinct()
+    """The objects of finished orders."""
+    done = derive.table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return derive.packed(spark, sf).join(done, "l_orderkey", "left_semi").select("oid").distinct()
 
 
 @query("SELECT oid, pack, \"offset\" FROM pack_idx JOIN wanted USING (oid)", WANTED)
@@ -550,36 +624,41 @@ def midx_lookup(spark, sf):
 
 @query("SELECT count(DISTINCT pack) AS packs, count(DISTINCT oid) AS objects, sum(size)::BIGINT AS total_size FROM pack_idx", PACKS)
 def midx_stats(spark, sf):
-    return derive.pack_index(spark, sf).agg(F.count_distinct("pack").alias("packs"), F.count_distinct("oid").alias("objects"), F.sum("size").alias("total_size"))
+    return derive.packed(spark, sf).agg(F.count_distinct("pack").alias("packs"), F.count_distinct("oid").alias("objects"), F.sum("size").alias("total_size"))
 
 
-# Stores
+# Stores: one holds all but the French files, the other the English and the French ones.
 
+THERE, HERE = "lang <> 'fr'", "lang in ('en', 'fr')"
 
-@query("SELECT oid, any_value(size) AS size FROM files WHERE doc_id % 3 <> 0 AND oid NOT IN (SELECT oid FROM files WHERE doc_id % 2 = 0) GROUP BY oid", FILES)
-def fetch_missing(spark, sf):
+
+def _two_stores(spark, sf):
     all_ = derive.objects(spark, sf)
-    return sync.lacking(all_.where("doc_id % 3 <> 0"), all_.where("doc_id % 2 = 0")).select("oid", "size")
+    return all_.where(THERE), all_.where(HERE)
+
+
+@query(f"SELECT oid, any_value(size) AS size FROM files WHERE {THERE} AND oid NOT IN (SELECT oid FROM files WHERE {HERE}) GROUP BY oid", FILES)
+def fetch_missing(spark, sf):
+    return sync.lacking(*_two_stores(spark, sf)).select("oid", "size")
 
 
-@query("SELECT oid, any_value(size) AS size FROM files WHERE doc_id % 2 = 0 AND oid NOT IN (SELECT oid FROM files WHERE doc_id % 3 <> 0) GROUP BY oid", FILES)
+@query(f"SELECT oid, any_value(size) AS size FROM files WHERE ({HERE}) AND oid NOT IN (SELECT oid FROM files WHERE {THERE}) GROUP BY oid", FILES)
 def push_missing(spark, sf):
-    all_ = derive.objects(spark, sf)
-    return sync.lacking(all_.where("doc_id % 2 = 0"), all_.where("doc_id % 3 <> 0")).select("oid", "size")
+    there, here = _two_stores(spark, sf)
+    return sync.lacking(here, there).select("oid", "size")
 
 
-@query("SELECT DISTINCT oid FROM files WHERE doc_id % 3 <> 0 AND oid IN (SELECT oid FROM files WHERE doc_id % 2 = 0)", FILES)
+@query(f"SELECT DISTINCT oid FROM files WHERE {THERE} AND oid IN (SELECT oid FROM files WHERE {HERE})", FILES)
 def already_have(spark, sf):
-    all_ = derive.objects(spark, sf)
-    return sync.in_both(all_.where("doc_id % 3 <> 0"), all_.where("doc_id % 2 = 0"))
+    return sync.in_both(*_two_stores(spark, sf))
 
 
-REMOTE = REFS + ",\nlocal AS (SELECT name, oid FROM refs WHERE oid IS NOT NULL), remote AS (SELECT name, sha256(oid) AS oid FROM local WHERE (length(name) % 3) <> 0)"
+REMOTE = REFS + ",\nlocal AS (SELECT name, oid FROM refs WHERE oid IS NOT NULL), remote AS (SELECT name, sha256(oid) AS oid FROM local WHERE NOT contains(name, 'A'))"
 
 
 def _stores(spark, sf):
     local = derive.refs(spark, sf).where("oid is not null").select("name", "oid")
-    return local, local.where(F.length("name") % 3 != 0).select("name", derive.sha(F.col("oid")).alias("oid"))
+    return local, local.where(~F.contains("name", F.lit("A"))).select("name", derive.sha(F.col("oid")).alias("oid"))
 
 
 @query("SELECT l.name, coalesce(r.oid, repeat('0', 64)) AS old_oid, l.oid AS new_oid FROM local l LEFT JOIN remote r USING (name) WHERE starts_with(l.name, 'refs/heads/')", REMOTE)
@@ -624,28 +703,30 @@ def commit_serialize(spark, sf):
     return _payloads(spark, sf).select("oid", "payload")
 
 
-def _payloads(spark, sf):
+def _payloads(spark, sf, encoding=None, gpg_signature=None):
     name = F.concat(F.lit("c"), F.col("o_custkey").cast("string"))
     signature = codec.signature_text(name, F.concat(name, F.lit("@example.com")), F.col("o_orderkey"), F.lit(0))
-    payload = codec.commit_text(derive.sha(F.col("o_orderkey").cast("string")), F.array_compact(F.array("parent1", "parent2")), signature, signature, F.col("o_orderpriority"))
+    payload = codec.commit_text(derive.sha(F.col("o_orderkey").cast("string")), F.array_compact(F.array("parent1", "parent2")), signature, signature, F.col("o_orderpriority"), encoding, gpg_signature)
     return derive.commits(spark, sf).withColumn("payload", payload)
 
 
-@query(f"SELECT oid, sha256(o_orderkey::VARCHAR) AS tree, (CASE WHEN parent1 IS NULL THEN 0 ELSE 1 END + CASE WHEN parent2 IS NULL THEN 0 ELSE 1 END)::INT AS n_parents, parent1 AS first_parent, {SIGNATURE} AS author, o_orderpriority AS message FROM commits", COMMITS)
+@query(f"SELECT oid, sha256(o_orderkey::VARCHAR) AS tree, (CASE WHEN parent1 IS NULL THEN 0 ELSE 1 END + CASE WHEN parent2 IS NULL THEN 0 ELSE 1 END)::INT AS n_parents, parent1 AS first_parent, {SIGNATURE} AS author, o_orderpriority AS message, CASE WHEN o_orderstatus = 'F' THEN 'latin1' END AS encoding, CASE WHEN o_orderstatus = 'F' THEN '-----BEGIN' || chr(10) || oid END AS gpg_signature FROM commits", COMMITS)
 def commit_parse(spark, sf):
-    c = _payloads(spark, sf).select("oid", codec.parse_commit(F.col("payload")).alias("c"))
-    return c.select("oid", "c.tree", F.size("c.parents").alias("n_parents"), F.get("c.parents", F.lit(0)).alias("first_parent"), "c.author", "c.message")
+    """With an encoding and a signature of two lines in the commits of finished orders."""
+    done = F.col("o_orderstatus") == "F"
+    c = _payloads(spark, sf, F.when(done, "latin1"), F.when(done, F.concat(F.lit("-----BEGIN\n"), "oid"))).select("oid", codec.parse_commit(F.col("payload")).alias("c"))
+    return c.select("oid", "c.tree", F.size("c.parents").alias("n_parents"), F.get("c.parents", F.lit(0)).alias("first_parent"), "c.author", "c.message", "c.encoding", "c.gpg_signature")
 
 
-@query("SELECT o_orderkey, 'object ' || oid || chr(10) || 'type commit' || chr(10) || 'tag v' || o_orderkey || chr(10) || CASE WHEN o_orderkey % 2 = 0 THEN 'tagger t' || chr(10) ELSE '' END || o_orderpriority AS payload FROM commits", COMMITS)
+@query("SELECT o_orderkey, 'object ' || oid || chr(10) || 'type commit' || chr(10) || 'tag v' || o_orderkey || chr(10) || CASE WHEN o_orderstatus = 'O' THEN 'tagger t' || chr(10) ELSE '' END || o_orderpriority AS payload FROM commits", COMMITS)
 def tag_serialize(spark, sf):
-    tagger = F.when(F.col("o_orderkey") % 2 == 0, "t")
+    tagger = F.when(F.col("o_orderstatus") == "O", "t")
     return derive.commits(spark, sf).select("o_orderkey", codec.tag_text(F.col("oid"), F.lit("commit"), F.concat(F.lit("v"), F.col("o_orderkey").cast("string")), tagger, F.col("o_orderpriority")).alias("payload"))
 
 
-@query("SELECT o_orderkey, oid AS object, 'commit' AS type, 'v' || o_orderkey AS name, CASE WHEN o_orderkey % 2 = 0 THEN 't' END AS tagger, o_orderpriority AS message FROM commits", COMMITS)
+@query("SELECT o_orderkey, oid AS object, 'commit' AS type, 'v' || o_orderkey AS name, CASE WHEN o_orderstatus = 'O' THEN 't' END AS tagger, o_orderpriority AS message FROM commits", COMMITS)
 def tag_parse(spark, sf):
-    tagger = F.when(F.col("o_orderkey") % 2 == 0, "t")
+    tagger = F.when(F.col("o_orderstatus") == "O", "t")
     payload = codec.tag_text(F.col("oid"), F.lit("commit"), F.concat(F.lit("v"), F.col("o_orderkey").cast("string")), tagger, F.col("o_orderpriority"))
     return derive.commits(spark, sf).select("o_orderkey", codec.parse_tag(payload).alias("t")).select("o_orderkey", "t.*")
 
@@ -694,16 +775,18 @@ def retry_delays(spark, sf):
     return derive.table(spark, sf, "documents").select("doc_id", codec.retry_after_ms(value).alias("retry_ms"), codec.backoff_ms(F.col("doc_id") % 13).alias("backoff_ms"))
 
 
-@query("SELECT doc_id, true AS same FROM documents")
+@query("SELECT doc_id, sha256(text) AS digest, true AS shorter FROM documents")
 def zlib_round_trip(spark, sf):
-    return derive.objects(spark, sf).select("doc_id", (binary.inflate(binary.deflate("data")) == F.col("data")).alias("same"))
+    """Compressed and back; a stream is never much longer than what it holds."""
+    packed = derive.objects(spark, sf).withColumn("stream", binary.deflate("data"))
+    return packed.select("doc_id", F.sha2(binary.inflate("stream"), 256).alias("digest"), (F.octet_length("stream") < F.octet_length("data") + 64).alias("shorter"))
 
 
-@query("SELECT doc_id, true AS same FROM wt", WORKTREE)
+@query("SELECT doc_id, sha256(text) AS digest, true AS short FROM wt", WORKTREE)
 def delta_round_trip(spark, sf):
     new = derive.worktree(spark, sf).select("doc_id", F.col("data").alias("target"))
     both = derive.objects(spark, sf).select("doc_id", "data").join(new, "doc_id").withColumn("delta", binary.delta_compress("data", "target"))
-    return both.select("doc_id", ((binary.delta_apply("data", "delta") == F.col("target")) & (F.octet_length("delta") <= F.octet_length("target") + 64)).alias("same"))
+    return both.select("doc_id", F.sha2(binary.delta_apply("data", "delta"), 256).alias("digest"), (F.octet_length("delta") <= F.octet_length("target") * 1.01 + 64).alias("short"))
 
 
 # Streams and files
@@ -713,48 +796,56 @@ def delta_round_trip(spark, sf):
 def reflog_stream(spark, sf):
     events = reflog_streams.read_stream(spark, f"{sf}/events.parquet")
     changes = events.select(F.concat(F.lit("refs/heads/user-"), F.col("user_id").cast("string")).alias("ref"), "ts", derive.sha(F.col("event_id").cast("string")).alias("oid"))
-    return reflog_streams.run_to_end(reflog_streams.latest_refs(changes), graph.shared_folder(spark), "complete")
+    return reflog_streams.run_to_end(reflog_streams.latest_refs(changes), shared_folder(spark), "complete")
 
 
 @query("SELECT oid, any_value(size) AS size FROM files GROUP BY oid", FILES)
 def dedup_stream(spark, sf):
     docs = reflog_streams.read_stream(spark, f"{sf}/documents.parquet")
     data = docs.select(F.lit("blob").alias("type"), F.encode("text", "UTF-8").alias("data"))
-    return reflog_streams.run_to_end(reflog_streams.new_objects(objects.with_oid(data).select("oid", "size")), graph.shared_folder(spark))
+    return reflog_streams.new_objects(objects.with_oid(data).select("oid", "size"), shared_folder(spark))
+
+
+CALLS = """calls AS (SELECT 'user-' || user_id AS remote, ts, event_type <> 'error' AS ok FROM events),
+minutes AS (SELECT remote, date_trunc('minute', ts) AS minute, count(*) AS n_calls, count(*) FILTER (WHERE NOT ok) AS n_failed FROM calls GROUP BY ALL)"""
 
 
 def _calls(events):
-    """A call an event; two of three are bad."""
-    return events.select(F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("remote"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("bigint").alias("ts_ms"), (F.col("event_id") % 3 == 0).alias("ok"))
+    """A call an event; errors are failures."""
+    return events.select(F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("remote"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") != "error").alias("ok"))
 
 
-@query("SELECT 'r' || doc_id AS name, '/srv/' || path AS url FROM files", FILES)
-def remotes(spark, sf):
-    body = F.concat(F.lit('[core]\n\tbare = true\n[remote "r'), F.col("doc_id").cast("string"), F.lit('"]\n\turl = /srv/'), "path", F.lit("\n"))
-    return file_sources.remotes(derive.files(spark, sf).select(F.col("path").alias("file"), body.alias("text")))
+def _minutes(rows):
+    return rows.select("remote", F.unix_seconds("minute").alias("minute"), "n_calls", "n_failed", "over_budget", "opens")
 
 
-@query()
-def circuit_breaker_stream(spark, sf):
-    calls = _calls(reflog_streams.read_stream(spark, f"{sf}/events.parquet"))
-    return reflog_streams.run_to_end(reflog_streams.circuit_breaker(calls), graph.shared_folder(spark))
+MINUTES = "SELECT remote, epoch(minute)::BIGINT AS minute, n_calls, n_failed, greatest(n_calls - 20, 0)::BIGINT AS over_budget, n_failed >= 5 AS opens FROM minutes"
 
 
-@query()
-def circuit_breaker(spark, sf):
-    return reflog_streams.circuit_breaker(_calls(derive.table(spark, sf, "events")))
+@query(MINUTES, CALLS)
+def call_minutes(spark, sf):
+    return _minutes(reflog_streams.call_windows(_calls(derive.table(spark, sf, "events"))))
 
 
-@query()
-def retry_budget(spark, sf):
-    return reflog_streams.retry_budget(_calls(derive.table(spark, sf, "events")))
+@query(f"{MINUTES} WHERE minute + INTERVAL 1 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE", CALLS)
+def call_minutes_stream(spark, sf):
+    """As a stream, minutes come out when the delay behind the last call is over."""
+    calls = _calls(reflog_streams.read_stream(spark, f"{sf}/events.parquet"))
+    return _minutes(reflog_streams.run_to_end(reflog_streams.call_windows(calls), shared_folder(spark)))
 
 
-@query()
-def load_gate(spark, sf):
-    """Two of three events start work; a remote stands for all users with the same last digit."""
-    calls = _calls(derive.table(spark, sf, "events")).withColumn("ok", ~F.col("ok")).withColumn("remote", F.substring("remote", -1, 1))
-    return reflog_streams.load_gate(calls)
+@query("""SELECT remote, id, running, running >= 288 AS shed FROM (SELECT event_type AS remote, event_id AS id,
+(sum(CASE WHEN value < 10 THEN -1 ELSE 1 END) OVER (PARTITION BY event_type ORDER BY ts, event_id))::BIGINT AS running FROM events)""")
+def running_load(spark, sf):
+    """Events of small value end a piece of work, the others begin one; a remote stands for a type of event."""
+    work = derive.table(spark, sf, "events").select(F.col("event_type").alias("remote"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("value") >= 10).alias("starts"))
+    return reflog_streams.running_load(work).drop("ts")
+
+
+@query("SELECT 'r' || doc_id AS name, '/srv/' || path AS url FROM files", FILES)
+def remotes(spark, sf):
+    body = F.concat(F.lit('[core]\n\tbare = true\n[remote "r'), F.col("doc_id").cast("string"), F.lit('"]\n\turl = /srv/'), "path", F.lit("\n"))
+    return file_sources.remotes(derive.files(spark, sf).select(F.col("path").alias("file"), body.alias("text")))
 
 
 @query("SELECT 's' || doc_id AS name, path, 'https://example.com/' || doc_id AS url, CASE WHEN doc_id % 2 = 0 THEN 'main' END AS branch FROM files", FILES)
@@ -762,3 +853,226 @@ def submodules(spark, sf):
     key = F.col("doc_id").cast("string")
     body = F.concat(F.lit('# list\n[submodule "s'), key, F.lit('"]\r\n\tpath = '), "path", F.lit("  \n\turl=https://example.com/"), key, F.when(F.col("doc_id") % 2 == 0, "\n branch = main").otherwise(""))
     return file_sources.submodules(derive.files(spark, sf).select(F.col("path").alias("file"), body.alias("text"))).drop("file")
+
+
+# Files in the binary formats, written from the tables and read again
+
+
+@query("SELECT DISTINCT oid, 'blob' AS type, size FROM files", FILES)
+def loose_scan(spark, sf):
+    root = folder(spark, "loose")
+    blobs = derive.objects(spark, sf).dropDuplicates(["oid"])
+    files = file_sources.loose_payloads(blobs).select("path", F.lit(MODE_FILE).alias("mode"), F.col("content").alias("data"))
+    _written(checkout.write_files(files, root))
+    return file_sources.loose_objects(spark, root).select("oid", "type", "size")
+
+
+def _written(report):
+    """Has files written; one that could not be is an error."""
+    failed = report.where("error is not null").agg(F.count("*"), F.min("error")).first()
+    if failed[0]:
+        raise OSError(f"{failed[0]} files were not written: {failed[1]}")
+
+
+BOTH = WORKTREE + ",\nboth_ AS (SELECT oid, size FROM files UNION SELECT oid, size FROM wt)"
+
+
+def _packable(spark, sf):
+    """pack, oid, type, data, base_oid: the files, and what has been edited as deltas to what it was, in packs by the base's id."""
+    old, new = derive.objects(spark, sf), derive.worktree(spark, sf).where("lang = 'de'")
+    whole = writers.by_prefix(old.dropDuplicates(["oid"])).select("pack", "oid", "type", "data", F.lit(None).cast("string").alias("base_oid"))
+    base = old.select("doc_id", F.col("oid").alias("base_oid"), F.col("data").alias("base"))
+    edited = new.select("doc_id", "oid", "type", "data").dropDuplicates(["oid"]).join(base, "doc_id").where("base_oid <> oid")
+    edited = edited.join(old.select("oid"), "oid", "left_anti").withColumn("delta", binary.delta_compress("base", "data"))
+    pack = F.concat(F.lit("pack-"), F.substring("base_oid", 1, 1))
+    return whole.union(edited.select(pack, "oid", "type", "delta", "base_oid"))
+
+
+@query("SELECT oid, 'blob' AS type, size FROM both_", BOTH)
+def pack_scan(spark, sf):
+    """Packs read as whole files, deltas resolved."""
+    root = folder(spark, "packs")
+    writers.write_packs(_packable(spark, sf), root)
+    return binary_files.packs(spark, root).select("oid", "type", "size")
+
+
+@query("SELECT oid, 'blob' AS type, size FROM both_", BOTH)
+def pack_ranges_scan(spark, sf):
+    """Packs read by the ranges that their indexes give."""
+    root = folder(spark, "packs")
+    writers.write_packs(_packable(spark, sf), root)
+    return binary_files.indexed_packs(spark, root).select("oid", "type", "size")
+
+
+@query("SELECT pack, oid, (\"offset\" * 40000)::BIGINT AS \"offset\", (size * 7)::BIGINT AS crc32 FROM pack_idx", PACKS)
+def idx_scan(spark, sf):
+    """Indexes with offsets beyond 2 GiB."""
+    root = folder(spark, "indexes")
+    index = derive.pack_index(spark, sf).select("pack", "oid", (F.col("size") * 7).alias("crc32"), (F.col("offset") * 40000).alias("offset"))
+    index = cut(index, "index")
+    writers.write_pack_indexes(index, index.select("pack").distinct().withColumn("digest", F.sha2("pack", 256)), root)
+    return file_sources.pack_indexes(spark, root)
+
+
+@query("SELECT oid, max(pack) AS pack, max_by(\"offset\", (pack, \"offset\")) AS \"offset\" FROM pack_idx GROUP BY oid", PACKS)
+def midx_scan(spark, sf):
+    root = folder(spark, "multi")
+    union = cut(packs.multi_pack(derive.pack_index(spark, sf)), "union")
+    names = writers.write_multi_pack(union, root)
+    return binary_files.multi_packs(spark, root).join(F.broadcast(names), "pack").select("oid", F.col("name").alias("pack"), "offset")
+
+
+@query("SELECT lang AS file, path, stage, oid, mode, size, size AS mtime FROM idx WHERE path NOT IN (SELECT path FROM conf) UNION ALL SELECT split_part(path, '/', 1), path, stage, oid, mode, size, size FROM conf", CONFLICTS)
+def staging_scan(spark, sf):
+    """A staging file for each language, conflicts included."""
+    root = folder(spark, "staging")
+    rows = index.add_conflicts(derive.index(spark, sf), derive.conflicts(spark, sf)).withColumn("mtime", F.col("size"))
+    writers.write_staging(rows.withColumn("file", F.concat(F.substring_index("path", "/", 1), F.lit("/index"))), root)
+    return binary_files.staging_files(spark, root).withColumn("file", F.substring_index("file", "/", 1))
+
+
+@query("SELECT lang AS bundle, 'object' AS kind, oid, size::VARCHAR AS detail FROM files GROUP BY ALL UNION ALL SELECT lang, 'ref', min(oid), 'refs/heads/' || lang FROM files GROUP BY lang", FILES)
+def bundle_scan(spark, sf):
+    """A bundle for each language: its objects and a ref to the smallest of them."""
+    root = folder(spark, "bundles")
+    rows = derive.objects(spark, sf).withColumnRenamed("lang", "bundle")
+    tips = rows.groupBy("bundle").agg(F.min("oid").alias("oid")).select("bundle", F.concat(F.lit("refs/heads/"), "bundle").alias("name"), "oid")
+    writers.write_bundles(tips, rows.select("bundle", "oid", "type", "data").dropDuplicates(["bundle", "oid"]), root)
+    held = binary_files.bundles(spark, root).select("bundle", F.lit("object").alias("kind"), "oid", F.col("size").cast("string").alias("detail"))
+    heads = file_sources.bundle_refs(spark, root).select(F.regexp_extract("file", r"([^/]+)\.bundle$", 1).alias("bundle"), F.lit("ref").alias("kind"), "oid", F.col("name").alias("detail"))
+    return held.union(heads)
+
+
+@query("SELECT name, oid, target FROM refs", REFS)
+def ref_files_scan(spark, sf):
+    """Each ref as a file, as its line or as what it points to."""
+    root = folder(spark, "refs")
+    line = F.concat(F.coalesce("oid", F.concat(F.lit("ref: "), "target")), F.lit("\n"))
+    _written(checkout.write_files(derive.refs(spark, sf).select(F.col("name").alias("path"), F.lit(MODE_FILE).alias("mode"), F.encode(line, "UTF-8").alias("data")), root))
+    return file_sources.ref_files(spark, root)
+
+
+@query("SELECT name, oid FROM refs WHERE oid IS NOT NULL", REFS)
+def packed_refs_scan(spark, sf):
+    root = folder(spark, "packed-refs")
+    derive.refs(spark, sf).where("oid is not null").select(F.concat("oid", F.lit(" "), "name").alias("value")).write.text(root)
+    return file_sources.packed_refs(spark.read.text(root))
+
+
+@query("SELECT name, oid FROM refs WHERE oid IS NOT NULL", REFS)
+def advertised_refs(spark, sf):
+    """An advertisement for each ref: a title, the ref with capabilities behind it, a flush."""
+    title, line = codec.pkt_line(F.lit("# service=upload-pack\n")), codec.pkt_line(F.concat("oid", F.lit(" "), "name", F.decode(F.unhex(F.lit("00")), "UTF-8"), F.lit("side-band-64k\n")))
+    data = F.encode(F.concat(title, F.lit("0000"), line, F.lit("0000")), "UTF-8")
+    refs_ = derive.refs(spark, sf).where("oid is not null")
+    return refs_.select(F.explode(binary.pkt_refs(data)).alias("r")).select("r.*")
+
+
+@query("SELECT DISTINCT lang || '.response' AS file, oid, 'blob' AS type, size FROM files", FILES)
+def response_scan(spark, sf):
+    """Packs in multiplexed responses, in lines of a channel, with progress on another one between them."""
+    root = folder(spark, "responses")
+    rows = derive.objects(spark, sf).withColumnRenamed("lang", "pack")
+    writers.write_packs(rows.select("pack", "oid", "type", "data").dropDuplicates(["pack", "oid"]), root)
+    content = file_sources.binary_files(spark, root, "*.pack")
+    lines = content.select(F.regexp_replace(F.substring_index("path", "/", -1), "pack$", "response").alias("path"), F.lit(MODE_FILE).alias("mode"), binary.multiplex("content").alias("data"))
+    _written(checkout.write_files(lines, root))
+    return binary_files.responses(spark, root).select("file", "oid", "type", "size")
+
+
+@query("SELECT path, oid, size FROM idx", INDEX)
+def checkout_scan(spark, sf):
+    """Checked out from the index, read again as a working tree, and hashed."""
+    root = folder(spark, "tree")
+    checkout.checkout_index(derive.index(spark, sf), derive.objects(spark, sf).select("oid", "data").dropDuplicates(["oid"]), root)
+    return objects.with_oid(file_sources.working_files(spark, root).withColumn("type", F.lit("blob"))).select("path", "oid", "size")
+
+
+@query("SELECT path, oid, size FROM idx", TREES)
+def clone(spark, sf):
+    """Trees and blobs copied to an empty store, and the root tree checked out there."""
+    root = folder(spark, "clone")
+    built, entries = _stored(spark, sf)
+    linked = cut(trees.link(built, entries), "entries")
+    none = spark.createDataFrame([], "oid string")
+    copied = cut(sync.lacking(derive.objects(spark, sf).select("oid", "size", "data"), none), "objects")
+    top = built.where("dir = ''").select(F.col("tree_oid").alias("root"), "tree_oid")
+    checkout.checkout_tree(top, linked, copied, root, levels=2)
+    return objects.with_oid(file_sources.working_files(spark, root).withColumn("type", F.lit("blob"))).select("path", "oid", "size")
+
+
+# Collection, requests, small ones
+
+
+@query("SELECT oid, any_value(size) AS size FROM files WHERE oid NOT IN (SELECT oid FROM files WHERE lang = 'fr') GROUP BY oid", FILES)
+def objects_remove(spark, sf):
+    all_ = derive.objects(spark, sf)
+    return objects.remove(objects.dedup(all_), all_.where("lang = 'fr'")).select("oid", "size")
+
+
+@query("SELECT oid FROM commits WHERE oid NOT IN (SELECT anc FROM above WHERE oid IN (SELECT last FROM heads JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment <> 'BUILDING' UNION ALL SELECT first FROM heads)) UNION ALL SELECT DISTINCT oid FROM files WHERE oid NOT IN (SELECT oid FROM idx)", ABOVE + ",\n" + INDEX, recursive=True)
+def collect_unreachable(spark, sf):
+    """Commits that no branch reaches once the branches of a market segment are deleted, and blobs that the staged tree does not hold.
+    The tags keep the first commits; all commits that are left have the staged tree."""
+    commits, edges = _graph(spark, sf)
+    refs_ = derive.refs(spark, sf).where("oid is not null")
+    gone = derive.refs(spark, sf).where("name like 'refs/alias/%'").select(F.col("target").alias("name"))
+    heads = refs.remove(refs_, gone).select("oid")
+    built, entries = _stored(spark, sf)
+    top = built.where("dir = ''").select("tree_oid")
+    alive = objects.closure(heads, edges, commits.select("oid").join(F.broadcast(top)), cut(trees.link(built, entries), "entries"), levels=2)
+    stored = commits.select("oid").union(derive.objects(spark, sf).select("oid").distinct())
+    return objects.unreachable(stored, alive)
+
+
+@query(f"SELECT DISTINCT oid FROM files WHERE {THERE} AND oid NOT IN (SELECT oid FROM files WHERE {HERE})", FILES)
+def fetch_wants(spark, sf):
+    """Every object of the other store stands for a ref."""
+    there, here = _two_stores(spark, sf)
+    return sync.wants(here, there.select(F.col("path").alias("name"), "oid"))
+
+
+PUSHED = ABOVE + """,
+b AS (SELECT 'refs/heads/' || o_custkey AS name, CASE WHEN c_mktsegment = 'BUILDING' THEN first ELSE last END AS mine, CASE WHEN c_acctbal < 0 THEN NULL ELSE CASE WHEN c_mktsegment = 'BUILDING' THEN last ELSE first END END AS theirs
+  FROM heads JOIN customer ON c_custkey = o_custkey),
+v AS (SELECT name, mine, theirs, theirs IS NULL OR theirs = mine OR above.oid IS NOT NULL AS ok FROM b LEFT JOIN above ON above.oid = mine AND anc = theirs)"""
+
+
+@query("SELECT name, CASE WHEN ok THEN mine ELSE theirs END AS oid, ok AS accepted FROM v", PUSHED, recursive=True)
+def push_refs(spark, sf):
+    """Customers in debt have no branch on the other side; those of a segment are ahead there, and their branches are refused."""
+    commits, edges = _graph(spark, sf)
+    customer = derive.table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment", "c_acctbal")
+    rows = cut(derive.heads(commits).join(customer, "o_custkey").withColumn("name", F.concat(F.lit("refs/heads/"), F.col("o_custkey").cast("string"))), "heads")
+    ahead = F.col("c_mktsegment") == "BUILDING"
+    mine = rows.select("name", F.when(ahead, F.col("first")).otherwise(F.col("last")).alias("oid"))
+    theirs = rows.where("not c_acctbal < 0").select("name", F.when(ahead, F.col("last")).otherwise(F.col("first")).alias("oid"))
+    return sync.push(commits.select("oid"), mine, commits.select("oid").limit(0), theirs, edges)[1]
+
+
+@query("SELECT doc_id, doc_id % 11 IN (6, 7, 8) AS retryable, greatest(0, length(text)) > 0 AS valid FROM documents")
+def small_predicates(spark, sf):
+    rows = derive.table(spark, sf, "documents")
+    return rows.select("doc_id", codec.is_retryable(-(F.col("doc_id") % 11)).alias("retryable"), index.is_valid(F.col("text")).alias("valid"))
+
+
+@query("SELECT doc_id, sha1(text) AS digest, sha256(text) < sha256(lang) AS before, sha256(text) = sha256(lang) AS same FROM documents")
+def registered_hash(spark, sf):
+    """A digest of one's own, called from SQL, and comparisons of ids."""
+    hashing.register(spark, "own_sha1", lambda data: hashlib.sha1(data).hexdigest())
+    id_ = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
+    rows = derive.table(spark, sf, "documents").withColumn("data", F.encode("text", "UTF-8"))
+    return rows.select("doc_id", F.expr("own_sha1(data)").alias("digest"), (id_("text") < id_("lang")).alias("before"), (id_("text") == id_("lang")).alias("same"))
+
+
+@query("SELECT DISTINCT split_part(version, '.', 1)::INT AS major FROM (VALUES ('0.1.0')) t(version)")
+def model_version(spark, sf):
+    return spark.createDataFrame([(VERSION,)], "version string").select(F.split("version", "[.]")[0].cast("int").alias("major"))
+
+
+@query("SELECT 's' || doc_id AS name, path, '/srv/' || doc_id AS url, CASE WHEN lang = 'en' THEN 'main' END AS branch FROM files", FILES)
+def submodule_add(spark, sf):
+    """Sections as adding submodules writes them, read back."""
+    key = F.col("doc_id").cast("string")
+    section = codec.submodule_section(F.concat(F.lit("s"), key), F.col("path"), F.concat(F.lit("/srv/"), key), F.when(F.col("lang") == "en", "main"))
+    return file_sources.submodules(derive.files(spark, sf).select("path", section.alias("text")).select(F.col("path").alias("file"), "text")).drop("file")

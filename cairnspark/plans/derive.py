@@ -34,28 +34,33 @@ def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return objects(spark, sf_dir).where("doc_id % 11 <> 0").select("doc_id", "path", "stage", "oid", "mode", "size")
+    """All files but those of one source, which are not tracked."""
+    return objects(spark, sf_dir).where("source <> 'src7'").select("doc_id", "path", "stage", "oid", "mode", "size")
 
 
 def worktree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = files(spark, sf_dir).where("doc_id % 13 <> 0")
-    return blobs(rows.withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("\nX"))).otherwise(F.col("text"))))
+    """All files but those of another source, which are deleted; those in German have been edited."""
+    rows = files(spark, sf_dir).where("source <> 'src3'")
+    return blobs(rows.withColumn("text", F.when(F.col("lang") == "de", F.concat("text", F.lit("\nX"))).otherwise(F.col("text"))))
 
 
 def conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three sides of every 17th document; every 34th has no ancestor."""
-    rows = files(spark, sf_dir).where("doc_id % 17 = 0").withColumn("stage", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
-    rows = rows.where("not (stage = 1 and doc_id % 34 = 0)").withColumn("text", F.concat("text", F.col("stage").cast("string")))
+    """Three sides of the files of a source; those in French have no ancestor."""
+    rows = files(spark, sf_dir).where("source = 'src5'").withColumn("stage", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    rows = rows.where("not (stage = 1 and lang = 'fr')").withColumn("text", F.concat("text", F.col("stage").cast("string")))
     return blobs(rows).select("path", "stage", "oid", "mode", "size")
 
 
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One commit an order, in a chain for each customer: oid, o_custkey, seq, parent1, parent2."""
+    """One commit an order: oid, o_custkey, seq, parent1, parent2. A customer's orders follow one another; a finished one leaves out
+    the one before it, so that branches come about, and an urgent one merges the third last."""
     chain = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     oid = sha(F.concat(F.lit("commit "), F.col("o_orderkey").cast("string")))
-    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderpriority", oid.alias("oid"))
-    third = F.when(F.col("o_orderkey") % 5 == 0, F.lag("oid", 3).over(chain))
-    return rows.select("oid", "o_custkey", "o_orderkey", "o_orderpriority", F.row_number().over(chain).alias("seq"), F.lag("oid").over(chain).alias("parent1"), third.alias("parent2"))
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderpriority", "o_orderstatus", oid.alias("oid"))
+    first = F.when(F.col("o_orderstatus") == "F", F.lag("oid", 2).over(chain)).otherwise(F.lag("oid").over(chain))
+    third = F.when(F.col("o_orderpriority") == "1-URGENT", F.lag("oid", 3).over(chain))
+    when = F.unix_seconds(F.col("o_orderdate").cast("timestamp"))
+    return rows.select("oid", "o_custkey", "o_orderkey", "o_orderpriority", "o_orderstatus", F.row_number().over(chain).alias("seq"), first.alias("parent1"), third.alias("parent2"), when.alias("commit_time"))
 
 
 def edges(commits_: DataFrame) -> DataFrame:
@@ -69,17 +74,20 @@ def heads(commits_: DataFrame) -> DataFrame:
 
 
 def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """name, oid, target: a branch and a tag for each customer with orders, aliases for every 10th, and HEAD."""
-    customer = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("o_custkey"), "n_name")
+    """name, oid, target: a branch and a tag for each customer with orders, an alias for those of a market segment, and an alias of
+    that for those of them in debt. One pass over the customers gives all of a customer's refs."""
+    customer = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("o_custkey"), "n_name", "c_mktsegment", "c_acctbal")
     ends = heads(commits(spark, sf_dir)).join(customer, "o_custkey")
-    branch = F.concat(F.lit("refs/heads/"), "n_name", F.lit("/"), F.col("o_custkey").cast("string"))
-    key = F.col("o_custkey").cast("string")
-    none = F.lit(None).cast("string")
-    branches = ends.select(branch.alias("name"), F.col("last").alias("oid"), none.alias("target"))
-    tags = ends.select(F.concat(F.lit("refs/tags/"), key).alias("name"), F.col("first").alias("oid"), none.alias("target"))
-    aliases = ends.where("o_custkey % 10 = 0").select(F.concat(F.lit("refs/alias/"), key).alias("name"), none.alias("oid"), branch.alias("target"))
-    second = ends.where("o_custkey % 50 = 0").select(F.concat(F.lit("refs/alias2/"), key).alias("name"), none.alias("oid"), F.concat(F.lit("refs/alias/"), key).alias("target"))
-    return branches.union(tags).union(aliases).union(second)
+    key, none = F.col("o_custkey").cast("string"), F.lit(None).cast("string")
+    branch = F.concat(F.lit("refs/heads/"), "n_name", F.lit("/"), key)
+    ref = lambda when, name, oid, target: F.when(when, F.struct(name.alias("name"), oid.alias("oid"), target.alias("target")))
+    every, builds = F.lit(True), F.col("c_mktsegment") == "BUILDING"
+    alias = F.concat(F.lit("refs/alias/"), key)
+    own = F.array(
+        ref(every, branch, F.col("last"), none), ref(every, F.concat(F.lit("refs/tags/"), key), F.col("first"), none),
+        ref(builds, alias, none, branch), ref(builds & (F.col("c_acctbal") < 0), F.concat(F.lit("refs/alias2/"), key), none, alias),
+    )
+    return ends.select(F.explode(F.array_compact(own)).alias("r")).select("r.*")
 
 
 def ref_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,9 +95,15 @@ def ref_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.concat(F.lit("refs/heads/user-"), F.col("user_id").cast("string")).alias("ref"), "ts", sha(F.col("event_id").cast("string")).alias("oid"), F.col("event_type").alias("message"))
 
 
+KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pack, oid, size of all line items: a pack for each month of shipping."""
+    oid = sha(F.concat_ws("-", *[F.col(c).cast("string") for c in KEYS]))
+    return table(spark, sf_dir, "lineitem").select(F.date_format("l_shipdate", "yyyyMM").alias("pack"), oid.alias("oid"), (F.col("l_partkey") % 1000 + 20).alias("size"), *KEYS)
+
+
 def pack_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """pack, oid, size, offset: a pack for each month of shipping, filled in the order of the line items' keys."""
-    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    oid = sha(F.concat_ws("-", *[F.col(c).cast("string") for c in keys]))
-    rows = table(spark, sf_dir, "lineitem").select(F.date_format("l_shipdate", "yyyyMM").alias("pack"), oid.alias("oid"), (F.col("l_partkey") % 1000 + 20).alias("size"), *keys)
-    return packs.offsets(rows, F.floor(F.col("l_orderkey") / 4096), keys)
+    """pack, oid, size, offset: packs filled in the order of the line items' keys."""
+    return packs.offsets(packed(spark, sf_dir), F.floor(F.col("l_orderkey") / 4096), KEYS)

@@ -1,14 +1,15 @@
-"""Streams of reference changes and of objects."""
+"""Streams of reference changes, of objects and of calls to remotes."""
 
 from __future__ import annotations
 
 import uuid
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnspark.model import BUDGET_A_MINUTE, FAILURES_TO_OPEN, MOST_QUEUED, MOST_RUNNING, OPEN_MS, SHED_PERCENT, SUCCESSES_TO_CLOSE
+from cairnspark.model import BUDGET_A_MINUTE, FAILURES_TO_OPEN, MOST_QUEUED, MOST_RUNNING, SHED_PERCENT
+from cairnspark.operators.objects import write_new
+from cairnspark.operators.packs import running_sum
 
 
 def run_to_end(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
@@ -34,95 +35,46 @@ def latest_refs(changes: DataFrame) -> DataFrame:
     return changes.groupBy("ref").agg(F.max_by("oid", "ts").alias("oid"), F.count("*").alias("n_changes"))
 
 
-def new_objects(objects: DataFrame) -> DataFrame:
-    """Each id once over the whole stream. The state grows with the ids; a watermark on a time column would bound it."""
-    return objects.dropDuplicates(["oid"])
+def new_objects(objects: DataFrame, folder: str) -> DataFrame:
+    """Runs a stream of objects (oid, ...) into a table below folder that has each id once, and reads it.
 
-
-BREAKER_STATE = "failures int, successes int, open_until bigint"
-BREAKER_ROWS = "remote string, ts_ms bigint, ok boolean, allowed boolean, is_open boolean"
-BUDGET_STATE = "left int, until bigint"
-BUDGET_ROWS = "remote string, ts_ms bigint, ok boolean, allowed boolean, left int"
-GATE_STATE = "running int, queued int"
-GATE_ROWS = "remote string, ts_ms bigint, ok boolean, allowed boolean, running int, queued int"
-
-
-def breaker_step(state: tuple[int, int, int], ts: int, ok: bool) -> tuple[tuple[int, int, int], tuple]:
-    """One call of a circuit breaker (failures, successes, open until; 0: closed): the next state, whether the call was
-    allowed, and whether the breaker is open after it.
-
-    Open: calls are refused until the time is up. Then probes are let through: enough good ones close it, a bad one opens it
-    again. Closed: a good call clears the count of failures, enough bad ones open it.
-    """
-    failures, successes, until = state
-    allowed = not (until and ts < until)
-    if allowed and ok:
-        closing = until and successes + 1 >= SUCCESSES_TO_CLOSE
-        state = (0, successes, 0) if not until else (0, 0, 0) if closing else (failures, successes + 1, until)
-    elif allowed:
-        opening = until or failures + 1 >= FAILURES_TO_OPEN
-        state = (failures + (not until), 0, ts + OPEN_MS) if opening else (failures + 1, successes, 0)
-    return state, (allowed, state[2] > ts)
-
-
-def budget_step(state: tuple[int, int], ts: int, ok: bool) -> tuple[tuple[int, int], tuple]:
-    """One retry against a budget (left, until): it is filled up when its minute is over, and refuses when it is used up."""
-    left, until = state
-    if ts >= until:
-        left, until = BUDGET_A_MINUTE, ts + 60_000
-    allowed = left > 0
-    return (left - allowed, until), (allowed, left - allowed)
-
-
-def gate_step(state: tuple[int, int], ts: int, start: bool) -> tuple[tuple[int, int], tuple]:
-    """A start or an end of work at a load gate (running, queued): work runs, waits, or is shed close to the gate's limit. An end
-    lets one that waits run."""
-    running, queued = state
-    if not start:
-        running, queued = (running, queued - 1) if queued and running else (max(running - 1, 0), queued)
-        return (running, queued), (True, running, queued)
-    allowed = running + queued < (MOST_RUNNING + MOST_QUEUED) * SHED_PERCENT // 100 and (running < MOST_RUNNING or queued < MOST_QUEUED)
-    if allowed:
-        running, queued = (running + 1, queued) if running < MOST_RUNNING else (running, queued + 1)
-    return (running, queued), (allowed, running, queued)
-
-
-def by_remote(calls: DataFrame, step, start: tuple, state_schema: str, row_schema: str) -> DataFrame:
-    """calls (remote, ts_ms, ok), a stream or a table, with what a state machine for each remote made of them.
-
-    On a stream the state of a remote is kept between batches; calls are taken in order of time within a batch.
+    The table itself says what is known, so the stream keeps no state that grows with the ids: a batch is deduplicated, and what
+    earlier batches have written is taken out by an anti join. Each batch has a folder of its own, so that one that is repeated
+    after a failure takes the place of its first attempt.
     """
-    names = [c.split()[0] for c in row_schema.split(", ")]
+    spark, path, schema = objects.sparkSession, f"{folder}/objects-{uuid.uuid4().hex}", objects.schema
 
-    def fold(remote: str, rows: pd.DataFrame, state: tuple) -> tuple[pd.DataFrame, tuple]:
-        out = []
-        for ts, ok in rows.sort_values(["ts_ms", "ok"])[["ts_ms", "ok"]].itertuples(index=False):
-            state, said = step(state, int(ts), bool(ok))
-            out.append((remote, int(ts), bool(ok), *said))
-        return pd.DataFrame(out, columns=names), state
+    def write(batch: DataFrame, number: int) -> None:
+        known = batch.sparkSession.read.schema("oid string, batch bigint").parquet(f"{path}/out").where(F.col("batch") < number) if number else batch.limit(0)
+        write_new(known, batch).write.mode("overwrite").parquet(f"{path}/out/batch={number}")
 
-    if not calls.isStreaming:
-        return calls.groupBy("remote").applyInPandas(lambda key, rows: fold(key[0], rows, start)[0], row_schema)
-
-    def update(key, batches, state):
-        rows, now = fold(key[0], pd.concat(list(batches)), state.get if state.exists else start)
-        state.update(now)
-        yield rows
-
-    return calls.groupBy("remote").applyInPandasWithState(update, row_schema, state_schema, "append", "NoTimeout")
+    query = objects.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(schema).parquet(f"{path}/out").select(*schema.names)
 
 
-def circuit_breaker(calls: DataFrame) -> DataFrame:
-    return by_remote(calls, breaker_step, (0, 0, 0), BREAKER_STATE, BREAKER_ROWS)
+def call_windows(calls: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """calls (remote, ts, ok), a table or a stream, to one row for each remote and minute: calls, failures, calls over the budget of a
+    minute (over_budget), and whether there were enough failures to stop calling (opens).
 
+    Counts are taken before the shuffle, so a busy remote is no hot key; a stream gives a minute out once the delay is over.
+    """
+    rows = calls.withWatermark("ts", delay) if calls.isStreaming else calls
+    counted = rows.groupBy("remote", F.window("ts", "1 minute").alias("w")).agg(F.count("*").alias("n_calls"), F.count_if(~F.col("ok")).alias("n_failed"))
+    over = F.greatest(F.col("n_calls") - BUDGET_A_MINUTE, F.lit(0))
+    return counted.select("remote", F.col("w.start").alias("minute"), "n_calls", "n_failed", over.alias("over_budget"), (F.col("n_failed") >= FAILURES_TO_OPEN).alias("opens"))
 
-def retry_budget(calls: DataFrame) -> DataFrame:
-    return by_remote(calls, budget_step, (0, 0), BUDGET_STATE, BUDGET_ROWS)
 
+def running_load(work: DataFrame) -> DataFrame:
+    """work (remote, id, ts, starts) with running, the pieces of work begun and not ended after this row, and shed: whether a gate of
+    the usual size would refuse one more.
 
-def load_gate(calls: DataFrame) -> DataFrame:
-    """ok marks the start of work, not ok its end."""
-    return by_remote(calls, gate_step, (0, 0), GATE_STATE, GATE_ROWS)
+    Sums run inside an hour; hours of a remote are added up on their own, so no task meets a whole remote.
+    """
+    change = F.when(F.col("starts"), 1).otherwise(-1)
+    summed = running_sum(work.select("remote", "id", "ts", "starts"), "remote", F.date_trunc("hour", "ts"), ["ts", "id"], change, "before")
+    after = F.col("before") + change
+    return summed.select("remote", "id", "ts", after.alias("running"), (after >= (MOST_RUNNING + MOST_QUEUED) * SHED_PERCENT // 100).alias("shed"))
 
 
 def read_stream(spark: SparkSession, path: str) -> DataFrame:

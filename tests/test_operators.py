@@ -159,61 +159,31 @@ def test_empty_index(spark):
     assert row["entries"] == 0 and row["has_conflicts"] is False
 
 
-def brute_breaker(calls):
-    failures = successes = until = 0
-    out = []
-    for ts, ok in calls:
-        allowed = not (until and ts < until)
-        if allowed and ok:
-            if until:
-                successes += 1
-                if successes >= 2:
-                    failures = successes = until = 0
-            else:
-                failures = 0
-        elif allowed:
-            if until:
-                until, successes = ts + 30_000, 0
-            else:
-                failures += 1
-                if failures >= 5:
-                    until, successes = ts + 30_000, 0
-        out.append(allowed)
-    return out
-
-
-def test_circuit_breaker(spark):
-    rng = random.Random(1)
-    calls = {f"r{k}": [(i * 7000, rng.random() < 0.3) for i in range(200)] for k in range(3)}
-    rows = [(r, ts, ok) for r, own in calls.items() for ts, ok in own]
-    got = reflog.circuit_breaker(spark.createDataFrame(rows, "remote string, ts_ms long, ok boolean")).toPandas()
-    for r, own in calls.items():
-        assert got[got.remote == r].sort_values("ts_ms").allowed.tolist() == brute_breaker(own)
-
-
-def test_retry_budget(spark):
-    rows = [("r", i * 1000, True) for i in range(150)]
-    got = reflog.retry_budget(spark.createDataFrame(rows, "remote string, ts_ms long, ok boolean")).orderBy("ts_ms").collect()
-    assert [r["allowed"] for r in got] == [i % 60 < 20 for i in range(150)]
-
-
-def test_load_gate(spark):
-    rows = [("r", i, True) for i in range(300)] + [("r", 1000 + i, False) for i in range(300)]
-    got = reflog.load_gate(spark.createDataFrame(rows, "remote string, ts_ms long, ok boolean")).orderBy("ts_ms").collect()
-    assert sum(r["allowed"] for r in got[:300]) == 288  # 90 % of 64 + 256
-    assert (got[299]["running"], got[299]["queued"]) == (64, 224)
-    assert (got[300]["running"], got[300]["queued"]) == (64, 223)
-    assert (got[-1]["running"], got[-1]["queued"]) == (0, 0)
-
-
-def test_breaker_stream_equals_batch(spark, tmp_path):
-    rows = pd.DataFrame([(f"r{i % 4}", i * 900, i % 7 == 0) for i in range(600)], columns=["remote", "ts_ms", "ok"])
+def test_call_windows(spark, tmp_path):
+    rows = [(f"r{i % 3}", 20 * i, i % 7 == 0) for i in range(900)]
+    calls = spark.createDataFrame(rows, "remote string, s long, ok boolean").selectExpr("remote", "timestamp_seconds(s) AS ts", "ok")
+    want = {}
+    for remote, s, ok in rows:
+        n = want.setdefault((remote, s // 60 * 60), [0, 0])
+        n[0] += 1
+        n[1] += not ok
+    plain = lambda df: {(r["remote"], r["m"]): [r["n_calls"], r["n_failed"]] for r in df.selectExpr("*", "unix_seconds(minute) AS m").collect()}
+    assert plain(reflog.call_windows(calls)) == want
+    calls.write.parquet(f"{tmp_path}/calls.parquet")
+    stream = reflog.call_windows(reflog.read_stream(spark, f"file://{tmp_path}/calls.parquet"))
+    late = max(s for _, s, _ in rows) - 600
+    assert plain(reflog.run_to_end(stream, f"file://{tmp_path}")) == {k: n for k, n in want.items() if k[1] + 60 <= late}
+    busy = spark.range(50).selectExpr("'r' AS remote", "timestamp_seconds(id) AS ts", "id % 2 = 0 AS ok")
+    assert [(r["over_budget"], r["opens"]) for r in reflog.call_windows(busy).collect()] == [(30, True)]
+
+
+def test_new_objects_over_batches(spark, tmp_path):
+    """Three batches with ids in common, and no state but the table."""
     for k in range(3):
-        spark.createDataFrame(rows[k * 200 : (k + 1) * 200]).coalesce(1).write.mode("append").parquet(f"{tmp_path}/calls.parquet")
-    stream = spark.readStream.schema("remote string, ts_ms long, ok boolean").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/calls.parquet")
-    got = reflog.run_to_end(reflog.circuit_breaker(stream), f"file://{tmp_path}")
-    want = reflog.circuit_breaker(spark.read.parquet(f"{tmp_path}/calls.parquet"))
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        spark.range(k * 50, k * 50 + 100).selectExpr("cast(id AS string) AS oid", "id % 7 AS size").union(spark.createDataFrame([("0", 0)], "oid string, size long")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/o.parquet")
+    stream = spark.readStream.schema("oid string, size long").option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/o.parquet")
+    got = [r["oid"] for r in reflog.new_objects(stream, f"file://{tmp_path}").collect()]
+    assert sorted(map(int, got)) == list(range(200))
 
 
 def test_loose_objects(spark, tmp_path):
@@ -269,9 +239,95 @@ def test_long_bundle_headers(spark, tmp_path):
     assert [(r["oid"], r["name"]) for r in files.bundle_refs(spark, str(tmp_path)).collect()] == refs
 
 
-def test_reach_has_no_limit(spark, monkeypatch):
-    monkeypatch.setattr(graph, "MAX_ROUNDS", 2)
-    edges = spark.createDataFrame([(f"c{i}", f"c{i - 1}", 1) for i in range(1, 6)], "child string, parent string, nth int")
-    pairs = spark.createDataFrame([("c0", "c5")], "ancestor string, descendant string")
-    assert [r["is_ancestor"] for r in graph.reach(pairs, edges).collect()] == [True]
-    assert graph.reachable(spark.createDataFrame([("c5",)], "oid string"), edges).count() == 6
+def chain(spark, n):
+    return spark.range(1, n).selectExpr("concat('c', id) AS child", "concat('c', id - 1) AS parent", "1 AS nth")
+
+
+def test_long_histories(spark):
+    """20,000 commits in a row, with a branch that is merged in the middle and one at the end that is not."""
+    n = 20_000
+    edges = chain(spark, n).union(spark.createDataFrame([("b1", "c9000", 1), ("b2", "b1", 1), ("c9500", "b2", 2), ("x1", "c15000", 1), ("x2", "x1", 1)], "child string, parent string, nth int"))
+    asked = {("c0", "c19999"): True, ("c19999", "c0"): False, ("b1", "c19999"): True, ("b1", "c9400"): False, ("x1", "c19999"): False, ("c15000", "x2"): True, ("c15001", "x2"): False, ("c700", "c701"): True, ("c701", "c700"): False, ("x1", "x1"): True, ("lone", "lone"): True, ("lone", "c5"): False}
+    got = graph.reach(spark.createDataFrame(list(asked), "ancestor string, descendant string"), edges).collect()
+    assert {(r["ancestor"], r["descendant"]): r["is_ancestor"] for r in got} == asked
+    heads = lambda *ids: spark.createDataFrame([(i,) for i in ids], "oid string")
+    assert graph.reachable(heads("c19999"), edges).count() == n + 2
+    assert graph.reachable(heads("x2", "lone"), edges).count() == 15_001 + 2 + 1 + 2  # b1 and b2 were merged below
+    assert {r["oid"] for r in graph.reachable(heads("c2", "b1"), edges.where("child like 'b%' or child in ('c1', 'c2', 'c3')")).collect()} == {"c0", "c1", "c2", "b1", "c9000"}
+    level = {r["oid"]: r["generation"] for r in graph.generations(heads("c0", "c9000", "b2", "c9500", "c19999", "x2", "lone"), edges).collect()}
+    assert level == {"c0": 0, "c9000": 9000, "b2": 9002, "c9500": 9500, "c19999": 19999, "x2": 15002, "lone": 0}
+    assert graph.log(spark.createDataFrame([("c19999",)], "head string"), edges, 15_000).count() == 15_000
+
+
+def test_cycles_are_errors(spark):
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "c", 1), ("c", "a", 1), ("d", "a", 1)], "child string, parent string, nth int")
+    with pytest.raises(ValueError):
+        graph.generations(spark.createDataFrame([("a",)], "oid string"), edges)
+    two = spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "child string, parent string, nth int")
+    with pytest.raises(ValueError):
+        graph.runs(two)
+
+
+def test_a_directory_of_many_files(spark):
+    n = 200_000
+    rows = spark.range(n).selectExpr("concat('d/', lpad(id, 6, '0')) AS path", "33188 AS mode", "sha2(cast(id AS string), 256) AS oid")
+    want = hashlib.sha256()
+    body = b"".join(b"100644 %06d\0" % i + hashlib.sha256(str(i).encode()).digest() for i in range(n))
+    want.update(b"tree %d\0" % len(body) + body)
+    built = {r["dir"]: (r["tree_oid"], r["n_entries"]) for r in trees.build(rows, 1)[0].collect()}
+    assert built["d"] == (want.hexdigest(), n)
+    with pytest.raises(ValueError, match="conflicts"):
+        trees.build(rows.withColumn("stage", F.lit(2)), 1)
+
+
+def test_a_chain_of_many_commits(spark):
+    n, last, want = 100_000, None, {}
+    for i in range(n):
+        body = b"h%d\n" % i + (b"parent %s\n" % last.encode() if last else b"") + b"t"
+        last = hashlib.sha256(b"commit %d\0" % len(body) + body).hexdigest()
+        want[i] = last
+    rows = spark.range(n).selectExpr("1 AS chain", "id AS seq", "id AS key", "concat('h', id, '\n') AS head", "'t' AS tail")
+    two = rows.union(spark.createDataFrame([(2, 1, -1, "h0\n", "t")], rows.schema))
+    got = {r["key"]: r["oid"] for r in graph.chain_ids(two).collect()}
+    assert got.pop(-1) == want[0] and got == want
+
+
+def test_revision_names(spark):
+    edges = chain(spark, 10).union(spark.createDataFrame([("c9", "m", 2), ("m", "c3", 1)], "child string, parent string, nth int"))
+    edges = edges.selectExpr("repeat(substr(child, -1), 64) AS child", "repeat(substr(parent, -1), 64) AS parent", "nth").replace("m" * 64, "f" * 64)
+    i = lambda c: c * 64
+    refs_ = spark.createDataFrame([("HEAD", None, "refs/heads/main"), ("refs/heads/main", i("9"), None), ("refs/tags/v1", i("2"), None), ("refs/heads/v1", i("5"), None), ("refs/heads/HEAD", i("0"), None), ("refs/heads/beef", i("4"), None)], "name string, oid string, target string")
+    want = {"HEAD": "9", "main": "9", "v1": "5", "refs/tags/v1": "2", "beef": "4", "main~3": "6", "main^": "8", "main^2": "f", "main^2^": "3", "main~2^~1": "5", "main^0": "9", "HEAD~9": "0", "HEAD~10": None, "main^3": None, "nothing": None, i("7"): "7", i("7") + "~7": "0", "v1~0": "5", "main^^": "7", "main~": "8"}
+    got = {r["spec"]: r["oid"] for r in refs.rev_parse(spark.createDataFrame([(s,) for s in want], "spec string"), refs_, edges).collect()}
+    assert got == {s: c and i(c) for s, c in want.items()}
+
+
+def test_commits_with_signatures(spark):
+    text = "tree t\nparent p\nauthor a\ncommitter c\nencoding latin1\ngpgsig -----BEGIN\n \n abc\n -----END\n\nsubject\n\nbody\n"
+    row = one(spark, codec.parse_commit(F.lit(text)))
+    assert row["gpg_signature"] == "-----BEGIN\n\nabc\n-----END" and row["encoding"] == "latin1" and row["message"] == "subject\n\nbody\n" and row["parents"] == ["p"]
+    lit = lambda k: F.lit(row[k])
+    assert one(spark, codec.commit_text(lit("tree"), F.array(F.lit("p")), lit("author"), lit("committer"), lit("message"), lit("encoding"), lit("gpg_signature"))) == text
+    plain = one(spark, codec.parse_commit(F.lit("tree t\nauthor a\ncommitter c\n\nm")))
+    assert plain["parents"] == [] and plain["encoding"] is None and plain["gpg_signature"] is None
+
+
+def test_small_functions(spark):
+    assert one(spark, codec.crc32_raw(F.lit("hello").cast("binary"))) == 4029829531
+    assert [one(spark, codec.is_retryable(F.lit(c))) for c in (-8, -7, -6, -5, 0)] == [True, True, True, False, False]
+    assert [one(spark, index.is_valid(F.lit(p))) for p in ("a", "", None)] == [True, False, False]
+    delays = [one(spark, codec.backoff_ms(F.lit(n), key=F.lit(f"caller {k}"))) for n in (0, 3, 12) for k in range(5)]
+    assert all(base * 0.8 <= d <= base * 1.2 for d, base in zip(delays, [100] * 5 + [800] * 5 + [30_000] * 5, strict=True)) and len(set(delays)) > 10
+
+
+def test_own_digests(spark):
+    hashing.register(spark, "half_sha", lambda data: hashlib.sha256(data).hexdigest()[:32])
+    assert spark.sql("SELECT half_sha(cast('abc' AS binary)) AS x").first()["x"] == ABC["sha256"][:32]
+
+
+def test_index_nth(spark):
+    rows = spark.range(1000).selectExpr("concat('d', id % 9, '/', id) AS path", "cast(id % 2 AS int) AS stage", "'x' AS oid", "1 AS mode", "id AS size")
+    want = sorted((r["path"], r["stage"]) for r in rows.collect())
+    for n in (0, 1, 499, 999):
+        assert [(r["path"], r["stage"]) for r in index.nth(rows, n).collect()] == [want[n]]
+    assert index.nth(rows, 1000).count() == 0
