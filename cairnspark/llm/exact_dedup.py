@@ -5,13 +5,17 @@ set already). The arrays of all tasks are merged block by block; a bit that two
 Pass two: a row whose bits are all in `twice` may have a copy. Only such rows are shuffled, where an exact count decides.
 All other rows pass straight through.
 
-The filter has a fixed size limit, so it can be broadcast whatever the input. Beyond about 2^25 rows it fills up and more
-rows are shuffled without need, which costs time but never changes a result; no text is ever in that shuffle.
+A filter has a fixed size limit, so it can be broadcast whatever the input. A corpus with more rows than one filter serves is
+taken in ranges of the hash, each with a filter of its own: the rows are written once with their digests, in the order of the
+ranges inside each task, and every range then reads its own rows only. No range shuffles a row that its filter clears.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -19,14 +23,16 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from cairnspark.llm.common import bounded_batches, keep, lookup, over_texts, text_or_empty, texts_of
+from cairnspark.llm.common import bounded_batches, keep, lookup, over_texts, scratch_root, text_or_empty, texts_of
 
 BITS_A_ROW = 16
 PROBES = 4
 MIN_BITS, MAX_BITS = 1 << 19, 1 << 29
 BLOCK_WORDS = 1 << 13  # of 64 bits: the unit in which filters are merged
-FILTER_TASKS = 512  # partial filters at most, so that merging is bounded too
+FILTER_TASKS = 64  # partial filters of a range at most, so that merging is bounded too: half a million rows each in a full range
+MOST_AT_ONCE = 16  # ranges in work at a time at most, as the driver holds a filter of each
 
 
 def digest(text: bytes) -> bytes:
@@ -51,7 +57,7 @@ def probes(values: list[bytes], bits: int) -> np.ndarray:
 
 
 def seen_again(hashed: DataFrame, n_rows: int) -> np.ndarray:
-    """The merged `twice` array of a table of digests."""
+    """The merged `twice` array of a table of digests, of a range at most."""
     bits = min(MAX_BITS, max(MIN_BITS, 1 << (max(1, n_rows) * BITS_A_ROW - 1).bit_length()))
 
     def partial(batches):
@@ -94,19 +100,46 @@ def maybe_repeated(shared: Broadcast, column: Column) -> Column:
     return test(column)
 
 
-class Repeats:
-    """The result of both passes over a corpus: the filter, and the exact groups among the rows that it lets through."""
+def _settle(digests: DataFrame, rows: DataFrame, n_rows: int) -> tuple[DataFrame, DataFrame]:
+    """rows (digest, doc_id, ...) that the filter clears, and the others with keep_id, group_size and n_top, the number of rows
+    that repeat the id that stays; null where the exact count has found the digest once."""
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(seen_again(digests, n_rows))
+    flag = lambda df: df.withColumn("maybe", maybe_repeated(shared, F.col("digest")))
+    by_id = flag(digests).where("maybe").groupBy("digest", "doc_id").agg(F.count("*").alias("n"))
+    by_text = by_id.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"), F.coalesce(F.max_by("n", "doc_id"), F.sum("n")).alias("n_top"))
+    groups = keep(by_text.where("group_size > 1"), "groups")
+    flagged = flag(rows)
+    return flagged.where("not maybe").drop("maybe"), lookup(flagged.where("maybe").drop("maybe"), groups, "digest", "group_size", n_rows)
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str) -> None:
-        spark = docs.sparkSession
-        bounded_batches(spark)
-        self.digests = keep(digests(docs, id_col, text_col), "digests")
-        self.n_rows = self.digests.count()
-        self.filter = spark.sparkContext.broadcast(seen_again(self.digests, self.n_rows))
-        self.flagged = self.digests.withColumn("maybe", maybe_repeated(self.filter, F.col("digest")))
-        by_id = self.flagged.where("maybe").groupBy("digest", "doc_id").agg(F.count("*").alias("n"))
-        by_text = by_id.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"), F.coalesce(F.max_by("n", "doc_id"), F.sum("n")).alias("n_top"))
-        self.groups = keep(by_text.where("group_size > 1"), "groups")
+
+def _by_ranges(hashed: DataFrame, finish: Callable[[DataFrame, DataFrame], DataFrame], again: DataFrame | None = None) -> DataFrame:
+    """finish(cleared, tested) of all rows of hashed (digest, doc_id, ...), range by range if one filter is too small.
+
+    again: what gives the rows once more, with more columns; without it, the digests are the rows.
+    """
+    spark = hashed.sparkSession
+    bounded_batches(spark)
+    digests = keep(hashed.select("doc_id", "digest"), "digests")
+    n_rows = digests.count()
+    ranges = max(1, -(-n_rows * BITS_A_ROW // MAX_BITS))
+    if ranges == 1:
+        return finish(*_settle(digests, digests if again is None else again, n_rows))
+    # the last bytes of a digest give its range, as the first ones give the places in a filter
+    nth = (F.conv(F.hex(F.substring("digest", -4, 4)), 16, 10).cast("long") * ranges / (1 << 32)).cast("int")
+    sorted_ = keep((digests if again is None else again).withColumn("nth", nth).sortWithinPartitions("nth"), "ranges")
+    sizes = {r["nth"]: r["n"] for r in sorted_.groupBy("nth").agg(F.count("*").alias("n")).collect()}  # one row a range
+    path = f"{scratch_root(spark)}/llm-settled-{uuid.uuid4().hex}"
+
+    def one(k: int) -> StructType:
+        rows = sorted_.where(F.col("nth") == k).drop("nth")
+        out = finish(*_settle(rows.select("doc_id", "digest"), rows, sizes[k]))
+        out.write.parquet(f"{path}/nth={k}")
+        return out.schema
+
+    with ThreadPoolExecutor(max(1, min(MOST_AT_ONCE, spark.sparkContext.defaultParallelism // FILTER_TASKS))) as pool:
+        schemas = list(pool.map(one, sizes))
+    return spark.read.schema(schemas[0]).parquet(*[f"{path}/nth={k}" for k in sizes])
 
 
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -116,31 +149,33 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     id of a group stays; null ids come last, and a group of null ids only has a null keep_id. Rows that repeat both id and
     text get the same verdict (exact_dedup lets one of them through). An empty table gives an empty result.
     """
-    found = Repeats(docs, id_col, text_col)
-    alone = found.flagged.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
-    several = lookup(found.flagged.where("maybe").drop("maybe"), found.groups, "digest", "group_size", found.n_rows)
-    several = several.select(
-        "doc_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-        (F.col("group_size").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), "digest",
-    )
-    return alone.union(several)
+
+    def finish(cleared: DataFrame, tested: DataFrame) -> DataFrame:
+        alone = cleared.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
+        once = F.col("group_size").isNull()
+        return alone.union(tested.select(
+            "doc_id", F.when(once, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+            (once | F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), "digest",
+        ))
+
+    return _by_ranges(digests(docs, id_col, text_col), finish)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, all columns, with one row of each group of equal texts: that of the largest id.
 
-    Rows that the filter clears are never shuffled. Of rows that repeat the id and the text, one stays, whichever.
+    Rows that the filter clears are never shuffled. Of rows that repeat the id and the text, one stays, whichever. Rows travel
+    in one struct, so columns of docs may have any names.
     """
-    found = Repeats(docs, id_col, text_col)
 
     @F.pandas_udf("binary")
     def hashed(texts: pd.Series) -> pd.Series:
         return pd.Series([digest(t.encode()) for t in texts], dtype=object)
 
-    flagged = docs.withColumn("digest__", hashed(text_or_empty(text_col))).withColumn("maybe__", maybe_repeated(found.filter, F.col("digest__")))
-    groups = found.groups.select(F.col("digest").alias("digest__"), F.col("keep_id").alias("keep_id__"), F.col("group_size").alias("size__"), F.col("n_top").alias("top__"))
-    tested = lookup(flagged.where("maybe__"), groups, "digest__", "size__", found.n_rows, id_col).where(F.col("size__").isNull() | F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("keep_id__")))
-    single = tested.where("coalesce(top__, 1) = 1")
-    repeated = tested.where("top__ > 1").dropDuplicates(["digest__"])
-    names = [f"`{c}`" for c in docs.columns]
-    return flagged.where("not maybe__").select(*names).union(single.select(*names)).union(repeated.select(*names))
+    def finish(cleared: DataFrame, tested: DataFrame) -> DataFrame:
+        left = tested.where(F.col("group_size").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id")))
+        single, repeated = left.where("coalesce(n_top, 1) = 1"), left.where("n_top > 1").dropDuplicates(["digest"])
+        return cleared.select("row").union(single.select("row")).union(repeated.select("row"))
+
+    rows = docs.select(F.struct("*").alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), hashed(text_or_empty(text_col)).alias("digest"))
+    return _by_ranges(digests(docs, id_col, text_col), finish, rows).select("row.*")
