@@ -7,7 +7,8 @@ discarded, the rest are verified bit by bit.
 Pivot tables tell pairs apart but do not bring them together, and comparing all pairs is out of the question. So the pairs
 that are compared come from blocks: the 64 bits are cut into blocks of which a pair within RADIUS must agree on some, and a
 row is filed once for every choice of that many blocks. No pair within RADIUS is missed. Equal fingerprints count as one
-point, and only its members are numerous, so groups of copies cost nothing here.
+point, and only its members are numerous, so groups of copies cost nothing here. Buckets with more than SPLIT points are filed
+again by further bits until they are small, with no pair lost either.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from xxhash import xxh64_intdigest
 
-from cairnspark.llm.common import drop, keep, lookup, over_texts, text_or_empty, texts_of
+from cairnspark.llm.common import keep, lookup, over_texts, text_or_empty, texts_of
 from cairnspark.llm.components import components
 
 SHINGLE = 4
@@ -31,6 +32,8 @@ RADIUS = 4
 PIVOTS = 14
 LANES = 7  # distances to a 64-bit integer, 8 bits each; the sign bit stays free
 CHUNK = 1 << 16  # shingles unpacked to bits at a time
+SPLIT = 256  # points of a bucket that are compared in full; larger buckets are filed again by further bits
+GROUPS, LEVELS = 6, 40  # of bits in a further filing; filings one after the other at most
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -101,28 +104,65 @@ def block_masks(n_points: int) -> list[int]:
     return [sum(blocks[i] for i in pick) for pick in combinations(range(m), m - RADIUS)]
 
 
+def further_masks(level: int) -> list[int]:
+    """Masks of the bits that are added to a bucket's key. The 64 bits fall into GROUPS groups by lot, another lot at each level;
+    RADIUS bits touch at most RADIUS groups, so a pair agrees on all of at least GROUPS - RADIUS of them."""
+    order = np.random.default_rng(level).permutation(64).tolist()
+    groups = [sum(1 << b for b in order[i::GROUPS]) for i in range(GROUPS)]
+    return [sum(pick) for pick in combinations(groups, GROUPS - RADIUS)]
+
+
+def file_under(points: DataFrame, masks: list[int]) -> DataFrame:
+    """points (fp, mask, ...), once for each mask, with the bits of its key (mask) and the key (bucket)."""
+    more = F.explode(F.array(*[F.lit(signed(m)) for m in masks])).alias("more")
+    rows = points.select("*", more).withColumn("mask", F.col("mask").bitwiseOR(F.col("more"))).drop("more")
+    return rows.withColumn("bucket", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))))
+
+
+def distances(n: int) -> list[Column]:
+    """The first n distances of a pivot table."""
+    return [F.shiftright(F.col("pv0"), 8 * i).bitwiseAND(F.lit(0xFF)) for i in range(n)]
+
+
 def links(points: DataFrame, n_points: int) -> DataFrame:
     """points (node, fp; fp unique) to edges (a, b) that connect exactly the points connected by links of RADIUS or less.
 
     Not every link is returned, as a dense group has as many as its size squared. First each point of a bucket is compared with
-    its neighbour in the order of distances to the first pivot, which joins up dense groups by as many edges as rows. Then
-    buckets with points of several components so far are searched in full for links between components.
+    its neighbour in the order of pivot distances, which joins up dense groups by as many edges as rows. Then buckets with points
+    of several components so far are searched in full for links between components. Either way a pair is verified bit by bit only
+    if its pivot tables do not rule it out.
     """
-    masks = F.explode(F.array(*[F.lit(signed(m)) for m in block_masks(n_points)]))
-    filed = points.select("node", "fp", masks.alias("mask")).select("node", "fp", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("bucket"))
-    order = Window.partitionBy("bucket").orderBy(F.bit_count(F.col("fp").bitwiseXOR(F.lit(signed(pivots(1)[0])))), "fp")
-    near = filed.withColumns({"b": F.lag("node").over(order), "other": F.lag("fp").over(order), "after": F.lead("node").over(order)})
-    near = keep(near.where("b is not null or after is not null").drop("after"), "filed")  # points that are alone in a bucket go
-    first = keep(near.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= RADIUS).select(F.col("node").alias("a"), "b").distinct(), "links")
-
-    labelled = near.select("node", "fp", "bucket").join(components(first), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    labelled = keep(labelled.withColumns(pivot_columns()), "labelled")
-    mixed = labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-    open_ = labelled.join(mixed, "bucket", "left_semi")
-    x, y = open_.alias("x"), open_.alias("y")
-    pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") < F.col("y.root")) & coordinates_close("x", "y") & (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= RADIUS))
-    across = keep(pairs.groupBy(F.col("x.root").alias("a"), F.col("y.root").alias("b")).agg(F.count("*").alias("n")).select("a", "b"), "links")
-    return first.union(across)
+    total = n_points * len(block_masks(n_points))
+    tabled = points.withColumns(pivot_columns()).withColumn("mask", F.lit(0).cast("long"))
+    filed = file_under(tabled, block_masks(n_points))
+    # points that are alone in a bucket go; a bucket that holds a large share of them is met in several tasks
+    sizes = filed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    near = keep(lookup(filed, sizes, "bucket", "n", total, "node").where("n is not null"), "filed")
+
+    cell = F.when(F.col("n") > SPLIT, F.array(*distances(3))).otherwise(F.array(F.lit(0).cast("long")))
+    order = Window.partitionBy("bucket", "cell").orderBy(*distances(4), "fp")
+    before = F.lag(F.struct("node", "fp", "pv0", "pv1")).over(order)
+    pairs = near.withColumn("cell", cell).select(F.struct("node", "fp", "pv0", "pv1").alias("x"), before.alias("y")).where("y is not null")
+    first = keep(pairs.where(coordinates_close("x", "y") & linked("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "links")
+
+    rows, across = near.join(components(first), "node", "left").withColumn("root", F.coalesce("root", "node")), []
+    rows = keep(rows.select("node", "fp", "pv0", "pv1", "mask", "bucket", "root"), "labelled")
+    for level in range(LEVELS):
+        mixed = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket", "n")
+        open_ = keep(lookup(rows, mixed, "bucket", "n", total, "node").where("n is not null"), "open")
+        small = open_.where(F.col("n") <= SPLIT)
+        x, y = small.alias("x"), small.alias("y")
+        pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") < F.col("y.root")) & coordinates_close("x", "y") & linked("x", "y"))
+        across.append(keep(pairs.groupBy(F.col("x.root").alias("a"), F.col("y.root").alias("b")).agg(F.count("*").alias("n")).select("a", "b"), "links"))
+        large = open_.where(F.col("n") > SPLIT).drop("n")
+        if large.isEmpty():
+            return reduce(DataFrame.union, across, first)
+        rows = keep(file_under(large.drop("bucket"), further_masks(level)), "refiled")
+    raise RuntimeError(f"buckets of over {SPLIT} points after {LEVELS} filings")
+
+
+def linked(a: str, b: str) -> Column:
+    return F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= RADIUS
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -143,8 +183,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """docs, all columns, with one row of each component: that of the smallest id.
 
-    Rows without an id all stay, and so do rows that repeat the smallest id; exact deduplication removes those.
+    Rows without an id all stay, and so do rows that repeat the smallest id; exact deduplication removes those. Rows travel in one
+    struct, so columns of docs may have any names.
     """
     groups = near_duplicates(docs, id_col, text_col, shingle)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone__")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("gone__"), "left_anti")
+    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"))
+    return rows.join(gone, "doc_id", "left_anti").select("row.*")
