@@ -24,8 +24,9 @@ MIN_CHARS, MIN_DOCS = 20, 3
 SPACE = b" \t\n\x0b\x0c\r"
 SLOTS, KICKS = 4, 500
 KEYS_A_SHARD = 200_000
-#: Filters above this many bytes in all are not broadcast; every line long enough is then looked up.
+#: Filters up to this many bytes in all are broadcast; beyond it the keys, 16 bytes each, are sent to the filter of their shard.
 MAX_FILTER_BYTES = 64 << 20
+SLICES = 16  # tasks that may share a shard's filter, so that a key in a third of all documents is in no single task
 
 
 class Cuckoo:
@@ -137,18 +138,24 @@ class LineIndex:
         """An index of docs, with as many shards as its repeated keys need."""
         held = keep(postings(docs, id_col, text_col), "postings")
         counts = keep(_count(held), "counts")
-        many = counts.where(F.col("n_docs") >= min_docs).count()
-        shards = max(1, 1 << (-(-many // KEYS_A_SHARD) - 1).bit_length()) if many else 1
-        start = cls.empty(docs.sparkSession, shards, min_docs)
-        return cls(docs.sparkSession, held, counts, start._refilter(counts.withColumn("was", F.lit(0).cast("long")), counts), shards, min_docs)
+        return cls._of(docs.sparkSession, held, counts, _shards(counts, min_docs), min_docs)
+
+    @classmethod
+    def _of(cls, spark: SparkSession, held: DataFrame, counts: DataFrame, shards: int, min_docs: int) -> LineIndex:
+        """With filters made anew from the exact counts."""
+        start = cls.empty(spark, shards, min_docs)
+        return cls(spark, held, counts, start._refilter(counts.withColumn("was", F.lit(0).cast("long")), counts), shards, min_docs)
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
-        """Documents that are already held count once, as before."""
+        """Documents that are already held count once, as before. When the repeated keys outgrow the shards, there are twice as many
+        shards or more from then on, so that no filter, and no group that makes one, grows with the index."""
         new = keep(postings(docs, id_col, text_col).join(self.held, ["key", "doc_id"], "left_anti"), "postings")
         both = self.counts.select("key", "n_docs", "last_doc", F.col("n_docs").alias("was")).union(_count(new).select("key", "n_docs", "last_doc", F.lit(0).cast("long")))
         merged = keep(both.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"), F.sum("was").alias("was")), "counts")
-        counts = merged.drop("was")
-        return LineIndex(self.spark, self.held.union(new), counts, self._refilter(merged, counts), self.shards, self.min_docs)
+        counts, held = merged.drop("was"), self.held.union(new)
+        if (shards := _shards(counts, self.min_docs)) > self.shards:
+            return self._of(self.spark, held, counts, shards, self.min_docs)
+        return LineIndex(self.spark, held, counts, self._refilter(merged, counts), self.shards, self.min_docs)
 
     def delete(self, ids: DataFrame, id_col: str = "doc_id") -> LineIndex:
         """Without the documents of these ids; ids that are not held change nothing."""
@@ -189,10 +196,7 @@ class LineIndex:
         return keep(first.where("data is not null").union(keys.groupBy("shard").applyInPandas(rebuild, "shard int, data binary")), "filters")
 
     def _tester(self):
-        """A function from keys to those that may be repeated. The filters are broadcast if they are small enough."""
-        size = self.filters.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-        if size > MAX_FILTER_BYTES:
-            return lambda keys: set(keys)
+        """A function from keys to those that may be repeated, with the filters broadcast."""
         shared, shards = self.spark.sparkContext.broadcast({r["shard"]: bytes(r["data"]) for r in self.filters.collect()}), self.shards
         opened: dict[int, Cuckoo] = {}
 
@@ -210,14 +214,49 @@ class LineIndex:
 
         return test
 
+    def _sent_to_filters(self, keyed: DataFrame) -> DataFrame:
+        """The rows of keyed (key, doc_id) whose key may be repeated. A filter comes first in its part, its keys follow as a stream."""
+        none = lambda kind: F.lit(None).cast(kind)
+        rows = keyed.select(_shard(self.shards).alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)).cast("int").alias("slice"), "key", "doc_id", none("binary").alias("data"))
+        parts = self.filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("slice"), none("binary").alias("key"), none("long").alias("doc_id"), "data")
+        dealt = parts.union(rows).repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "shard", "slice").sortWithinPartitions("shard", "slice", F.col("data").isNull())
+        bounded_batches(self.spark)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, table = None, None
+            for batch in batches:
+                part = batch.column(0).to_numpy().astype(np.int64) * SLICES + batch.column(1).to_numpy()
+                keys, data, hit = batch.column(2).to_pylist(), batch.column(4), np.zeros(len(part), bool)
+                starts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+                for lo, hi in zip(starts, starts[1:], strict=False):
+                    if lo == hi:
+                        continue
+                    if part[lo] != at:
+                        at, table = part[lo], None
+                    if data[lo].is_valid:
+                        table, lo = Cuckoo(data[lo].as_py()), lo + 1
+                    if table:
+                        hit[lo:hi] = table.has(keys[lo:hi])
+                yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3)], ["key", "doc_id"]).filter(pa.array(hit))
+
+        return dealt.mapInArrow(run, "key binary, doc_id long")
+
     def clean(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """One row for each row of docs: doc_id, n_lines, n_dropped, text.
 
         A line whose key at least min_docs documents of the index hold is dropped, unless this document has the largest id
         among them. Lines are split at \\n; a null or empty text is one empty line; a text of which all lines go is empty.
         Keys shorter than MIN_CHARS never count. Rows with a null id keep their lines. Documents that the filters clear are
-        never shuffled.
+        not shuffled while the filters can be broadcast.
         """
+        many = keep(self.counts.where(F.col("n_docs") >= self.min_docs), "repeated")
+        total = many.agg(F.sum("n_docs")).first()[0] or 0
+        going = lambda lines: lookup(lines, many, "key", "n_docs", total).where("doc_id < last_doc").groupBy("doc_id").agg(F.collect_set("key").alias("gone"))
+        size = self.filters.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+        if size > MAX_FILTER_BYTES:
+            gone = going(self._sent_to_filters(postings(docs, id_col, text_col)))
+            counted = _docs(docs, id_col, text_col).withColumn("n_lines", F.lit(0).cast("long"))
+            return counted.join(gone, "doc_id", "left").mapInArrow(_drop_lines, CLEAN)
         test = self._tester()
 
         def flag(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -232,23 +271,32 @@ class LineIndex:
         flagged = over_texts(_docs(docs, id_col, text_col), flag, "doc_id long, text string, n_lines long, hits array<binary>")
         suspect = F.col("hits").isNotNull() & F.col("doc_id").isNotNull()
         lines = flagged.where(suspect).select("doc_id", F.explode("hits").alias("key")).distinct()
-        many = keep(self.counts.where(F.col("n_docs") >= self.min_docs), "repeated")
-        total = many.agg(F.sum("n_docs")).first()[0] or 0
-        gone = lookup(lines, many, "key", "n_docs", total).where("doc_id < last_doc").groupBy("doc_id").agg(F.collect_set("key").alias("gone"))
+        gone = going(lines)
         touched = flagged.where(suspect).select("doc_id", "text", "n_lines").join(gone, "doc_id", "left")
+        rest = flagged.where(~suspect).select("doc_id", "n_lines", F.lit(0).cast("long").alias("n_dropped"), "text")
+        return rest.union(touched.mapInArrow(_drop_lines, CLEAN))
 
-        def drop_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts, dropped = [], []
-                for text, out in zip(texts_of(batch), batch.column(3).to_pylist(), strict=True):
-                    lines, out = text.split(b"\n"), set(out or ())
-                    left = [x for x in lines if key_of(x) not in out] if out else lines
-                    dropped.append(len(lines) - len(left))
-                    texts.append(b"\n".join(left).decode())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(dropped, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "n_lines", "n_dropped", "text"])
 
-        rest = flagged.where(~suspect).select("doc_id", "n_lines", F.lit(0).cast("long").alias("n_dropped"), "text")
-        return rest.union(touched.mapInArrow(drop_lines, "doc_id long, n_lines long, n_dropped long, text string"))
+CLEAN = "doc_id long, n_lines long, n_dropped long, text string"
+
+
+def _drop_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, text, n_lines, gone to CLEAN."""
+    for batch in batches:
+        texts, sizes, dropped = [], [], []
+        for text, out in zip(texts_of(batch), batch.column(3).to_pylist(), strict=True):
+            lines, out = text.split(b"\n"), set(out or ())
+            left = [x for x in lines if key_of(x) not in out] if out else lines
+            sizes.append(len(lines))
+            dropped.append(len(lines) - len(left))
+            texts.append(b"\n".join(left).decode())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(dropped, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "n_lines", "n_dropped", "text"])
+
+
+def _shards(counts: DataFrame, min_docs: int) -> int:
+    """A power of two of shards, none of which has many more than KEYS_A_SHARD repeated keys."""
+    many = counts.where(F.col("n_docs") >= min_docs).count()
+    return max(1, 1 << (-(-many // KEYS_A_SHARD) - 1).bit_length()) if many else 1
 
 
 def _count(held: DataFrame) -> DataFrame:
