@@ -73,13 +73,23 @@ def _quantile(scores: DataFrame, share: float, low: float, high: float) -> float
     return low + width * float(np.searchsorted(np.cumsum(n), share * n.sum(), "right"))
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: doc_id, held_out, score (0 to 1), predicted (1 if score >= CUT).
+@dataclass
+class Judge:
+    """A ranker and the raw score that stands for CUT."""
 
-    Only texts enter a score. labels (doc_id, quality) of held-out rows are never used; a doc_id with several labels counts as
-    good if any is. Without labelled rows of both classes nothing can be learned: every score is 0.5. Null texts are empty and
-    scored like any; null ids are scored, are not held out and never match a label.
-    """
+    ranker: Ranker
+    cut: float
+
+    def raw(self, count: np.ndarray) -> np.ndarray:
+        return self.ranker.scores(expand(count))
+
+
+def _value(raw: Column, cut: float) -> Column:
+    return 1 / (1 + F.exp(-(raw - F.lit(cut) + F.lit(float(np.log(CUT / (1 - CUT)))))))
+
+
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Judge | None]:
+    """All rows of docs as (doc_id, held_out, raw), and what judges them; None if there are not labelled rows of both classes."""
     spark = docs.sparkSession
     picked = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
 
@@ -88,28 +98,51 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, np.ascontiguousarray(found.T))], ["doc_id", *COUNTS])
 
     stats = keep(over_texts(picked, rows, "doc_id long, " + ", ".join(f"{c} int" for c in COUNTS)).withColumn("held_out", F.coalesce(crc_of_id() % HELD_OUT == 0, F.lit(False))), "counts")
-    known = labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
-    learn = stats.where("not held_out").join(known, "doc_id")
-    sample = {q: np.array(learn.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), *COUNTS).limit(TRAIN_ROWS).select(*COUNTS).collect(), float) for q in (0, 1)}
+    marked = labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
+    known = keep(stats.where("not held_out").join(marked, "doc_id").drop("held_out"), "labelled")
+    sample = {q: np.array(known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), *COUNTS).limit(TRAIN_ROWS).select(*COUNTS).collect(), float) for q in (0, 1)}
     if not len(sample[0]) or not len(sample[1]):
-        return stats.select("doc_id", "held_out", F.lit(0.5).alias("score"), F.lit(1).alias("predicted"))
-    ranker = Ranker.fit(expand(sample[1]), expand(sample[0]))
-    shared = spark.sparkContext.broadcast(ranker)
+        return stats.select("doc_id", "held_out", F.lit(0.0).alias("raw")), None
+    judge = Judge(Ranker.fit(expand(sample[1]), expand(sample[0])), 0.0)
+    shared = spark.sparkContext.broadcast(judge)
 
     @F.pandas_udf("double")
     def raw(*columns: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.scores(expand(np.stack([c.to_numpy() for c in columns], axis=1))))
+        return pd.Series(shared.value.raw(np.stack([c.to_numpy() for c in columns], axis=1)))
 
-    ranked = keep(stats.select("doc_id", "held_out", raw(*COUNTS).alias("raw")), "raw")
-    judged = ranked.where("not held_out").join(known, "doc_id")
+    judged = keep(known.select("quality", raw(*COUNTS).alias("raw")), "judged")
     totals = judged.agg(F.avg((F.col("quality") == 0).cast("double")), F.min("raw"), F.max("raw")).first()
-    cut = _quantile(judged, *totals)
-    odds = float(np.log(CUT / (1 - CUT)))
-    value = 1 / (1 + F.exp(-(F.col("raw") - F.lit(cut) + F.lit(odds))))
+    judge.cut = _quantile(judged, *totals)
+    return stats.select("doc_id", "held_out", raw(*COUNTS).alias("raw")), judge
+
+
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of docs: doc_id, held_out, score (0 to 1), predicted (1 if score >= CUT).
+
+    Only texts enter a score. labels (doc_id, quality) of held-out rows are never used; a doc_id with several labels counts as
+    good if any is. Without labelled rows of both classes nothing can be learned: every score is 0.5. Null texts are empty and
+    scored like any; null ids are scored, are not held out and never match a label.
+    """
+    ranked, judge = learn(docs, labels, id_col, text_col)
+    if judge is None:
+        return ranked.select("doc_id", "held_out", F.lit(0.5).alias("score"), F.lit(1).alias("predicted"))
+    value = _value(F.col("raw"), judge.cut)
     return ranked.select("doc_id", "held_out", value.alias("score"), F.when(value >= CUT, 1).otherwise(0).alias("predicted"))
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, all columns, without rejected rows. Rows with a null id are left out, as no verdict can be joined."""
-    good = score(docs, labels, id_col, text_col).where("predicted = 1").select(F.col("doc_id").alias("good__")).distinct()
-    return docs.join(good, F.col(f"`{id_col}`").cast("long") == F.col("good__"), "left_semi")
+    """docs, all columns, without rejected rows.
+
+    Every row is judged by its own text, so rows with a null id are kept or go like any, and of rows that share an id each has its
+    own verdict. Nothing is joined, and columns of docs may have any names.
+    """
+    judge = learn(docs, labels, id_col, text_col)[1]
+    if judge is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(judge)
+
+    @F.pandas_udf("double")
+    def raw(texts: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.raw(np.array([counts(t.encode()) for t in texts], np.int32).reshape(-1, len(COUNTS))))
+
+    return docs.where(_value(raw(text_or_empty(text_col)), judge.cut) >= CUT)
