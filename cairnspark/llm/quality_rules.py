@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnspark.llm.common import keep, over_texts, text_or_empty, texts_of
@@ -115,33 +115,55 @@ def _limit(labelled: DataFrame, keep_clean: float) -> float:
     return float((np.searchsorted(np.cumsum(clean), keep_clean * clean.sum()) + 1) / BINS)
 
 
-def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_clean: float = KEEP_CLEAN) -> DataFrame:
-    """One row for each row of docs: doc_id, COUNTS, base_failed, anomaly, kept.
+def _base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (F.lit(100) * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
-    labels (doc_id, quality) marks clean rows with quality 1. Rows that fail a fixed limit are not kept and not learned from.
-    Without labelled rows no forest can be grown: anomaly is 0 and the fixed limits alone decide, as they do without clean ones. Null and empty texts
-    have no words and fail. Repeated rows are judged alike; null ids are judged but never match a label.
-    """
+
+def grow(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_clean: float = KEEP_CLEAN) -> tuple[DataFrame, Forest | None, float]:
+    """All rows of docs as (doc_id, COUNTS, base_failed, anomaly), the forest (None without labelled rows), and the limit."""
     spark = docs.sparkSession
-    base = (F.col("n_words") < MIN_WORDS) | (F.lit(100) * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    stats = keep(statistics(docs, id_col, text_col).withColumn("base_failed", base), "statistics")
+    stats = keep(statistics(docs, id_col, text_col).withColumn("base_failed", _base_failed()), "statistics")
     marked = labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
-    known = stats.where("not base_failed").join(marked, "doc_id", "left_semi")
+    known = keep(stats.where("not base_failed").join(marked, "doc_id"), "labelled")
     sample = known.orderBy(F.xxhash64("doc_id"), *COUNTS).limit(TRAIN_ROWS).select(*COUNTS).collect()
-    forest = spark.sparkContext.broadcast(Forest.grow(shares(np.array(sample))) if sample else None)
+    if not sample:
+        return stats.withColumn("anomaly", F.lit(0.0)), None, 1.0
+    forest = Forest.grow(shares(np.array(sample)))
+    shared = spark.sparkContext.broadcast(forest)
 
     @F.pandas_udf("double")
     def anomaly(*columns: pd.Series) -> pd.Series:
-        grown = forest.value
-        rows = shares(np.stack([c.to_numpy() for c in columns], axis=1))
-        return pd.Series(grown.scores(rows) if grown else np.zeros(len(rows)))
+        return pd.Series(shared.value.scores(shares(np.stack([c.to_numpy() for c in columns], axis=1))))
+
+    limit = _limit(known.where("quality = 1").select(anomaly(*COUNTS).alias("anomaly")), keep_clean)
+    return stats.withColumn("anomaly", anomaly(*COUNTS)), forest, limit
+
+
+def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_clean: float = KEEP_CLEAN) -> DataFrame:
+    """One row for each row of docs: doc_id, COUNTS, base_failed, anomaly, kept.
 
-    scored = keep(stats.withColumn("anomaly", anomaly(*COUNTS)), "scored") if sample else stats.withColumn("anomaly", F.lit(0.0))
-    limit = _limit(scored.where("not base_failed").join(marked.where("quality = 1"), "doc_id", "left_semi"), keep_clean)
+    labels (doc_id, quality) marks clean rows with quality 1. Rows that fail a fixed limit are not kept and not learned from.
+    Without labelled rows no forest can be grown: anomaly is 0 and the fixed limits alone decide, as they do without clean ones. Null and empty texts
+    have no words and fail. Repeated rows are judged alike; null ids are judged but never match a label.
+    """
+    scored, _, limit = grow(docs, labels, id_col, text_col, keep_clean)
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") < limit))
 
 
 def filter_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, all columns, without the rows that are not kept. Rows with a null id are left out, as no verdict can be joined."""
-    kept = judge(docs, labels, id_col, text_col).where("kept").select(F.col("doc_id").alias("kept__")).distinct()
-    return docs.join(kept, F.col(f"`{id_col}`").cast("long") == F.col("kept__"), "left_semi")
+    """docs, all columns, without the rows that are not kept.
+
+    Every row is judged by its own text, so rows with a null id are kept or go like any, and of rows that share an id each has its
+    own verdict. Nothing is joined, and columns of docs may have any names.
+    """
+    _, forest, limit = grow(docs, labels, id_col, text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(forest)
+
+    @F.pandas_udf("boolean")
+    def good(texts: pd.Series) -> pd.Series:
+        found = np.array([counts(t.encode()) for t in texts], np.int64).reshape(-1, len(COUNTS))
+        words, repeated = (found[:, COUNTS.index(c)] for c in ("n_words", "n_repeat_words"))
+        kept = (words >= MIN_WORDS) & (100 * repeated <= MAX_REPEAT_PERCENT * words)
+        return pd.Series(kept & (shared.value.scores(shares(found)) < limit) if shared.value else kept)
+
+    return docs.where(good(text_or_empty(text_col)))
