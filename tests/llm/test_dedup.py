@@ -3,6 +3,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from cairnspark.llm import exact_dedup, simhash
@@ -131,3 +132,56 @@ def test_near_groups_of_odd_rows(spark):
     got = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()}
     assert {(1, 1), (2, 1), (3, 3), (4, 3), (5, 3), (None, 3), (None, None), (9, 9)} <= got
     assert simhash.near_dedup(docs).columns == docs.columns
+
+
+INTERNAL = ["digest__", "maybe__", "keep_id__", "size__", "__salt", "__hot", "gone__", "good__", "row", "maybe", "nth", "n_top", "group_size"]
+
+
+def test_columns_of_any_name(spark):
+    docs = spark.createDataFrame(ODD, "doc_id long, text string").selectExpr("*", *[f"concat('{c}', doc_id) AS {c}" for c in INTERNAL])
+    rows = {(r.doc_id, r.text): r for r in docs.collect()}
+    for left in (exact_dedup.exact_dedup(docs), simhash.near_dedup(docs)):
+        assert left.columns == docs.columns
+        assert all(r == rows[r.doc_id, r.text] for r in left.collect())
+
+
+def test_ranges_of_the_hash(spark, monkeypatch):
+    """Four filters where one would be too small give the same rows as one filter."""
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat('text ', id % 150) AS text", "id AS nth").union(spark.createDataFrame([(None, "text 3", 1), (7, "text 7", 2), (7, "text 7", 3)], "doc_id long, text string, nth long"))
+    state = lambda: (sorted(((r.doc_id, r.keep_id, r.group_size, r.kept, bytes(r.digest)) for r in exact_dedup.duplicate_groups(docs).collect()), key=str), sorted(((r.doc_id, r.text) for r in exact_dedup.exact_dedup(docs).collect()), key=str))
+    want, made = state(), []
+    plain = exact_dedup.seen_again
+    monkeypatch.setattr(exact_dedup, "BITS_A_ROW", 1 << 12)
+    monkeypatch.setattr(exact_dedup, "MAX_BITS", 1 << 19)
+    monkeypatch.setattr(exact_dedup, "seen_again", lambda hashed, n: made.append(n) or plain(hashed, n))
+    assert state() == want
+    assert len(made) == 8 and sum(made) == 2 * docs.count() and max(made) < 200
+    assert exact_dedup.exact_dedup(docs).columns == docs.columns
+
+
+def test_pivots_discard_and_never_lose(spark):
+    rng = random.Random(8)
+    points = [rng.getrandbits(64) for _ in range(400)]
+    points += [p ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(1, 7))) for p in points[:200]]
+    rows = spark.createDataFrame([(simhash.signed(p),) for p in set(points)], "fp long").withColumns(simhash.pivot_columns())
+    pairs = rows.alias("x").join(rows.alias("y"), F.col("x.fp") < F.col("y.fp"))
+    got = pairs.select(simhash.coordinates_close("x", "y").alias("close"), simhash.linked("x", "y").alias("linked")).groupBy("close", "linked").count().collect()
+    n = {(r["close"], r["linked"]): r["count"] for r in got}
+    discarded, verified = n[False, False], n[True, False] + n[True, True]
+    print("pairs discarded by pivots", discarded, "verified", verified, "linked", n[True, True])
+    assert (False, True) not in n and n[True, True] > 100 and discarded > 100 * verified
+
+
+@pytest.mark.parametrize("split", [24, 64])
+def test_large_buckets_are_filed_again(spark, monkeypatch, split):
+    """Points that share 44 bits are in one bucket each time; the chain through them is found all the same."""
+    monkeypatch.setattr(simhash, "SPLIT", split)
+    rng = random.Random(9)
+    high = rng.getrandbits(44) << 20
+    points = {high | rng.getrandbits(20) for _ in range(300)} | {rng.getrandbits(64) for _ in range(200)}
+    for start in list(points)[:30]:
+        points |= {start ^ sum(1 << b for b in rng.sample(range(64), 4)) for _ in range(3)}
+    ids = dict(enumerate(sorted(points)))
+    linked = [(a, b) for a, b in itertools.combinations(ids, 2) if (ids[a] ^ ids[b]).bit_count() <= 4]
+    got = simhash.links(spark.createDataFrame([(i, simhash.signed(p)) for i, p in ids.items()], "node long, fp long"), len(ids)).collect()
+    assert brute_components(ids, [(r.a, r.b) for r in got]) == brute_components(ids, linked)
