@@ -3,7 +3,8 @@
 Candidates are the matches of the fixed patterns and all other long tokens that look random. The network sees the characters
 of a candidate and of the text on both sides. It is trained here, in numpy, on labelled findings that a rule generates from a
 seed: secrets of many makes in the contexts where they turn up, and what is easily taken for one. Its limit is set on findings
-held back from training: calibrated probabilities, and the highest limit that still finds the required share of secrets.
+held back from training: calibrated probabilities, and the highest limit that still finds the required share of secrets of
+every make.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 TOKEN = re.compile(r"[A-Za-z0-9+/_=.@:%-]{12,}")
 
 CONTEXT, WIDTH = 24, 64  # characters on each side, and of a candidate at a time; longer ones are read in windows
-FINDINGS, CALIBRATION, SEED = 4000, 1000, 17
+FINDINGS, CALIBRATION, SEED = 6000, 3000, 17
 EPOCHS, BATCH, RATE = 6, 64, 3e-3
 RECALL = 0.97
 MOST = 0.9  # the limit is no higher than this, even if all secrets held back would pass a higher one
@@ -159,8 +160,8 @@ class Net:
         return 1 / (1 + np.exp(-np.clip(self.scale * logits + self.offset, -30, 30)))
 
 
-def findings(n: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """Labelled findings by rule: windows and whether they show a secret, half and half."""
+def findings(n: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Labelled findings by rule: windows, whether they show a secret, half and half, and the number of the make."""
     rng = np.random.default_rng(seed)
     lower, upper, digits = string.ascii_lowercase, string.ascii_uppercase, string.digits
 
@@ -170,6 +171,10 @@ def findings(n: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     def word() -> str:
         return pick(lower, 2, 9)
 
+    def prose() -> str:
+        """A word beside a finding, in any language; some end a sentence."""
+        return pick(lower + "aeiouéèàçñöü", 2, 9) + pick("      .,", 1).strip()
+
     def number(low: int, high: int) -> str:
         return str(rng.integers(low, high))
 
@@ -177,7 +182,7 @@ def findings(n: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     secrets = [
         lambda: "ghp_" + pick(mixed, 36), lambda: "xox" + pick("abp", 1) + "-" + pick(digits, 11) + "-" + pick(mixed, 24), lambda: "sk_live_" + pick(mixed, 24),
         lambda: "eyJ" + pick(mixed, 30) + "." + pick(mixed + "_-", 40) + "." + pick(mixed + "_-", 43), lambda: "AIza" + pick(mixed + "_-", 35), lambda: pick(mixed + "+/", 40),
-        lambda: pick(mixed + "+/", 22, 86) + "==", lambda: "AKIA" + pick(upper + digits, 16), lambda: pick("0123456789abcdef", 32, 64), lambda: pick(mixed, 24, 44),
+        lambda: pick(mixed + "+/", 22, 86) + "==", lambda: "AKIA" + pick(upper + digits, 16), lambda: pick("0123456789abcdef", 24, 64), lambda: pick("0123456789abcdef", 40), lambda: pick(mixed, 24, 44),
         lambda: "postgres://" + word() + ":" + pick(mixed, 12, 20) + "@db." + word() + ".example:5432", lambda: "SG." + pick(mixed, 22) + "." + pick(mixed, 43), lambda: "npm_" + pick(mixed, 36),
     ]
     others = [
@@ -187,29 +192,31 @@ def findings(n: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
         lambda: "+" + number(1, 99) + "-" + pick(digits, 3) + "-" + pick(digits, 3) + "-" + pick(digits, 4), lambda: "978-" + pick(digits, 1) + "-" + pick(digits, 5) + "-" + pick(digits, 3), lambda: "".join(word().title() for _ in range(4)),
         lambda: word() + "=" + word() + ":" + number(1, 9999), lambda: "=" * int(rng.integers(12, 40)) + number(0, 9), lambda: "/usr/" + word() + "/" + word() + "/" + word() + number(0, 9) + ".py",
     ]
-    hints = ["key: ", "Authorization: Bearer ", "export TOKEN_VALUE ", "client_secret ", "credentials ", "pass ", "DATABASE_URL ", ""]
+    hints = ["key: ", "Authorization: Bearer ", "export TOKEN_VALUE ", "client_secret ", "credentials ", "pass ", "DATABASE_URL ", "token   ", ""]
     plain = ["see ", "from ", "number ", "at ", "version ", "file ", "call ", "", "", ""]
-    x, y = [], []
+    x, y, kinds = [], [], []
     while len(x) < n:
         label = len(x) % 2
         make = secrets if label else others
-        token = make[rng.integers(len(make))]()
+        kinds.append(int(rng.integers(len(make))))
+        token = make[kinds[-1]]()
         lead = (hints if rng.random() < (0.5 if label else 0.05) else plain)
-        left = " ".join(word() for _ in range(rng.integers(0, 6))) + " " + lead[rng.integers(len(lead))]
-        right = " " + " ".join(word() for _ in range(rng.integers(0, 6)))
+        left = " ".join(prose() for _ in range(rng.integers(0, 6))) + " " + lead[rng.integers(len(lead))]
+        right = " " + " ".join(prose() for _ in range(rng.integers(0, 6)))
         quote = ["", '"', "'"][rng.integers(3)]
         text = left + quote + token + quote + right
         x.append(windows(text, len(left) + len(quote), len(left) + len(quote) + min(len(token), WIDTH))[0])
         y.append(label)
-    return np.array(x), np.array(y, float)
+    return np.array(x), np.array(y, float), np.array(kinds)
 
 
 @cache
 def trained(recall: float = RECALL, seed: int = SEED) -> Net:
-    """The network, trained once a process: Adam on FINDINGS, calibrated and limited on CALIBRATION others."""
+    """The network, trained once a process: Adam on FINDINGS, calibrated on CALIBRATION others, with the highest limit, MOST at most,
+    by which this share of every make of secret among them is found."""
     rng = np.random.default_rng(seed)
     net = Net.fresh(rng)
-    x, y = findings(FINDINGS, seed)
+    x, y, _ = findings(FINDINGS, seed)
     first, second = [np.zeros_like(w) for w in net.weights()], [np.zeros_like(w) for w in net.weights()]
     step = 0
     for _ in range(EPOCHS):
@@ -220,16 +227,18 @@ def trained(recall: float = RECALL, seed: int = SEED) -> Net:
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    x, y = findings(CALIBRATION, seed + 1)
+    x, y, kinds = findings(CALIBRATION, seed + 1)
     logits = np.concatenate([net.forward(x[i : i + CHUNK])["logit"] for i in range(0, len(x), CHUNK)])
     a, b = 1.0, 0.0
     for _ in range(200):  # Platt's sigmoid, with a pull towards a = 1 as separable classes would let it grow without bound
         p = 1 / (1 + np.exp(-np.clip(a * logits + b, -30, 30)))
         a -= 0.05 * (float(((p - y) * logits).mean()) + 0.1 * (a - 1))
         b -= 0.05 * float((p - y).mean())
-    net.scale, net.offset = a, b
-    found = np.sort(net.probability(x[y == 1]))
-    net.limit = min(float(found[int((1 - recall) * len(found))]), MOST)
+    net.scale, net.offset, net.limit = a, b, MOST
+    p = net.probability(x)
+    for kind in np.unique(kinds[y == 1]):
+        found = np.sort(p[(y == 1) & (kinds == kind)])
+        net.limit = min(net.limit, float(found[int((1 - recall) * len(found))]))
     return net
 
 

@@ -278,7 +278,7 @@ def test_recall_on_secrets_of_documents(spark):
 
 def test_network():
     net = secret_scan.Net.fresh(np.random.default_rng(0))
-    x, y = secret_scan.findings(6, 3)
+    x, y, _ = secret_scan.findings(6, 3)
     loss = lambda: float(np.mean(np.logaddexp(0, net.forward(x)["logit"]) - y * net.forward(x)["logit"]))
     for w, g in zip(net.weights(), net.gradients(x, y), strict=True):
         at, step = np.unravel_index(np.abs(g).argmax(), g.shape), 1e-5
@@ -288,7 +288,7 @@ def test_network():
         down = loss()
         w[at] += step
         assert g[at] == pytest.approx((up - down) / 2 / step, rel=1e-3)
-    x, y = secret_scan.findings(1000, 99)
+    x, y, _ = secret_scan.findings(1000, 99)
     net = secret_scan.trained()
     p = net.probability(x) >= net.limit
     assert p[y == 1].mean() > 0.95 and p[y == 0].mean() < 0.03
