@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairnspark.scratch import cut as keep
+from cairnspark.scratch import drop, shared_folder
+
+__all__ = ["bounded_batches", "drop", "keep", "lookup", "over_texts", "shared_folder", "table", "text_or_empty", "texts_of"]
+
 #: Rows of an Arrow batch at most; texts may be long, and two batches are in memory at a time.
 BATCH_ROWS = 1000
 #: A key with more than 1/HOT of the weight is hot, so there are fewer than HOT hot keys whatever the input.
@@ -29,38 +30,6 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_ROWS)
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a local session without one gets a temporary folder."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        own = tempfile.mkdtemp(prefix="cairnspark-")
-        atexit.register(shutil.rmtree, own, True)
-        root = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage ends here and lost executors cost nothing.
-
-    The table stays until drop() or until the owner of the folder clears it, as lazily read results depend on it.
-    """
-    path = f"{scratch_root(df.sparkSession)}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._scratch = path
-    return out
-
-
-def drop(kept: DataFrame) -> None:
-    """Delete a table of keep() that nothing reads any more."""
-    jvm, spark = kept.sparkSession._jvm, kept.sparkSession
-    path = jvm.org.apache.hadoop.fs.Path(kept._scratch)
-    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
 def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
 
@@ -81,12 +50,13 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return batch.column(name).cast(pa.binary()).to_pylist()
 
 
-def lookup(rows: DataFrame, uniques: DataFrame, key: str, weight: str, total: int, by: str = "doc_id", salts: int | None = None) -> DataFrame:
+def lookup(rows: DataFrame, uniques: DataFrame, key: str, weight: str, total: int, by: str = "doc_id", salts: int | None = None, merge: bool = False) -> DataFrame:
     """rows LEFT JOIN uniques on key, where uniques has each key once and a few keys may own most of the rows.
 
     weight: the column of uniques that tells about how many rows have the key; total: the sum of all weights, or more; by: a
-    column of rows that tells the rows of a key apart, by which they are dealt out. Hot keys are fewer than HOT by arithmetic, so the set that is broadcast is bounded. Their rows get a salt, their
-    entries in uniques are repeated once a salt; all other keys join as usual.
+    column of rows that tells the rows of a key apart, by which they are dealt out. Hot keys are fewer than HOT by arithmetic, so the
+    set that is broadcast is bounded. Their rows get a salt, their entries in uniques are repeated once a salt; all other keys join as
+    usual, and always by a merge if uniques is known to grow with rows.
     """
     spark = rows.sparkSession
     salts = salts or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -96,4 +66,4 @@ def lookup(rows: DataFrame, uniques: DataFrame, key: str, weight: str, total: in
         "__salt", F.when(F.col("__hot").isNotNull(), F.pmod(F.xxhash64(F.col(f"`{by}`")), F.lit(salts)).cast("int")).otherwise(0)
     ).drop("__hot")
     copies = uniques.withColumn("__salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
-    return dealt.join(copies, [key, "__salt"], "left").drop("__salt")
+    return dealt.join(copies.hint("merge") if merge else copies, [key, "__salt"], "left").drop("__salt")

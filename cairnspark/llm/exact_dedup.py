@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from cairnspark.llm.common import bounded_batches, keep, lookup, over_texts, scratch_root, text_or_empty, texts_of
+from cairnspark.llm.common import bounded_batches, keep, lookup, over_texts, shared_folder, text_or_empty, texts_of
 
 BITS_A_ROW = 16
 PROBES = 4
@@ -129,7 +129,7 @@ def _by_ranges(hashed: DataFrame, finish: Callable[[DataFrame, DataFrame], DataF
     nth = (F.conv(F.hex(F.substring("digest", -4, 4)), 16, 10).cast("long") * ranges / (1 << 32)).cast("int")
     sorted_ = keep((digests if again is None else again).withColumn("nth", nth).sortWithinPartitions("nth"), "ranges")
     sizes = {r["nth"]: r["n"] for r in sorted_.groupBy("nth").agg(F.count("*").alias("n")).collect()}  # one row a range
-    path = f"{scratch_root(spark)}/llm-settled-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
 
     def one(k: int) -> StructType:
         rows = sorted_.where(F.col("nth") == k).drop("nth")

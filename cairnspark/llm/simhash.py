@@ -132,12 +132,14 @@ def links(points: DataFrame, n_points: int) -> DataFrame:
     of several components so far are searched in full for links between components. Either way a pair is verified bit by bit only
     if its pivot tables do not rule it out.
     """
+    masks = F.array(*[F.lit(signed(m)) for m in block_masks(n_points)])
     total = n_points * len(block_masks(n_points))
-    tabled = points.withColumns(pivot_columns()).withColumn("mask", F.lit(0).cast("long"))
-    filed = file_under(tabled, block_masks(n_points))
+    filed = points.select("node", "fp", F.posexplode(masks).alias("pick", "mask"))
+    filed = filed.select("node", "fp", F.col("pick").cast("byte").alias("pick"), F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("bucket"))
     # points that are alone in a bucket go; a bucket that holds a large share of them is met in several tasks
-    sizes = filed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    near = keep(lookup(filed, sizes, "bucket", "n", total, "node").where("n is not null"), "filed")
+    sizes = keep(filed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    near = lookup(filed, sizes, "bucket", "n", total, "node", merge=True).where("n is not null").withColumns(pivot_columns())
+    near = keep(near.withColumn("mask", F.get(masks, F.col("pick"))).drop("pick"), "filed")
 
     cell = F.when(F.col("n") > SPLIT, F.array(*distances(3))).otherwise(F.array(F.lit(0).cast("long")))
     order = Window.partitionBy("bucket", "cell").orderBy(*distances(4), "fp")
