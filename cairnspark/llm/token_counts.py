@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from cairnspark.llm.byte_bpe import encoder, vocabulary_path
 from cairnspark.llm.common import keep, over_texts, text_or_empty
 
-BLOCK = 1024  # lengths that one window of the running sums holds
+BLOCK = 128  # lengths that one window of the running sums holds
 
 
 def lengths(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
@@ -39,7 +39,7 @@ def by_limit(hist: DataFrame) -> DataFrame:
     n_docs of that length, n_over (longer documents), n_within, tokens_over (all tokens of the longer ones), tokens_within,
     tokens_truncated (total if every document is cut at the limit), quantile (share of documents within the limit).
     An empty table gives no rows. Sums run inside blocks of lengths and then over the blocks' totals, of which there are
-    as many as the longest text has thousands of tokens.
+    as many as the longest text's tokens fill blocks.
     """
     cells = hist.withColumns({"block": F.floor(F.col("length") / BLOCK), "tokens": F.col("length") * F.col("n_docs")})
     blocks = cells.groupBy("block").agg(F.sum("n_docs").alias("bd"), F.sum("tokens").alias("bt"))
