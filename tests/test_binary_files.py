@@ -103,3 +103,21 @@ def test_staging_ids_of_other_widths():
     one = b"".join(x.to_bytes(4, "big") for x in (0,) * 6 + (0o100644, 0, 0, 5)) + bytes(range(20)) + (1).to_bytes(2, "big") + name
     body = b"DIRC" + (2).to_bytes(4, "big") + (1).to_bytes(4, "big") + one + bytes(8 - len(one) % 8)
     assert binary_files.staged(body, 20) == [("a", 0, bytes(range(20)).hex(), 0o100644, 5, 0)]
+
+
+def test_working_files(spark, tmp_path):
+    for path in ("a.txt", "dir/é.txt", ".git/HEAD", "dir/.git/index", "build/x.o", "dir/build-linux/y.o", "builder/z", "dir/build"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(path)
+    want = {(p, len(p.encode()), p.encode()) for p in ("a.txt", "dir/é.txt", "builder/z", "dir/build")}
+    for root in (str(tmp_path), f"file://{tmp_path}/", f"file:{tmp_path}"):
+        assert {(r["path"], r["size"], bytes(r["data"])) for r in files.working_files(spark, root).collect()} == want
+
+
+def test_commit_graph_files(spark, tmp_path):
+    rows = [(0, "0a" * 32, None, None, 0, 5), (1, "7b" * 32, 0, None, 1, 1 << 33), (2, "ff" * 32, 1, 0, 2, 7)]
+    frame = spark.createDataFrame(rows, "position long, oid string, parent1 long, parent2 long, generation int, commit_time long")
+    writers.write_commit_graph(frame, f"file://{tmp_path}")
+    body = (tmp_path / "commit-graph").read_bytes()
+    assert body[:8] == b"CGPH\1\1\0\0" and len(body) == 8 + 1024 + 3 * 52 + 32 and body[8 + 4 * 0x7B : 12 + 4 * 0x7B] == (2).to_bytes(4, "big")
+    assert [tuple(r)[1:] for r in binary_files.commit_graphs(spark, str(tmp_path)).orderBy("position").collect()] == rows
