@@ -38,9 +38,14 @@ def remove(objects: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def closure(heads: DataFrame, edges: DataFrame, commit_trees: DataFrame, tree_entries: DataFrame, levels: int) -> DataFrame:
-    """oid of all that heads (oid) keep alive: commits, their trees (oid, tree_oid), and what these hold, level by level."""
+    """oid of all that heads (oid) keep alive: commits, their trees (oid, tree_oid), and what these hold."""
     commits = cut(reachable(heads, edges).select("oid").distinct(), "alive")
-    trees, out = commits.join(commit_trees, "oid").select(F.col("tree_oid").alias("oid")).distinct(), [commits]
+    return commits.union(held(commits, commit_trees, tree_entries, levels)).distinct()
+
+
+def held(commits: DataFrame, commit_trees: DataFrame, tree_entries: DataFrame, levels: int) -> DataFrame:
+    """oid of the trees of commits (oid) and of what these hold, level by level."""
+    trees, out = commits.join(commit_trees, "oid").select(F.col("tree_oid").alias("oid")).distinct(), []
     for _ in range(levels + 1):
         out.append(trees)
         below = trees.withColumnRenamed("oid", "tree_oid").join(tree_entries, "tree_oid").select("oid", "mode").distinct()

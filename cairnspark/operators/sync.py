@@ -51,8 +51,9 @@ def push(objects: DataFrame, refs: DataFrame, remote_objects: DataFrame, remote_
 
     Without force a branch is accepted if the remote does not have it or is behind it.
     """
-    commands = receive_commands(refs, remote_refs)
-    asked = commands.select("name", F.nullif("old_oid", F.lit(NO_OID)).alias("ours"), F.col("new_oid").alias("theirs"))
+    heads = refs.where(F.col("name").startswith("refs/heads/")).select("name", F.col("oid").alias("theirs"))
+    old = F.when(F.col("old").cast("string") != NO_OID, F.col("old"))
+    asked = heads.join(remote_refs.select("name", F.col("oid").alias("old")), "name", "left").select("name", old.alias("ours"), "theirs")
     if force:
         after = asked.select("name", F.col("theirs").alias("oid"), F.lit(True).alias("accepted"))
     else:

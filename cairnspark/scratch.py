@@ -29,7 +29,7 @@ def cut(df: DataFrame, name: str = "table") -> DataFrame:
     The table stays until drop() or until the owner of the folder clears it, as lazily read results depend on it.
     """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
