@@ -19,13 +19,12 @@ from cairnspark.functions.binary import bands, delta_apply
 from cairnspark.functions.hashing import object_id
 from cairnspark.model import OBJECT_TYPES, OFFSET_DELTA, REFERENCE_DELTA
 from cairnspark.scratch import cut
-from cairnspark.sources.files import binary_files, pack_indexes
+from cairnspark.sources.files import binary_files, column, hex_column, pack_indexes, records
 
 # Signatures, versions and field layouts of the formats.
 PACK = struct.Struct(">4sII")  # PACK, version, objects
 STAGING = struct.Struct(">4sII")  # DIRC, version, entries
 STAT = struct.Struct(">10I")  # changed s, ns; modified s, ns; device, inode, mode, user, group, size
-MULTI = struct.Struct(">4sII")  # MIDX, version, packs
 TRAILER, NO_PARENT = 32, 0xFFFFFFFF
 FEED = 1 << 16
 AT_ONCE = 500  # entries of a pack that are handed on together
@@ -135,31 +134,6 @@ def staged(content: bytes, width: int = 32) -> list[tuple]:
     return rows
 
 
-def multi_pack_rows(content: bytes, width: int = 32) -> pd.DataFrame:
-    """oid, pack (its number), offset: the columns of the file stand one behind the other."""
-    magic, version, packs = MULTI.unpack_from(content)
-    if magic != b"MIDX" or version != 1:
-        raise ValueError("no multi-pack index of version 1")
-    ids = MULTI.size + 4 * packs + 1024
-    n = int.from_bytes(content[ids - 4 : ids])
-    raw = np.frombuffer(content, np.uint8, n * width, ids).reshape(n, width)
-    pack = np.frombuffer(content, np.uint8, n, ids + n * width)
-    offset = np.frombuffer(content, ">u4", n, ids + n * (width + 1))
-    return pd.DataFrame({"oid": [r.tobytes().hex() for r in raw], "pack": pack.astype(np.int32), "offset": offset.astype(np.int64)})
-
-
-def commit_graph_rows(content: bytes) -> pd.DataFrame:
-    """position, oid, parent1, parent2, generation, commit_time; a parent of all ones is null."""
-    if content[:4] != b"CGPH":
-        raise ValueError("no commit graph")
-    ids = 8 + 1024
-    n = int.from_bytes(content[ids - 4 : ids])
-    oids = [content[ids + 32 * i : ids + 32 * i + 32].hex() for i in range(n)]
-    data = np.frombuffer(content, np.dtype([("generation", ">u4"), ("commit_time", ">u8"), ("parent1", ">u4"), ("parent2", ">u4")]), n, ids + 32 * n)
-    parent = lambda c: pd.Series(data[c].astype(np.int64)).where(data[c] != NO_PARENT).astype("Int64")
-    return pd.DataFrame({"position": np.arange(n), "oid": oids, "parent1": parent("parent1"), "parent2": parent("parent2"), "generation": data["generation"].astype(np.int32), "commit_time": data["commit_time"].astype(np.int64)})
-
-
 def _read(spark: SparkSession, root: str, glob: str, pattern: str, rows, schema: str) -> DataFrame:
     named = binary_files(spark, root, glob).select(F.regexp_extract("path", pattern, 1).alias("file"), "content")
 
@@ -239,8 +213,22 @@ def bundles(spark: SparkSession, root: str, external: DataFrame | None = None) -
 
 
 def commit_graphs(spark: SparkSession, root: str, glob: str = "commit-graph") -> DataFrame:
-    """file, position, oid, parent1, parent2, generation, commit_time of all commit-graph files below root."""
-    return _read(spark, root, glob, "/([^/]+)$", commit_graph_rows, "position bigint, oid string, parent1 bigint, parent2 bigint, generation int, commit_time bigint")
+    """file, position, oid, parent1, parent2, generation, commit_time of all commit-graph files below root; a parent of all ones is null."""
+    ids = 8 + 1024
+    data = [("generation", ">u4"), ("commit_time", ">u8"), ("parent1", ">u4"), ("parent2", ">u4")]
+
+    def layout(opened: fs.NativeFile) -> tuple:
+        head = opened.read_at(ids, 0)
+        if head[:4] != b"CGPH":
+            raise ValueError("no commit graph")
+        return int.from_bytes(head[-4:]), ()
+
+    def read(opened: fs.NativeFile, n: int, first: int, some: int) -> pd.DataFrame:
+        row = column(opened, ids + 32 * n, first, some, data)
+        parent = lambda c: pd.Series(row[c].astype(np.int64)).where(row[c] != NO_PARENT).astype("Int64")
+        return pd.DataFrame({"position": np.arange(first, first + some), "oid": hex_column(opened, ids, first, some, 32), "parent1": parent("parent1"), "parent2": parent("parent2"), "generation": row["generation"].astype(np.int32), "commit_time": row["commit_time"].astype(np.int64)})
+
+    return records(spark, root, glob, "/([^/]+)$", layout, read, "position bigint, oid string, parent1 bigint, parent2 bigint, generation int, commit_time bigint")
 
 
 def staging_files(spark: SparkSession, root: str, glob: str = "index", width: int = 32) -> DataFrame:
@@ -249,6 +237,18 @@ def staging_files(spark: SparkSession, root: str, glob: str = "index", width: in
     return _read(spark, root, glob, "([^/]+/[^/]+)$", frame, "path string, stage int, oid string, mode int, size bigint, mtime bigint")
 
 
-def multi_packs(spark: SparkSession, root: str) -> DataFrame:
-    """file, oid, pack, offset of all *.midx files."""
-    return _read(spark, root, "*.midx", "/([^/]+)$", multi_pack_rows, "oid string, pack int, offset bigint")
+def multi_packs(spark: SparkSession, root: str, width: int = 32) -> DataFrame:
+    """file, oid, pack (its number), offset of all *.midx files; the columns of a file stand one behind the other."""
+
+    def layout(opened: fs.NativeFile) -> tuple:
+        head = opened.read_at(12, 0)  # MIDX, version, packs
+        if head[:8] != b"MIDX\0\0\0\1":
+            raise ValueError("no multi-pack index of version 1")
+        ids = 12 + 4 * int.from_bytes(head[8:]) + 1024
+        return int.from_bytes(opened.read_at(4, ids - 4)), (ids,)
+
+    def read(opened: fs.NativeFile, n: int, first: int, some: int, ids: int) -> pd.DataFrame:
+        pack, offset = column(opened, ids + n * width, first, some, "u1"), column(opened, ids + n * (width + 1), first, some, ">u4")
+        return pd.DataFrame({"oid": hex_column(opened, ids, first, some, width), "pack": pack.astype(np.int32), "offset": offset.astype(np.int64)})
+
+    return records(spark, root, "*.midx", "/([^/]+)$", layout, read, "oid string, pack int, offset bigint")

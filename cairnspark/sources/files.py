@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,6 +31,11 @@ def binary_files(spark: SparkSession, root: str, glob: str | None = None) -> Dat
     return (reader.option("pathGlobFilter", glob) if glob else reader).load(root)
 
 
+def tasks(spark: SparkSession) -> int:
+    """For rows that stand for more than they hold: given as a number, it is not cut down by AQE, which goes by their size."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def working_files(spark: SparkSession, root: str) -> DataFrame:
     """path (below root), size and data of the files of a working tree, without those in PASSED_OVER."""
     files = binary_files(spark, root)
@@ -77,30 +83,84 @@ def packed_refs(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("value").rlike(r"^[0-9a-f]{40,128} \S")).select(F.substring_index("value", " ", -1).alias("name"), F.substring_index("value", " ", 1).alias("oid"))
 
 
-def pack_indexes(spark: SparkSession, root: str) -> DataFrame:
-    """pack, oid, crc32, offset of all *.idx files of version 2; the width of ids follows from a file's size."""
-    files = binary_files(spark, root, "*.idx").select(F.regexp_extract("path", r"/([^/]+)\.idx$", 1).alias("pack"), "content")
+RECORDS = 1 << 18  # records of an index file that are read together
+SMALL = 1 << 16  # and that are in memory at once
 
-    def open_(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def records(spark: SparkSession, root: str, glob: str, pattern: str, layout: Callable[[fs.NativeFile], tuple], read: Callable[..., pd.DataFrame], schema: str) -> DataFrame:
+    """file, and rows of files with records of fixed width in columns, read by ranges: a file of any size is shared out among tasks.
+
+    layout() gives the number of records of an open file and what read(), which gives some records from a place on, must know.
+    """
+    named = binary_files(spark, root, glob).select("path", F.regexp_extract("path", pattern, 1).alias("file"))
+
+    def ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, file in zip(batch["path"], batch["file"], strict=True):
+                store, plain = fs.FileSystem.from_uri(path)
+                with store.open_input_file(plain) as opened:
+                    n, about = layout(opened)
+                firsts = np.arange(0, n, RECORDS)
+                yield pd.DataFrame({"path": path, "file": file, "first": firsts, "n": n, "about": [list(about)] * len(firsts)})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for pack, content in zip(batch["pack"], batch["content"], strict=True):
-                content = bytes(content)
-                if content[:4] != IDX_MAGIC or int.from_bytes(content[4:8]) != IDX_VERSION:
-                    raise ValueError(f"{pack} is no pack index of version {IDX_VERSION}")
-                at, n = 8 + FANOUT_BYTES, int.from_bytes(content[4 + FANOUT_BYTES : 8 + FANOUT_BYTES])
-                width = next(w for w in (32, 20, 48, 64) if at + n * (w + 8) <= len(content) - 2 * min(w, TRAILER_BYTES) and (len(content) - at - n * (w + 8) - 2 * w) % 8 == 0)
-                crc, offset = at + n * width, at + n * (width + 4)
-                large, end = offset + 4 * n, len(content) - 2 * min(width, TRAILER_BYTES)
-                ids = np.frombuffer(content, np.uint8, n * width, at).reshape(n, width)
-                crcs, places = (np.frombuffer(content, ">u4", n, k).astype(np.int64) for k in (crc, offset))
-                far = places >= LARGE_OFFSET
-                table = np.frombuffer(content, ">u8", (end - large) // 8, large).astype(np.int64)
-                if far.any() and (places[far] - LARGE_OFFSET).max() >= len(table):
-                    raise ValueError(f"{pack} has an offset beyond its table of large offsets")
-                places[far] = table[places[far] - LARGE_OFFSET]
-                yield pd.DataFrame({"pack": pack, "oid": [r.tobytes().hex() for r in ids], "crc32": crcs, "offset": places})
-
-    return files.mapInPandas(open_, "pack string, oid string, crc32 bigint, offset bigint")
+            for path, file, first, n, about in batch.itertuples(index=False, name=None):
+                store, plain = fs.FileSystem.from_uri(path)
+                with store.open_input_file(plain) as opened:
+                    for at in range(first, min(first + RECORDS, n), SMALL):
+                        out = read(opened, n, at, min(SMALL, n - at, first + RECORDS - at), *map(int, about))
+                        out.insert(0, "file", file)
+                        yield out
+
+    dealt = named.mapInPandas(ranges, "path string, file string, first bigint, n bigint, about array<bigint>").repartition(tasks(spark), "path", "first")
+    return dealt.mapInPandas(run, f"file string, {schema}")
+
+
+def column(opened: fs.NativeFile, start: int, first: int, n: int, kind: str) -> np.ndarray:
+    """n values of a column that begins at a place in a file, from one of them on."""
+    width = np.dtype(kind).itemsize
+    data = opened.read_at(n * width, start + first * width)
+    if len(data) < n * width:
+        raise ValueError("a file of records breaks off")
+    return np.frombuffer(data, kind, n)
+
+
+def hex_column(opened: fs.NativeFile, start: int, first: int, n: int, width: int) -> list[str]:
+    raw = column(opened, start, first, n, f"V{width}").tobytes().hex()
+    return [raw[i : i + 2 * width] for i in range(0, len(raw), 2 * width)]
+
+
+def pack_indexes(spark: SparkSession, root: str) -> DataFrame:
+    """pack, oid, crc32, offset of all *.idx files of version 2; the width of ids follows from a file's size."""
+    at = 8 + FANOUT_BYTES
+
+    def layout(opened: fs.NativeFile) -> tuple:
+        size, content = opened.size(), opened.read_at(at, 0)
+        if content[:4] != IDX_MAGIC or int.from_bytes(content[4:8]) != IDX_VERSION:
+            raise ValueError(f"no pack index of version {IDX_VERSION}")
+        n = int.from_bytes(content[at - 4 :])
+        width = next(w for w in (32, 20, 48, 64) if at + n * (w + 8) <= size - 2 * min(w, TRAILER_BYTES) and (size - at - n * (w + 8) - 2 * w) % 8 == 0)
+        return n, (width, size - 2 * min(width, TRAILER_BYTES))
+
+    def read(opened: fs.NativeFile, n: int, first: int, some: int, width: int, end: int) -> pd.DataFrame:
+        crc, offset, large = (at + n * w for w in (width, width + 4, width + 8))
+        crcs, places = (column(opened, start, first, some, ">u4").astype(np.int64) for start in (crc, offset))
+        far = np.flatnonzero(places >= LARGE_OFFSET)
+        nth = places[far] - LARGE_OFFSET
+        if len(nth) and nth.max() >= (end - large) // 8:
+            raise ValueError("an offset lies beyond the table of large offsets")
+        for lo in range(0, len(nth), SMALL):  # places in that table need not follow one another
+            some_ = nth[lo : lo + SMALL]
+            if some_.max() - some_.min() < 4 * SMALL:
+                table = column(opened, large, int(some_.min()), int(some_.max() - some_.min()) + 1, ">u8")
+                places[far[lo : lo + SMALL]] = table[some_ - some_.min()].astype(np.int64)
+            else:
+                places[far[lo : lo + SMALL]] = [int(column(opened, large, int(k), 1, ">u8")[0]) for k in some_]
+        return pd.DataFrame({"oid": hex_column(opened, at, first, some, width), "crc32": crcs, "offset": places})
+
+    rows = records(spark, root, "*.idx", r"/([^/]+)\.idx$", layout, read, "oid string, crc32 bigint, offset bigint")
+    return rows.withColumnRenamed("file", "pack")
 
 
 def bundle_refs(spark: SparkSession, root: str) -> DataFrame:

@@ -1,12 +1,13 @@
 """Packs, bundles and index files as sinks.
 
 A binary file here is a sequence of parts: rows (file, block, key, bytes) in the order of block and key. What the parts are is
-worked out by joins and aggregations; a task then writes the files that it holds, part after part, without keeping them.
+worked out by joins and aggregations; tasks write ranges of them, and one task for each file joins these, without keeping any.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
 from functools import reduce
@@ -23,10 +24,12 @@ from cairnspark.functions.hashing import type_code
 from cairnspark.model import REFERENCE_DELTA
 from cairnspark.operators import packs
 from cairnspark.scratch import cut
+from cairnspark.sources.files import tasks
 
 # Signatures and versions of the formats, in hex.
 PACK, IDX, STAGING, MULTI, GRAPH = "5041434b00000002", "ff744f6300000002", "4449524300000002", "4d49445800000001", "4347504801010000"
 NO_PARENT, LARGE_OFFSET = 0xFFFFFFFF, 1 << 31
+PIECE = 8 << 20  # bytes that are copied together
 PACKS_OF_A_MULTI = 256  # numbers of packs have one byte there
 
 
@@ -43,11 +46,31 @@ def write_parts(parts: DataFrame, root: str, seal: str = "sha256", sealed_from:
     """Writes each file of parts (file, block, key, bytes) below root: file, size, digest.
 
     The digest is SHA-256 over the blocks from sealed_from on; seal says what ends the file: that digest (sha256) or as many zero
-    bytes (zeros). A file is written under a name of its own and then moved into place, so no attempt leaves half a file. It is one
-    task, as its end depends on all before it; null bytes are left out.
+    bytes (zeros), which have no digest. Null bytes are left out. Rows are dealt out by ranges of file, block and key, and a task writes each of
+    its ranges as a segment. Then a task for each file puts the segments one behind the other, a few MB at a time: rows of a file
+    meet nowhere. Segments and files have names of their own until they are whole, so no attempt leaves half a file.
     """
+    folder = f"segments-{uuid.uuid4().hex}"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = fs.FileSystem.from_uri(root)
+        task, nth, now, out, rows = TaskContext.get(), 0, None, None, []
+        store.create_dir(f"{base}/{folder}", recursive=True)
+        for batch in batches:
+            for file, block, data in zip(batch["file"], batch["block"], batch["bytes"], strict=True):
+                if (file, block) != now:
+                    if out is not None:
+                        out.close()
+                    now, nth, name = (file, block), nth + 1, f"{folder}/{task.taskAttemptId()}-{nth}"
+                    out = store.open_output_stream(f"{base}/{name}")
+                    rows.append((file, block, task.partitionId(), name))
+                if data is not None:
+                    out.write(bytes(data))
+        if out is not None:
+            out.close()
+        yield pd.DataFrame(rows, columns=["file", "block", "part", "name"])
+
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, base = fs.FileSystem.from_uri(root)
         now, out, own, digest, size = None, None, "", None, 0
 
@@ -56,31 +79,39 @@ def write_parts(parts: DataFrame, root: str, seal: str = "sha256", sealed_from:
             out.write(tail)
             out.close()
             store.move(own, f"{base}/{now}")
-            return pd.DataFrame({"file": [now], "size": [size + len(tail)], "digest": [digest.hexdigest()]})
+            return pd.DataFrame({"file": [now], "size": [size + len(tail)], "digest": [digest.hexdigest() if seal == "sha256" else None]})
 
         for batch in batches:
-            for file, block, data in zip(batch["file"], batch["block"], batch["bytes"], strict=True):
+            for file, block, name in zip(batch["file"], batch["block"], batch["name"], strict=True):
                 if file != now:
                     if out is not None:
                         yield end()
-                    folder, _, name = f"{base}/{file}".rpartition("/")
-                    store.create_dir(folder, recursive=True)
-                    now, own, digest, size = file, f"{folder}/.{name}.{TaskContext.get().taskAttemptId()}", hashlib.sha256(), 0
+                    above, _, last = f"{base}/{file}".rpartition("/")
+                    store.create_dir(above, recursive=True)
+                    now, own, digest, size = file, f"{above}/.{last}.{TaskContext.get().taskAttemptId()}", hashlib.sha256(), 0
                     out = store.open_output_stream(own)
-                if data is not None:
-                    out.write(bytes(data))
-                    size += len(data)
-                    if block >= sealed_from:
-                        digest.update(data)
+                with store.open_input_stream(f"{base}/{name}") as piece:
+                    while data := piece.read(PIECE):
+                        out.write(data)
+                        size += len(data)
+                        if seal == "sha256" and block >= sealed_from:
+                            digest.update(data)
         if out is not None:
             yield end()
 
-    dealt = parts.repartition("file").sortWithinPartitions("file", "block", "key").select("file", "block", "bytes")
-    return cut(dealt.mapInPandas(run, "file string, size bigint, digest string"), "written")
+    dealt = parts.repartitionByRange("file", "block", "key").sortWithinPartitions("file", "block", "key").select("file", "block", "bytes")
+    pieces = cut(dealt.mapInPandas(segments, "file string, block int, part int, name string"), "segments")
+    ordered = pieces.repartition(tasks(parts.sparkSession), "file").sortWithinPartitions("file", "block", "part").select("file", "block", "name")
+    written = cut(ordered.mapInPandas(join, "file string, size bigint, digest string"), "written")
+    store, base = fs.FileSystem.from_uri(root)
+    if store.get_file_info(f"{base}/{folder}").type == fs.FileType.Directory:
+        store.delete_dir(f"{base}/{folder}")
+    return written
 
 
 def _parts(rows: DataFrame, block: int, key, data: Column) -> DataFrame:
-    return rows.select("file", F.lit(block).alias("block"), (F.lit("") if key is None else F.col(key).cast("string")).alias("key"), data.alias("bytes"))
+    key = F.unhex("oid") if key == "oid" else F.encode(F.lit("") if key is None else F.col(key), "UTF-8")
+    return rows.select("file", F.lit(block).alias("block"), key.alias("key"), data.alias("bytes"))
 
 
 def fanout_parts(ids: DataFrame, block: int) -> DataFrame:
@@ -149,6 +180,7 @@ def write_pack_indexes(index: DataFrame, digests: DataFrame, root: str) -> DataF
     large = rows.where(F.col("offset") >= LARGE_OFFSET)
     numbered = packs.running_sum(large, "file", F.substring("oid", 1, 3), ["oid"], F.lit(1), "nth").select("file", "oid", "nth")
     places = rows.join(numbered, ["file", "oid"], "left").withColumn("place", F.when(F.col("nth").isNotNull(), F.col("nth") + LARGE_OFFSET).otherwise(F.col("offset")))
+    places = cut(places.select("file", "oid", "place"), "places")
     ends = digests.withColumn("file", F.concat("pack", F.lit(".idx")))
     parts = [
         _parts(ends, 0, None, raw(IDX)), fanout_parts(rows, 1), _parts(rows, 2, "oid", F.unhex("oid")), _parts(rows, 3, "oid", number(F.col("crc32"), 4)),
@@ -188,7 +220,7 @@ def write_staging(index: DataFrame, root: str) -> DataFrame:
 
 def write_commit_graph(rows: DataFrame, root: str, file: str = "commit-graph") -> DataFrame:
     """rows (position, oid, parent1, parent2, generation, commit_time) as one file; a missing parent is all ones."""
-    named = rows.withColumn("file", F.lit(file))
+    named = cut(rows, "graph").withColumn("file", F.lit(file))
     parent = lambda c: number(F.coalesce(c, F.lit(NO_PARENT)), 4)
     data = F.concat(number(F.col("generation"), 4), number(F.col("commit_time"), 8), parent("parent1"), parent("parent2"))
     start = rows.sparkSession.range(1).withColumn("file", F.lit(file))

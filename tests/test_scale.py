@@ -1,8 +1,13 @@
 """What queries write and hold, beside what they answer."""
 
+import hashlib
+import os
+
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cairnspark.operators import graph, sync
+from cairnspark.sources import binary_files, files, writers
 
 
 def test_pairs_with_a_descendant_share_its_walk(spark, monkeypatch):
@@ -32,3 +37,27 @@ def test_walks_over_numbers(spark):
     none = edges.selectExpr("child AS oid")
     after = sync.push(none, refs(("a", 5), ("b", 2), ("c", 7)), none.limit(0), refs(("a", 2), ("b", 5)), edges)[1]
     assert {tuple(r) for r in after.collect()} == {("refs/heads/a", 5, True), ("refs/heads/b", 5, False), ("refs/heads/c", 7, True)}
+
+
+def test_files_are_written_and_read_by_ranges(spark, tmp_path, monkeypatch):
+    """No task sees all rows of an index file, whether it is written or read."""
+    root = f"file://{tmp_path}"
+    monkeypatch.setattr(files, "RECORDS", 1000)
+    monkeypatch.setattr(files, "SMALL", 300)
+    rows = spark.range(10_000).select(F.lit("p").alias("pack"), F.sha2(F.col("id").cast("string"), 256).alias("oid"), (F.col("id") % 97).alias("crc32"), (F.col("id") * (1 << 19)).alias("offset"))
+    writers.write_pack_indexes(rows, spark.createDataFrame([("p", "00" * 32)], "pack string, digest string"), root)
+    writers.write_multi_pack(rows.withColumn("offset", F.col("crc32")), root)
+    want = {tuple(r) for r in rows.collect()}
+    index, multi = files.pack_indexes(spark, root), binary_files.multi_packs(spark, root)
+    assert {(r["pack"], r["oid"], r["crc32"], r["offset"]) for r in index.collect()} == want
+    assert {(r["oid"], r["pack"], r["offset"]) for r in multi.collect()} == {(o, 0, c) for _, o, c, _ in want}
+    body = (tmp_path / "p.idx").read_bytes()
+    assert hashlib.sha256(body[:-32]).digest() == body[-32:]
+    assert sorted(os.listdir(tmp_path)) == ["multi.midx", "p.idx"]
+    for got in (index, multi):
+        at = got.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+        assert len(at) > 1 and max(r["count"] for r in at) < 10_000
+    graph_ = rows.withColumns({"position": F.row_number().over(Window.orderBy("oid")) - 1, "generation": F.lit(3), "commit_time": F.lit(1 << 40), "parent1": F.when(F.col("crc32") > 5, F.col("crc32")), "parent2": F.lit(None).cast("bigint")})
+    columns = ["position", "oid", "parent1", "parent2", "generation", "commit_time"]
+    writers.write_commit_graph(graph_.select(*columns), root)
+    assert {tuple(r) for r in binary_files.commit_graphs(spark, root).select(*columns).collect()} == {tuple(r) for r in graph_.select(*columns).collect()}
