@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from cairnspark.operators import trees
 
 
+FOLDERS = 10_000  # that a task remembers as made
+
+
 def write_files(files: DataFrame, root: str) -> DataFrame:
     """files (path, mode, data) written below root, a URI or an absolute path: path, size, error (null if all went well).
 
@@ -22,7 +25,7 @@ def write_files(files: DataFrame, root: str) -> DataFrame:
     is read, and written again when it is read again.
     """
 
-    def write(store: fs.FileSystem, base: str, path: str, mode: int, data: bytes | None) -> str | None:
+    def write(store: fs.FileSystem, base: str, made: set[str], path: str, mode: int, data: bytes | None) -> str | None:
         if data is None:
             return "not found"
         if path.startswith("/") or not {"", ".", ".."}.isdisjoint(path.split("/")):
@@ -30,7 +33,10 @@ def write_files(files: DataFrame, root: str) -> DataFrame:
         folder, _, name = f"{base}/{path}".rpartition("/")
         own = f"{folder}/.{name}.{TaskContext.get().taskAttemptId()}"
         try:
-            store.create_dir(folder, recursive=True)
+            if folder not in made:
+                store.create_dir(folder, recursive=True)
+                if len(made) < FOLDERS:
+                    made.add(folder)
             with store.open_output_stream(own) as out:
                 out.write(bytes(data))
             if isinstance(store, fs.LocalFileSystem):
@@ -42,8 +48,9 @@ def write_files(files: DataFrame, root: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, base = fs.FileSystem.from_uri(root)
+        made: set[str] = set()
         for batch in batches:
-            error = [write(store, base.rstrip("/"), *row) for row in batch.itertuples(index=False, name=None)]
+            error = [write(store, base.rstrip("/"), made, *row) for row in batch.itertuples(index=False, name=None)]
             yield pd.DataFrame({"path": batch["path"], "size": batch["data"].map(len, na_action="ignore").astype("Int64"), "error": pd.Series(error, batch.index, object)})
 
     return files.select("path", "mode", "data").mapInPandas(run, "path string, size bigint, error string")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -16,12 +19,15 @@ from pyspark.sql.window import Window
 from cairnspark.functions.binary import deflate
 from cairnspark.functions.codec import parse_bundle_header
 from cairnspark.functions.hashing import header, object_id
+from cairnspark.scratch import cut
 
 # Format of a pack index.
 IDX_MAGIC, IDX_VERSION, FANOUT_BYTES, TRAILER_BYTES = b"\xfftOc", 2, 1024, 64
 LARGE_OFFSET = 1 << 31  # from here on, an offset is a place in the table of 64-bit offsets
 
 
+LISTED, HELD = 1000, 8 << 20  # files, and bytes of them, that are handed on together
+
 # Directories that adding a directory passes over.
 PASSED_OVER = (".git", "build", "build-linux")
 
@@ -36,20 +42,61 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """path (below root) of all files that Spark's readers would take, listed by tasks, a level of directories at a time: the driver sees
+    no names, however many files there are."""
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for folder in batch["path"]:
+                above = f"{base.rstrip('/')}/{folder}".rstrip("/")
+                if isinstance(store, fs.LocalFileSystem):
+                    found = ((e.name, e.is_dir()) for e in os.scandir(above))
+                else:
+                    found = ((e.base_name, e.type == fs.FileType.Directory) for e in store.get_file_info(fs.FileSelector(above)))
+                named = ((f"{folder}/{name}".lstrip("/"), is_folder) for name, is_folder in found if not (name[0] == "." or name[0] == "_" and "=" not in name))
+                while part := list(islice(named, LISTED)):
+                    yield pd.DataFrame(part, columns=["path", "is_folder"])
+
+    level, files = spark.createDataFrame([("",)], "path string"), []
+    while not level.isEmpty():
+        rows = cut(level.repartition(tasks(spark), "path").mapInPandas(look, "path string, is_folder boolean"), "listing")
+        files.append(rows.where("not is_folder").select("path"))
+        level = rows.where("is_folder").select("path")
+    return reduce(DataFrame.union, files)
+
+
+def contents(paths: DataFrame, root: str) -> DataFrame:
+    """paths (path, below root) with content, a few MB of it in memory at a time. Many small files are what this is for."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = fs.FileSystem.from_uri(root)
+        rows, size = [], 0
+        for batch in batches:
+            for path in batch["path"]:
+                with store.open_input_stream(f"{base.rstrip('/')}/{path}") as opened:
+                    rows.append((path, opened.read()))
+                size += len(rows[-1][1])
+                if size >= HELD or len(rows) == LISTED:
+                    yield pd.DataFrame(rows, columns=["path", "content"])
+                    rows, size = [], 0
+        yield pd.DataFrame(rows, columns=["path", "content"])
+
+    return paths.select("path").repartition(tasks(paths.sparkSession), "path").mapInPandas(read, "path string, content binary")
+
+
 def working_files(spark: SparkSession, root: str) -> DataFrame:
     """path (below root), size and data of the files of a working tree, without those in PASSED_OVER."""
-    files = binary_files(spark, root)
-    plain = re.sub("^[a-z]+:/*", "/", root.rstrip("/"))  # the reader spells a scheme with one slash or three
-    below = F.regexp_extract("path", rf"^[a-z]*:?/*{re.escape(plain.lstrip('/'))}/(.*)$", 1)
     hidden = rf"(^|/)({'|'.join(map(re.escape, PASSED_OVER))})/"
-    named = files.select(below.alias("path"), F.col("length").alias("size"), F.col("content").alias("data"))
-    return named.where(~F.col("path").rlike(hidden))
+    files = contents(listing(spark, root).where(~F.col("path").rlike(hidden)), root)
+    return files.select("path", F.octet_length("content").cast("bigint").alias("size"), F.col("content").alias("data"))
 
 
 def loose_objects(spark: SparkSession, root: str) -> DataFrame:
     """oid, type, size, data of the files `xx/yyyy...` below root; other names are passed over."""
     pattern = r"/([0-9a-f]{2})/([0-9a-f]{38,126})$"
-    files = binary_files(spark, root).where(F.col("path").rlike(pattern))
+    files = contents(listing(spark, root).where(F.concat(F.lit("/"), "path").rlike(pattern)), root).withColumn("path", F.concat(F.lit("/"), "path"))
     named = files.select(F.concat(F.regexp_extract("path", pattern, 1), F.regexp_extract("path", pattern, 2)).alias("oid"), "content")
 
     def open_(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -73,7 +120,8 @@ def loose_payloads(objects: DataFrame) -> DataFrame:
 
 def ref_files(spark: SparkSession, root: str) -> DataFrame:
     """name, oid, target of the files below root; a first line `ref: ` is symbolic."""
-    files = binary_files(spark, root).select(F.regexp_extract("path", r"/(refs/.*|HEAD)$", 1).alias("name"), F.substring_index(F.decode("content", "UTF-8"), "\n", 1).alias("line"))
+    path = F.concat(F.lit("/"), "path")
+    files = contents(listing(spark, root), root).select(F.regexp_extract(path, r"/(refs/.*|HEAD)$", 1).alias("name"), F.substring_index(F.decode("content", "UTF-8"), "\n", 1).alias("line"))
     symbolic = F.col("line").startswith("ref: ")
     return files.where("name <> ''").select("name", F.when(~symbolic, F.trim("line")).alias("oid"), F.when(symbolic, F.trim(F.substr("line", F.lit(6)))).alias("target"))
 

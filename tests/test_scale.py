@@ -61,3 +61,15 @@ def test_files_are_written_and_read_by_ranges(spark, tmp_path, monkeypatch):
     columns = ["position", "oid", "parent1", "parent2", "generation", "commit_time"]
     writers.write_commit_graph(graph_.select(*columns), root)
     assert {tuple(r) for r in binary_files.commit_graphs(spark, root).select(*columns).collect()} == {tuple(r) for r in graph_.select(*columns).collect()}
+
+
+def test_files_are_listed_by_tasks(spark, tmp_path, monkeypatch):
+    """Names do not pass through the driver's file index."""
+    monkeypatch.setattr(files, "binary_files", None)
+    for name, line in (("refs/heads/a b/50%25#x", "a" * 64), ("refs/tags/v", "b" * 64), ("HEAD", "ref: refs/heads/m"), ("refs/heads/.lock", "c" * 64), ("other", "d")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(line + "\n")
+    for root in (f"file://{tmp_path}", str(tmp_path)):
+        got = {(r["name"], r["oid"], r["target"]) for r in files.ref_files(spark, root).collect()}
+        assert got == {("refs/heads/a b/50%25#x", "a" * 64, None), ("refs/tags/v", "b" * 64, None), ("HEAD", None, "refs/heads/m")}
+        assert {r["path"] for r in files.working_files(spark, root).collect()} == {"refs/heads/a b/50%25#x", "refs/tags/v", "HEAD", "other"}
