@@ -6,7 +6,7 @@ import struct
 import zlib
 from collections.abc import Callable, Iterator
 from functools import reduce
-from itertools import islice
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -15,14 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairnspark.functions.binary import bands, delta_apply
+from cairnspark.functions.binary import delta_apply
 from cairnspark.functions.hashing import object_id
 from cairnspark.model import OBJECT_TYPES, OFFSET_DELTA, REFERENCE_DELTA
 from cairnspark.scratch import cut
-from cairnspark.sources.files import binary_files, column, hex_column, pack_indexes, records
+from cairnspark.sources.files import HELD, binary_files, column, hex_column, pack_indexes, records, tasks
 
 # Signatures, versions and field layouts of the formats.
-PACK = struct.Struct(">4sII")  # PACK, version, objects
 STAGING = struct.Struct(">4sII")  # DIRC, version, entries
 STAT = struct.Struct(">10I")  # changed s, ns; modified s, ns; device, inode, mode, user, group, size
 TRAILER, NO_PARENT = 32, 0xFFFFFFFF
@@ -71,16 +70,96 @@ def pack_entry(data: memoryview, start: int, nth: int = 0, shift: int = 0) -> tu
     return (nth, start + shift, dict(OBJECT_TYPES)[kind], base_offset, base_oid, payload), at
 
 
-def pack_entries(content: bytes) -> Iterator[Entry]:
-    """The entries of a pack, one after the other."""
-    data = memoryview(content)
-    magic, version, n = PACK.unpack_from(data)
-    if magic != b"PACK" or version != 2:
+class Feed:
+    """Bytes that are taken one after the other from pieces, of which one is held at a time; at counts them."""
+
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.left, self.at = pieces, memoryview(b""), 0
+
+    def piece(self) -> memoryview:
+        while not len(self.left):
+            if (found := next(self.pieces, None)) is None:
+                raise ValueError("a pack breaks off")
+            self.left = memoryview(found)
+        return self.left
+
+    def take(self, n: int) -> bytes:
+        out = bytearray()
+        while len(out) < n:
+            part = self.piece()[: n - len(out)]
+            out += part
+            self.left = self.left[len(part) :]
+        self.at += n
+        return bytes(out)
+
+    def inflate(self) -> bytes:
+        stream, out = zlib.decompressobj(), []
+        while not stream.eof:
+            part = self.piece()
+            out.append(stream.decompress(part))
+            used = len(part) - len(stream.unused_data)
+            self.left, self.at = part[used:], self.at + used
+        return b"".join(out)
+
+    def rest(self) -> Iterator[bytes]:
+        yield bytes(self.left)
+        yield from self.pieces
+
+
+def pack_entries(pieces: bytes | Iterator[bytes]) -> Iterator[Entry]:
+    """The entries of a pack, whole or in pieces, one after the other; none if there is not a byte."""
+    pieces = iter([pieces]) if isinstance(pieces, bytes) else pieces
+    if (first := next((x for x in pieces if len(x)), None)) is None:
+        return
+    feed = Feed(chain([first], pieces))
+    head = feed.take(12)
+    if head[:8] != b"PACK\0\0\0\2":
         raise ValueError("no pack of version 2")
-    at = PACK.size
-    for nth in range(n):
-        entry, at = pack_entry(data, at, nth)
-        yield entry
+    for nth in range(int.from_bytes(head[8:])):
+        start, byte = feed.at, feed.take(1)[0]
+        kind = byte >> 4 & 7
+        while byte & 0x80:  # the size, which the stream tells too
+            byte = feed.take(1)[0]
+        base_offset = base_oid = None
+        if kind == OFFSET_DELTA:
+            byte = feed.take(1)[0]
+            back = byte & 0x7F
+            while byte & 0x80:
+                byte = feed.take(1)[0]
+                back = back + 1 << 7 | byte & 0x7F
+            base_offset = start - back
+        elif kind == REFERENCE_DELTA:
+            base_oid = feed.take(32).hex()
+        yield nth, start, dict(OBJECT_TYPES)[kind], base_offset, base_oid, feed.inflate()
+
+
+def behind_header(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """What comes after the first empty line."""
+    last = b""
+    for piece in pieces:
+        _, found, rest = (last + piece).partition(b"\n\n")
+        if found:
+            yield rest
+            yield from pieces
+        last = piece[-1:]
+
+
+def pack_band(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """The pack in a captured response, line after line: what bands() gives as a whole."""
+    feed = Feed(pieces)
+    while True:
+        try:
+            if (head := feed.take(4)) == b"PACK":
+                break
+            line = feed.take(max(int(head, 16), 4) - 4)
+        except ValueError:  # no line, or one that breaks off
+            return
+        if line[:4] == b"PACK":
+            yield line
+        elif line[:1] == b"\1":
+            yield line[1:]
+    yield head
+    yield from feed.rest()
 
 
 def objects_of(entries: DataFrame, external: DataFrame | None = None) -> DataFrame:
@@ -153,24 +232,32 @@ def _frame(file: str, entries: list[Entry]) -> pd.DataFrame:
     return out
 
 
-def _entries(spark: SparkSession, root: str, glob: str, pattern: str, find: Callable[[bytes], bytes | None]) -> DataFrame:
-    """Entries of the packs that find() takes out of files, a few hundred in memory at a time."""
-    named = binary_files(spark, root, glob).select(F.regexp_extract("path", pattern, 1).alias("file"), "content")
+def _entries(spark: SparkSession, root: str, glob: str, pattern: str, find: Callable[[Iterator[bytes]], Iterator[bytes]]) -> DataFrame:
+    """Entries of the packs that find() takes out of files, which are read piece by piece; a few MB of entries are in memory at a time."""
+    named = binary_files(spark, root, glob).select("path", F.regexp_extract("path", pattern, 1).alias("file"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for file, content in zip(batch["file"], batch["content"], strict=True):
-                pack = find(bytes(content))
-                entries = iter(pack_entries(pack) if pack else ())
-                while part := list(islice(entries, AT_ONCE)):
-                    yield _frame(file, part)
-
-    return named.mapInPandas(run, f"file string, {ENTRY}")
+            for path, file in zip(batch["path"], batch["file"], strict=True):
+                store, plain = fs.FileSystem.from_uri(path)
+                with store.open_input_stream(plain) as opened:
+                    part, size = [], 0
+                    for entry in pack_entries(find(iter(lambda: opened.read(FEED), b""))):
+                        part.append(entry)
+                        size += len(entry[-1])
+                        if len(part) == AT_ONCE or size >= HELD:
+                            yield _frame(file, part)
+                            part, size = [], 0
+                    if part:
+                        yield _frame(file, part)
+
+    return named.repartition(tasks(spark), "path").mapInPandas(run, f"file string, {ENTRY}")
 
 
 def packs(spark: SparkSession, root: str, external: DataFrame | None = None) -> DataFrame:
-    """pack, OBJECT of all *.pack files. A file is one row of the reader, so it has 2 GB at most; indexed_packs() has no such limit."""
-    return objects_of(_entries(spark, root, "*.pack", r"/([^/]+)\.pack$", lambda content: content), external).withColumnRenamed("file", "pack")
+    """pack, OBJECT of all *.pack files. A pack is one task, as an entry's end is known only once it is read;
+    indexed_packs() shares it out."""
+    return objects_of(_entries(spark, root, "*.pack", r"/([^/]+)\.pack$", iter), external).withColumnRenamed("file", "pack")
 
 
 def indexed_packs(spark: SparkSession, root: str, external: DataFrame | None = None) -> DataFrame:
@@ -203,12 +290,12 @@ def indexed_packs(spark: SparkSession, root: str, external: DataFrame | None = N
 
 def responses(spark: SparkSession, root: str, glob: str = "*.response", external: DataFrame | None = None) -> DataFrame:
     """file, OBJECT of the packs in captured responses; one without a pack gives no rows."""
-    return objects_of(_entries(spark, root, glob, "/([^/]+)$", lambda content: bands(content)["pack"]), external)
+    return objects_of(_entries(spark, root, glob, "/([^/]+)$", pack_band), external)
 
 
 def bundles(spark: SparkSession, root: str, external: DataFrame | None = None) -> DataFrame:
     """bundle, OBJECT of the packs behind the headers of all *.bundle files."""
-    entries = _entries(spark, root, "*.bundle", r"/([^/]+)\.bundle$", lambda content: content.partition(b"\n\n")[2])
+    entries = _entries(spark, root, "*.bundle", r"/([^/]+)\.bundle$", behind_header)
     return objects_of(entries, external).withColumnRenamed("file", "bundle")
 
 

@@ -2,10 +2,12 @@
 
 import hashlib
 import os
+import zlib
 
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cairnspark.functions.binary import bands
 from cairnspark.operators import graph, sync
 from cairnspark.sources import binary_files, files, writers
 
@@ -73,3 +75,20 @@ def test_files_are_listed_by_tasks(spark, tmp_path, monkeypatch):
         got = {(r["name"], r["oid"], r["target"]) for r in files.ref_files(spark, root).collect()}
         assert got == {("refs/heads/a b/50%25#x", "a" * 64, None), ("refs/tags/v", "b" * 64, None), ("HEAD", None, "refs/heads/m")}
         assert {r["path"] for r in files.working_files(spark, root).collect()} == {"refs/heads/a b/50%25#x", "refs/tags/v", "HEAD", "other"}
+
+
+def test_packs_are_read_in_pieces():
+    """However a pack is cut up, with a header before it or in lines of a channel, its entries are the same."""
+    texts = [b"", b"a" * 5000, os.urandom(70_000)]
+    entry = lambda x: bytes([0x80 | 1 << 4 | len(x) & 15]) + bytes([len(x) >> 4 & 0x7F | 0x80, len(x) >> 11 & 0x7F]) + zlib.compress(x)
+    pack = b"PACK" + (2).to_bytes(4, "big") + (3).to_bytes(4, "big") + b"".join(map(entry, texts)) + bytes(32)
+    lines = b"0008NAK\n" + b"".join(b"%04x\1" % (len(x) + 5) + x + b"0007\2go" for x in (pack[i : i + 999] for i in range(0, len(pack), 999))) + b"0000"
+    want = list(binary_files.pack_entries(pack))
+    assert [x[-1] for x in want] == texts
+    for n in (1, 7, 4096):
+        cut = lambda x: iter([x[i : i + n] for i in range(0, len(x), n)])
+        assert list(binary_files.pack_entries(cut(pack))) == want
+        assert list(binary_files.pack_entries(binary_files.behind_header(cut(b"# v2\nref\n\n" + pack)))) == want
+        for response in (lines, pack, b"0008NAK\n" + pack, b"0008NAK\n00", b""):
+            assert b"".join(binary_files.pack_band(cut(response))) == (bands(response)["pack"] or b"")
+        assert list(binary_files.pack_entries(binary_files.pack_band(cut(lines)))) == want
