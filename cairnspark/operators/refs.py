@@ -48,15 +48,20 @@ def rev_parse(specs: DataFrame, refs: DataFrame, edges: DataFrame, width: int =
     """specs (spec) to spec, oid: a name with any number of ~N, ^ and ^N behind it; null if there is no such commit.
 
     A name is, in this order, HEAD, a whole id, a full ref, a branch or a tag. ~N goes back N first parents; ^N is the Nth
-    parent, ^ the first, ^0 the commit itself. Names are looked up by one join, steps of all specs are taken together.
+    parent, ^ the first, ^0 the commit itself. Names are looked up by one join, whole ids by none; refs are what carries the forms of a
+    name, as there are fewer of them. Steps of all specs are taken together.
     """
     short = F.regexp_extract("spec", r"^([^~^]+)", 1)
-    rows = specs.select("spec").distinct().withColumn("name", short)
-    asked = rows.select("spec", "name", F.posexplode(F.array("name", F.concat(F.lit("refs/heads/"), "name"), F.concat(F.lit("refs/tags/"), "name"))).alias("rank", "full"))
-    asked = asked.where((F.col("rank") > 0) | (F.col("name") == "HEAD") | F.col("name").startswith("refs/"))
-    known = asked.join(resolve(refs).select(F.col("name").alias("full"), "oid"), "full").where("oid is not null").groupBy("spec").agg(F.min_by("oid", "rank").alias("by_name"))
-    whole = F.when(F.col("name").rlike(f"^[0-9a-f]{{{width}}}$"), F.col("name"))
-    at = rows.join(known, "spec", "left").select("spec", F.coalesce(whole, "by_name").alias("oid"), F.expr(r"regexp_extract_all(substr(spec, length(name) + 1), '([~^][0-9]*)', 1)").alias("steps"))
+    rows = specs.select("spec").distinct()
+    full = (F.col("name") == "HEAD") | F.col("name").startswith("refs/")
+    behind = lambda prefix, rank: F.when(F.col("name").startswith(prefix), F.struct(F.substr("name", F.lit(len(prefix) + 1)).alias("known"), F.lit(rank).alias("rank")))
+    own = F.array(F.when(full, F.struct(F.col("name").alias("known"), F.lit(0).alias("rank"))), behind("refs/heads/", 1), behind("refs/tags/", 2))
+    names = resolve(refs).where("oid is not null").select("oid", F.explode(F.array_compact(own)).alias("n")).groupBy("n.known").agg(F.min_by("oid", "n.rank").alias("by_name"))
+    is_whole = F.coalesce(short.rlike(f"^[0-9a-f]{{{width}}}$"), F.lit(False))
+    steps = F.expr(r"regexp_extract_all(substr(spec, length(name) + 1), '([~^][0-9]*)', 1)").alias("steps")
+    whole = rows.where(is_whole).withColumn("by_name", short)
+    named = rows.where(~is_whole).join(names, short == F.col("known"), "left").select("spec", "by_name")
+    at = whole.union(named).withColumn("name", short).select("spec", F.col("by_name").alias("oid"), steps)
     at = cut(at, "specs")
     for k in range(at.agg(F.max(F.size("steps"))).first()[0] or 0):
         step = F.get("steps", F.lit(k))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cairnspark.functions.binary import bands
-from cairnspark.operators import graph, sync
+from cairnspark.operators import graph, refs, sync
 from cairnspark.sources import binary_files, files, writers
 
 
@@ -35,9 +35,9 @@ def test_walks_over_numbers(spark):
     edges = spark.range(1, 9).selectExpr("id AS child", "id - 1 AS parent", "1 AS nth")
     heads = spark.createDataFrame([("a", 2, 5), ("b", 5, 2), ("c", None, 3)], "name string, ours bigint, theirs bigint")
     assert {tuple(r) for r in graph.fast_forward(heads, edges).collect()} == {("a", 5, True), ("b", 5, False), ("c", 3, True)}
-    refs = lambda *x: spark.createDataFrame([(f"refs/heads/{n}", o) for n, o in x], "name string, oid bigint")
+    named = lambda *x: spark.createDataFrame([(f"refs/heads/{n}", o) for n, o in x], "name string, oid bigint")
     none = edges.selectExpr("child AS oid")
-    after = sync.push(none, refs(("a", 5), ("b", 2), ("c", 7)), none.limit(0), refs(("a", 2), ("b", 5)), edges)[1]
+    after = sync.push(none, named(("a", 5), ("b", 2), ("c", 7)), none.limit(0), named(("a", 2), ("b", 5)), edges)[1]
     assert {tuple(r) for r in after.collect()} == {("refs/heads/a", 5, True), ("refs/heads/b", 5, False), ("refs/heads/c", 7, True)}
 
 
@@ -92,3 +92,15 @@ def test_packs_are_read_in_pieces():
         for response in (lines, pack, b"0008NAK\n" + pack, b"0008NAK\n00", b""):
             assert b"".join(binary_files.pack_band(cut(response))) == (bands(response)["pack"] or b"")
         assert list(binary_files.pack_entries(binary_files.pack_band(cut(lines)))) == want
+
+
+def test_a_name_is_looked_up_once(spark, monkeypatch):
+    """Specs are not multiplied by the forms that a name may have."""
+    plans, plain = [], refs.cut
+    monkeypatch.setattr(refs, "cut", lambda df, name="table": plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or plain(df, name))
+    known = spark.createDataFrame([("refs/heads/m", "1" * 64, None), ("refs/tags/m", "2" * 64, None), ("m", "3" * 64, None)], "name string, oid string, target string")
+    specs = spark.createDataFrame([("m",), ("refs/tags/m",), ("heads/m",), ("4" * 64,), ("m^",)], "spec string")
+    edges = spark.createDataFrame([("1" * 64, "5" * 64, 1)], "child string, parent string, nth int")
+    got = {r["spec"]: r["oid"] and r["oid"][0] for r in refs.rev_parse(specs, known, edges).collect()}
+    assert got == {"m": "1", "refs/tags/m": "2", "heads/m": None, "4" * 64: "4", "m^": "5"}
+    assert not any("posexplode" in p for p in plans)
