@@ -25,9 +25,9 @@ def running_sum(rows: DataFrame, group: str, bucket: Column, order: list[str], a
 
 
 def offsets(objects: DataFrame, bucket: Column, order: list[str]) -> DataFrame:
-    """objects (pack, oid, size, ...) with the byte offset of each in its pack, behind a header, in an order; bucket as above."""
+    """objects (pack, size, ...) with the byte offset of each in its pack, behind a header, in an order; bucket as above."""
     placed = running_sum(objects, "pack", bucket, order, F.col("size"), "before")
-    return placed.select("pack", "oid", "size", (F.col("before") + HEADER_BYTES).alias("offset"))
+    return placed.withColumn("offset", F.col("before") + HEADER_BYTES).drop("before")
 
 
 def order(index: DataFrame) -> DataFrame:

@@ -7,8 +7,11 @@ import zlib
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+import pytest
+
 from cairnspark.functions.binary import bands
 from cairnspark.operators import graph, refs, sync
+from cairnspark.plans import catalog
 from cairnspark.sources import binary_files, files, writers
 
 
@@ -104,3 +107,21 @@ def test_a_name_is_looked_up_once(spark, monkeypatch):
     got = {r["spec"]: r["oid"] and r["oid"][0] for r in refs.rev_parse(specs, known, edges).collect()}
     assert got == {"m": "1", "refs/tags/m": "2", "heads/m": None, "4" * 64: "4", "m^": "5"}
     assert not any("posexplode" in p for p in plans)
+
+
+def moved(spark, df) -> int:
+    """Bytes that the jobs of df shuffle."""
+    context, group = spark.sparkContext, f"moved-{os.urandom(8).hex()}"
+    context.setJobGroup(group, group)
+    df.write.format("noop").mode("overwrite").save()
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    store, tracker = context._jsc.sc().statusStore(), context.statusTracker()
+    stages = {s for job in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(job).stageIds}
+    return sum(store.lastStageAttempt(s).shuffleWriteBytes() for s in stages)
+
+
+@pytest.mark.parametrize("name, most", [("midx_lookup", 100)])
+def test_digests_are_not_moved(spark, name, most):
+    """Bytes shuffled a line item: its id is a digest of 64 digits, which do not compress, and is made of its keys where rows have met."""
+    sf = "/root/testdata/sf0.01"
+    assert moved(spark, catalog.QUERIES[name](spark, sf)) < most * spark.read.parquet(f"{sf}/lineitem.parquet").count()
