@@ -120,7 +120,7 @@ def moved(spark, df) -> int:
     return sum(store.lastStageAttempt(s).shuffleWriteBytes() for s in stages)
 
 
-@pytest.mark.parametrize("name, most", [("midx_lookup", 100)])
+@pytest.mark.parametrize("name, most", [("midx_lookup", 100), ("pack_lookup", 100)])
 def test_digests_are_not_moved(spark, name, most):
     """Bytes shuffled a line item: its id is a digest of 64 digits, which do not compress, and is made of its keys where rows have met."""
     sf = "/root/testdata/sf0.01"
