@@ -9,18 +9,20 @@ from pyspark.sql.window import Window
 HEADER_BYTES = 12
 
 
-def running_sum(rows: DataFrame, group: str, bucket: Column, order: list[str], amount: Column, name: str) -> DataFrame:
+def running_sum(rows: DataFrame, group: str, bucket: Column, order: list[str], amount: Column, name: str, made: dict[str, Column] | None = None) -> DataFrame:
     """rows with the sum of amount over the rows before, in each group.
 
     bucket must rise with order. Sums run inside a bucket, so that a group that holds most of the rows is not in one task; the
-    buckets' totals, which are few, are summed up on their own.
+    buckets' totals, which are few, are summed up on their own. Columns made of others (made) are made where a bucket's rows have
+    met, so that they are not moved; order may name them.
     """
     cut = rows.withColumns({"bucket__": bucket, "amount__": amount})
+    met = rows.withColumn("bucket__", bucket).repartition(group, "bucket__").withColumns({"amount__": amount, **(made or {})})
     inside = Window.partitionBy(group, "bucket__").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy(group).orderBy("bucket__").rowsBetween(Window.unboundedPreceding, -1)
     totals = cut.groupBy(group, "bucket__").agg(F.sum("amount__").alias("total__"))
     starts = totals.select(group, "bucket__", F.coalesce(F.sum("total__").over(before), F.lit(0)).alias("start__"))
-    summed = cut.withColumn("inner__", F.coalesce(F.sum("amount__").over(inside), F.lit(0)))
+    summed = met.withColumn("inner__", F.coalesce(F.sum("amount__").over(inside), F.lit(0)))
     return summed.join(starts, [group, "bucket__"]).withColumn(name, (F.col("start__") + F.col("inner__")).cast("bigint")).drop("bucket__", "amount__", "start__", "inner__")
 
 
@@ -30,9 +32,12 @@ def offsets(objects: DataFrame, bucket: Column, order: list[str]) -> DataFrame:
     return placed.withColumn("offset", F.col("before") + HEADER_BYTES).drop("before")
 
 
-def order(index: DataFrame) -> DataFrame:
-    """Position of each id in its pack's index, from 0. Ids are digests: their first digits make even buckets."""
-    return running_sum(index, "pack", F.substring("oid", 1, 2), ["oid", "offset"], F.lit(1), "position").select("pack", "oid", "offset", "position")
+def order(index: DataFrame, oid: Column | None = None) -> DataFrame:
+    """Position of each id in its pack's index, from 0. Ids are digests: their first digits make even buckets. An index that holds what
+    ids are made of takes their making as oid, and digests are not moved."""
+    oid = F.col("oid") if oid is None else oid
+    placed = running_sum(index, "pack", F.substring(oid, 1, 2), ["oid", "offset"], F.lit(1), "position", {"oid": oid})
+    return placed.select("pack", "oid", "offset", "position")
 
 
 def lookup(index: DataFrame, ids: DataFrame) -> DataFrame:

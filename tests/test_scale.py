@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 import pytest
 
 from cairnspark.functions.binary import bands
-from cairnspark.operators import graph, refs, sync
+from cairnspark.operators import graph, packs, refs, sync
 from cairnspark.plans import catalog
 from cairnspark.sources import binary_files, files, writers
 
@@ -120,8 +120,20 @@ def moved(spark, df) -> int:
     return sum(store.lastStageAttempt(s).shuffleWriteBytes() for s in stages)
 
 
-@pytest.mark.parametrize("name, most", [("midx_lookup", 100), ("pack_lookup", 100)])
+@pytest.mark.parametrize("name, most", [("midx_lookup", 100), ("pack_lookup", 100), ("pack_order", 120)])
 def test_digests_are_not_moved(spark, name, most):
     """Bytes shuffled a line item: its id is a digest of 64 digits, which do not compress, and is made of its keys where rows have met."""
     sf = "/root/testdata/sf0.01"
     assert moved(spark, catalog.QUERIES[name](spark, sf)) < most * spark.read.parquet(f"{sf}/lineitem.parquet").count()
+
+
+def test_positions_of_ids_made_late(spark):
+    """Equal ids of a pack go by their offsets, whether ids are given or made of something."""
+    rows = [(p, str(k), o) for p in ("a", "b") for k in range(300) for o in (k * 7 % 100, 1000 + k)]
+    index = spark.createDataFrame(rows, "pack string, oid string, offset bigint").withColumn("oid", (F.col("oid").cast("int") % 200).cast("string"))
+    oid = F.sha2("oid", 256)
+    made = {tuple(r) for r in packs.order(index, oid).collect()}
+    assert made == {tuple(r) for r in packs.order(index.withColumn("oid", oid)).collect()}
+    for pack in ("a", "b"):
+        own = sorted((hashlib.sha256(str(int(k) % 200).encode()).hexdigest(), o) for p, k, o in rows if p == pack)
+        assert sorted((o, at, i) for p, o, at, i in made if p == pack) == sorted((o, at, i) for i, (o, at) in enumerate(own))
