@@ -12,23 +12,26 @@ HEADER_BYTES = 12
 def running_sum(rows: DataFrame, group: str, bucket: Column, order: list[str], amount: Column, name: str, made: dict[str, Column] | None = None) -> DataFrame:
     """rows with the sum of amount over the rows before, in each group.
 
-    bucket must rise with order. Sums run inside a bucket, so that a group that holds most of the rows is not in one task; the
-    buckets' totals, which are few, are summed up on their own. Columns made of others (made) are made where a bucket's rows have
-    met, so that they are not moved; order may name them.
+    bucket must rise with order, in which nulls come last. Sums run inside a bucket, so that a group that holds most of the rows is not
+    in one task; the buckets' totals, which are few, are summed up on their own, and what comes before a bucket goes ahead of its rows as
+    a row of its own. So no join is needed, and groups and buckets may be null. Buckets, amounts and columns made of others (made) are
+    made where a bucket's rows have met, so that they are not moved; order may name them.
     """
-    cut = rows.withColumns({"bucket__": bucket, "amount__": amount})
-    met = rows.withColumn("bucket__", bucket).repartition(group, "bucket__").withColumns({"amount__": amount, **(made or {})})
-    inside = Window.partitionBy(group, "bucket__").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.partitionBy(group).orderBy("bucket__").rowsBetween(Window.unboundedPreceding, -1)
-    totals = cut.groupBy(group, "bucket__").agg(F.sum("amount__").alias("total__"))
+    totals = rows.groupBy(group, bucket.alias("bucket__")).agg(F.sum(amount).alias("total__"))
+    before = Window.partitionBy(group).orderBy(F.asc_nulls_last("bucket__")).rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(group, "bucket__", F.coalesce(F.sum("total__").over(before), F.lit(0)).alias("start__"))
-    summed = met.withColumn("inner__", F.coalesce(F.sum("amount__").over(inside), F.lit(0)))
-    return summed.join(starts, [group, "bucket__"]).withColumn(name, (F.col("start__") + F.col("inner__")).cast("bigint")).drop("bucket__", "amount__", "start__", "inner__")
-
-
-def offsets(objects: DataFrame, bucket: Column, order: list[str]) -> DataFrame:
-    """objects (pack, size, ...) with the byte offset of each in its pack, behind a header, in an order; bucket as above."""
-    placed = running_sum(objects, "pack", bucket, order, F.col("size"), "before")
+    both = rows.unionByName(starts, allowMissingColumns=True)
+    own = F.when(F.col("start__").isNull(), bucket).otherwise(F.col("bucket__"))
+    met = both.repartition(F.col(group), own).withColumns({"bucket__": own, "amount__": F.coalesce("start__", amount), **(made or {})})
+    inside = Window.partitionBy(group, "bucket__").orderBy(F.asc_nulls_last("start__"), *map(F.asc_nulls_last, order)).rowsBetween(Window.unboundedPreceding, -1)
+    summed = met.withColumn(name, F.sum("amount__").over(inside).cast("bigint"))
+    return summed.where("start__ is null").drop("bucket__", "amount__", "start__")
+
+
+def offsets(objects: DataFrame, bucket: Column, order: list[str], size: Column | None = None) -> DataFrame:
+    """objects (pack, size, ...) with the byte offset of each in its pack, behind a header, in an order; bucket as above. Objects whose
+    size follows from other columns take its making instead, and it is not moved."""
+    placed = running_sum(objects, "pack", bucket, order, F.col("size") if size is None else size, "before")
     return placed.withColumn("offset", F.col("before") + HEADER_BYTES).drop("before")
 
 

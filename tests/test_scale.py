@@ -1,5 +1,6 @@
 """What queries write and hold, beside what they answer."""
 
+import datetime
 import hashlib
 import os
 import zlib
@@ -7,6 +8,7 @@ import zlib
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+import duckdb
 import pytest
 
 from cairnspark.functions.binary import bands
@@ -137,3 +139,30 @@ def test_positions_of_ids_made_late(spark):
     for pack in ("a", "b"):
         own = sorted((hashlib.sha256(str(int(k) % 200).encode()).hexdigest(), o) for p, k, o in rows if p == pack)
         assert sorted((o, at, i) for p, o, at, i in made if p == pack) == sorted((o, at, i) for i, (o, at) in enumerate(own))
+
+
+@pytest.mark.parametrize("name, most", [("pack_lookup", 70), ("midx_lookup", 74)])
+def test_what_follows_from_keys_is_not_moved(spark, name, most):
+    """Bytes shuffled a line item where no table is small enough to be broadcast: sizes, buckets and text are made of keys that are moved anyway."""
+    sf, threshold = "/root/testdata/sf0.01", "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(threshold, -1)
+    try:
+        assert moved(spark, catalog.QUERIES[name](spark, sf)) < most * spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    finally:
+        spark.conf.unset(threshold)
+
+
+def test_items_without_a_month_or_a_key_are_looked_up(spark, tmp_path):
+    """Packs without a name are packs, and items without an id take their place in one."""
+    month = lambda k: None if k % 5 == 0 else datetime.datetime(2020, 1 + k % 3, 1)
+    items = [(None if k % 11 == 0 else k * 100, None if k % 13 == 0 else k % 7, k, 1 + k % 4, month(k)) for k in range(1, 400)]
+    spark.createDataFrame(items, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_shipdate timestamp").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(1, 400).selectExpr("id * 100 AS o_orderkey", "if(id % 2 = 0, 'F', 'O') AS o_orderstatus").write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    for name in ("lineitem", "orders"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    for name in ("pack_lookup", "pack_order"):
+        got = catalog.QUERIES[name](spark, str(tmp_path))
+        want = con.execute(f"SELECT {', '.join(f'\"{c}\"' for c in got.columns)} FROM ({catalog.ORACLE_SQL[name]})").fetchall()
+        assert any(r[got.columns.index("pack")] is None for r in want)
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
