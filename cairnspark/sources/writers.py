@@ -9,8 +9,10 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyarrow import fs
@@ -19,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cairnspark.functions.binary import multiplexed
 from cairnspark.functions.codec import bundle_header
 from cairnspark.functions.hashing import type_code
 from cairnspark.model import REFERENCE_DELTA
@@ -42,11 +45,11 @@ def raw(hex_: str) -> Column:
     return F.unhex(F.lit(hex_))
 
 
-def write_parts(parts: DataFrame, root: str, seal: str = "sha256", sealed_from: int = 0) -> DataFrame:
+def write_parts(parts: DataFrame, root: str, seal: str = "sha256", sealed_from: int = 0, form: Callable[[Iterator[bytes]], Iterator[bytes]] = iter) -> DataFrame:
     """Writes each file of parts (file, block, key, bytes) below root: file, size, digest.
 
     The digest is SHA-256 over the blocks from sealed_from on; seal says what ends the file: that digest (sha256) or as many zero
-    bytes (zeros), which have no digest. Null bytes are left out. Rows are dealt out by ranges of file, block and key, and a task writes each of
+    bytes (zeros), which have no digest. form() makes what is written of all this, piece by piece. Null bytes are left out. Rows are dealt out by ranges of file, block and key, and a task writes each of
     its ranges as a segment. Then a task for each file puts the segments one behind the other, a few MB at a time: rows of a file
     meet nowhere. Segments and files have names of their own until they are whole, so no attempt leaves half a file.
     """
@@ -72,32 +75,28 @@ def write_parts(parts: DataFrame, root: str, seal: str = "sha256", sealed_from:
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, base = fs.FileSystem.from_uri(root)
-        now, out, own, digest, size = None, None, "", None, 0
-
-        def end() -> pd.DataFrame:
-            tail = digest.digest() if seal == "sha256" else bytes(32)
-            out.write(tail)
-            out.close()
-            store.move(own, f"{base}/{now}")
-            return pd.DataFrame({"file": [now], "size": [size + len(tail)], "digest": [digest.hexdigest() if seal == "sha256" else None]})
-
-        for batch in batches:
-            for file, block, name in zip(batch["file"], batch["block"], batch["name"], strict=True):
-                if file != now:
-                    if out is not None:
-                        yield end()
-                    above, _, last = f"{base}/{file}".rpartition("/")
-                    store.create_dir(above, recursive=True)
-                    now, own, digest, size = file, f"{above}/.{last}.{TaskContext.get().taskAttemptId()}", hashlib.sha256(), 0
-                    out = store.open_output_stream(own)
-                with store.open_input_stream(f"{base}/{name}") as piece:
-                    while data := piece.read(PIECE):
-                        out.write(data)
-                        size += len(data)
-                        if seal == "sha256" and block >= sealed_from:
-                            digest.update(data)
-        if out is not None:
-            yield end()
+        rows = (row for batch in batches for row in zip(batch["file"], batch["block"], batch["name"], strict=True))
+        for file, pieces in groupby(rows, itemgetter(0)):
+            digest, size = hashlib.sha256() if seal == "sha256" else None, 0
+
+            def body(pieces=pieces, digest=digest) -> Iterator[bytes]:
+                for _, block, name in pieces:
+                    with store.open_input_stream(f"{base}/{name}") as piece:
+                        while data := piece.read(PIECE):
+                            if digest and block >= sealed_from:
+                                digest.update(data)
+                            yield data
+                yield digest.digest() if digest else bytes(32)
+
+            above, _, last = f"{base}/{file}".rpartition("/")
+            store.create_dir(above, recursive=True)
+            own = f"{above}/.{last}.{TaskContext.get().taskAttemptId()}"
+            with store.open_output_stream(own) as out:
+                for data in form(body()):
+                    out.write(data)
+                    size += len(data)
+            store.move(own, f"{base}/{file}")
+            yield pd.DataFrame({"file": [file], "size": [size], "digest": [digest and digest.hexdigest()]})
 
     dealt = parts.repartitionByRange("file", "block", "key").sortWithinPartitions("file", "block", "key").select("file", "block", "bytes")
     pieces = cut(dealt.mapInPandas(segments, "file string, block int, part int, name string"), "segments")
@@ -159,20 +158,29 @@ def _pack_index(entries: DataFrame, ahead: int) -> DataFrame:
     return placed.select("pack", "oid", "crc32", (F.col("before") + ahead).alias("offset"))
 
 
+def _pack_parts(entries: DataFrame, ending: str) -> DataFrame:
+    named = entries.withColumn("file", F.concat("pack", F.lit(ending)))
+    head = named.groupBy("file").agg(F.count("*").alias("n"))
+    return _parts(head, 0, None, F.concat(raw(PACK), number(F.col("n"), 4))).union(_parts(named, 1, "oid", F.col("bytes")))
+
+
 def write_packs(objects: DataFrame, root: str) -> DataFrame:
     """objects (pack, oid, type, data[, base_oid]), each id once a pack, as <pack>.pack and <pack>.idx: pack, oid, crc32, offset.
 
     Entries are compressed in parallel and lie in the order of ids; a file is put together by one task.
     """
     entries = cut(_entries(objects), "entries")
-    named = entries.withColumn("file", F.concat("pack", F.lit(".pack")))
-    head = named.groupBy("file").agg(F.count("*").alias("n"))
-    written = write_parts(_parts(head, 0, None, F.concat(raw(PACK), number(F.col("n"), 4))).union(_parts(named, 1, "oid", F.col("bytes"))), root)
+    written = write_parts(_pack_parts(entries, ".pack"), root)
     index = cut(_pack_index(entries, 12), "index")
     write_pack_indexes(index, written.select(F.substring_index("file", ".pack", 1).alias("pack"), "digest"), root)
     return index
 
 
+def write_responses(objects: DataFrame, root: str) -> DataFrame:
+    """objects as above as <pack>.response, the pack in lines of its channel: file, size, digest (the pack's). No pack is held or written whole."""
+    return write_parts(_pack_parts(cut(_entries(objects), "entries"), ".response"), root, form=multiplexed)
+
+
 def write_pack_indexes(index: DataFrame, digests: DataFrame, root: str) -> DataFrame:
     """index (pack, oid, crc32, offset) and digests (pack, digest) as <pack>.idx of version 2. Offsets from 2 GiB on go to a table of
     their own, in the order of ids."""

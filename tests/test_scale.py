@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 import duckdb
 import pytest
 
-from cairnspark.functions.binary import bands
+from cairnspark.functions.binary import LINE, bands, multiplexed
 from cairnspark.operators import graph, packs, refs, sync
 from cairnspark.plans import catalog
 from cairnspark.sources import binary_files, files, writers
@@ -166,3 +166,30 @@ def test_items_without_a_month_or_a_key_are_looked_up(spark, tmp_path):
         want = con.execute(f"SELECT {', '.join(f'\"{c}\"' for c in got.columns)} FROM ({catalog.ORACLE_SQL[name]})").fetchall()
         assert any(r[got.columns.index("pack")] is None for r in want)
         assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
+@pytest.mark.parametrize("name", ["response_scan"])
+def test_no_file_is_one_value(spark, name):
+    """A value has 2 GB at most, a file any number: none is read whole into a row. Values of files end at 1,000 bytes here."""
+    longest = "spark.sql.sources.binaryFile.maxLength"
+    spark.conf.set(longest, 1000)
+    try:
+        assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 100
+    finally:
+        spark.conf.unset(longest)
+
+
+def test_responses_are_written_in_pieces(spark, tmp_path):
+    """However a pack comes in, the lines are the same, and they hold the pack that is written as a file of its own."""
+    rows = [("p", hashlib.sha256(d).hexdigest(), "blob", bytearray(d)) for d in (os.urandom(70_000), b"", b"a" * 5000, os.urandom(LINE))]
+    objects = spark.createDataFrame(rows, "pack string, oid string, type string, data binary")
+    writers.write_packs(objects, f"file://{tmp_path}")
+    writers.write_responses(objects, f"file://{tmp_path}")
+    pack, response = (tmp_path / "p.pack").read_bytes(), (tmp_path / "p.response").read_bytes()
+    assert bands(response) == {"pack": pack, "progress": "0\n65515\n131030\n", "error": ""}
+    for data in (pack, pack[:LINE], pack[: 2 * LINE], b""):
+        whole = b"".join(multiplexed(iter([data])))
+        assert (bands(whole)["pack"] or b"") == data and whole[-4:] == b"0000"
+        for n in (4096, LINE, 100_000):
+            assert b"".join(multiplexed(iter([data[i : i + n] for i in range(0, len(data), n)]))) == whole
+    assert b"".join(multiplexed(iter([pack]))) == response
