@@ -14,6 +14,7 @@ from functools import reduce
 from itertools import groupby
 from operator import itemgetter
 
+import numpy as np
 import pandas as pd
 from pyarrow import fs
 from pyspark import TaskContext
@@ -45,6 +46,31 @@ def raw(hex_: str) -> Column:
     return F.unhex(F.lit(hex_))
 
 
+def segment(store: fs.FileSystem, path: str) -> Iterator[bytes]:
+    with store.open_input_stream(path) as opened:
+        while data := opened.read(PIECE):
+            yield data
+
+
+def put(store: fs.FileSystem, path: str, pieces: Iterator[bytes]) -> int:
+    """Writes a file, which has a name of its own until it is whole: its size."""
+    above, _, last = path.rpartition("/")
+    store.create_dir(above, recursive=True)
+    own, size = f"{above}/.{last}.{TaskContext.get().taskAttemptId()}", 0
+    with store.open_output_stream(own) as out:
+        for data in pieces:
+            out.write(data)
+            size += len(data)
+    store.move(own, path)
+    return size
+
+
+def drop_segments(root: str, folder: str) -> None:
+    store, base = fs.FileSystem.from_uri(root)
+    if store.get_file_info(f"{base}/{folder}").type == fs.FileType.Directory:
+        store.delete_dir(f"{base}/{folder}")
+
+
 def write_parts(parts: DataFrame, root: str, seal: str = "sha256", sealed_from: int = 0, form: Callable[[Iterator[bytes]], Iterator[bytes]] = iter) -> DataFrame:
     """Writes each file of parts (file, block, key, bytes) below root: file, size, digest.
 
@@ -77,34 +103,24 @@ def write_parts(parts: DataFrame, root: str, seal: str = "sha256", sealed_from:
         store, base = fs.FileSystem.from_uri(root)
         rows = (row for batch in batches for row in zip(batch["file"], batch["block"], batch["name"], strict=True))
         for file, pieces in groupby(rows, itemgetter(0)):
-            digest, size = hashlib.sha256() if seal == "sha256" else None, 0
+            digest = hashlib.sha256() if seal == "sha256" else None
 
             def body(pieces=pieces, digest=digest) -> Iterator[bytes]:
                 for _, block, name in pieces:
-                    with store.open_input_stream(f"{base}/{name}") as piece:
-                        while data := piece.read(PIECE):
-                            if digest and block >= sealed_from:
-                                digest.update(data)
-                            yield data
+                    for data in segment(store, f"{base}/{name}"):
+                        if digest and block >= sealed_from:
+                            digest.update(data)
+                        yield data
                 yield digest.digest() if digest else bytes(32)
 
-            above, _, last = f"{base}/{file}".rpartition("/")
-            store.create_dir(above, recursive=True)
-            own = f"{above}/.{last}.{TaskContext.get().taskAttemptId()}"
-            with store.open_output_stream(own) as out:
-                for data in form(body()):
-                    out.write(data)
-                    size += len(data)
-            store.move(own, f"{base}/{file}")
+            size = put(store, f"{base}/{file}", form(body()))
             yield pd.DataFrame({"file": [file], "size": [size], "digest": [digest and digest.hexdigest()]})
 
     dealt = parts.repartitionByRange("file", "block", "key").sortWithinPartitions("file", "block", "key").select("file", "block", "bytes")
     pieces = cut(dealt.mapInPandas(segments, "file string, block int, part int, name string"), "segments")
     ordered = pieces.repartition(tasks(parts.sparkSession), "file").sortWithinPartitions("file", "block", "part").select("file", "block", "name")
     written = cut(ordered.mapInPandas(join, "file string, size bigint, digest string"), "written")
-    store, base = fs.FileSystem.from_uri(root)
-    if store.get_file_info(f"{base}/{folder}").type == fs.FileType.Directory:
-        store.delete_dir(f"{base}/{folder}")
+    drop_segments(root, folder)
     return written
 
 
@@ -181,20 +197,81 @@ def write_responses(objects: DataFrame, root: str) -> DataFrame:
     return write_parts(_pack_parts(cut(_entries(objects), "entries"), ".response"), root, form=multiplexed)
 
 
-def write_pack_indexes(index: DataFrame, digests: DataFrame, root: str) -> DataFrame:
-    """index (pack, oid, crc32, offset) and digests (pack, digest) as <pack>.idx of version 2. Offsets from 2 GiB on go to a table of
-    their own, in the order of ids."""
-    rows = index.withColumn("file", F.concat("pack", F.lit(".idx")))
-    large = rows.where(F.col("offset") >= LARGE_OFFSET)
-    numbered = packs.running_sum(large, "file", F.substring("oid", 1, 3), ["oid"], F.lit(1), "nth").select("file", "oid", "nth")
-    places = rows.join(numbered, ["file", "oid"], "left").withColumn("place", F.when(F.col("nth").isNotNull(), F.col("nth") + LARGE_OFFSET).otherwise(F.col("offset")))
-    places = cut(places.select("file", "oid", "place"), "places")
-    ends = digests.withColumn("file", F.concat("pack", F.lit(".idx")))
-    parts = [
-        _parts(ends, 0, None, raw(IDX)), fanout_parts(rows, 1), _parts(rows, 2, "oid", F.unhex("oid")), _parts(rows, 3, "oid", number(F.col("crc32"), 4)),
-        _parts(places, 4, "oid", number(F.col("place"), 4)), _parts(large, 5, "oid", number(F.col("offset"), 8)), _parts(ends, 6, None, F.unhex("digest")),
-    ]
-    return write_parts(reduce(DataFrame.union, parts), root)
+def write_pack_indexes(index: DataFrame, digests: DataFrame, root: str, oid: Column | None = None) -> DataFrame:
+    """index (pack, oid, crc32, offset) and digests (pack, digest) as <pack>.idx of version 2: file, size, digest. Offsets from 2 GiB on go
+    to a table of their own, in the order of ids.
+
+    Rows are dealt out once, by ranges of pack and id, and a task writes each column of each of its ranges as a segment. Places in
+    the table count from a range's first large offset on; what lies before it is added where segments are put one behind the
+    other. An index that holds what ids are made of takes their making as oid, and digests are not moved.
+    """
+    folder, id_ = f"segments-{uuid.uuid4().hex}", F.unhex(F.col("oid") if oid is None else oid)
+    columns = range(4)  # ids, checksums, places, large offsets
+
+    def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = fs.FileSystem.from_uri(root)
+        task, made, outs = TaskContext.get(), [], []
+        store.create_dir(f"{base}/{folder}", recursive=True)
+        for batch in batches:
+            if batch[["pack", "id"]].isna().any(axis=None):
+                raise ValueError("an object without a pack or an id is in no index")
+            for pack, part in batch.groupby("pack", sort=False):
+                if not made or pack != made[-1]["pack"]:
+                    for out in outs:
+                        out.close()
+                    made.append({"pack": pack, "part": task.partitionId(), "name": f"{folder}/{task.taskAttemptId()}-{len(made)}", "large": 0, "firsts": np.zeros(256, np.int64)})
+                    outs = [store.open_output_stream(f"{base}/{made[-1]['name']}-{k}") for k in columns]
+                ids, places = b"".join(part["id"]), part["offset"].to_numpy(np.int64)
+                far = places >= LARGE_OFFSET
+                nth = made[-1]["large"] + np.cumsum(far) - 1
+                made[-1]["large"] += int(far.sum())
+                made[-1]["firsts"] += np.bincount(np.frombuffer(ids, np.uint8).reshape(len(part), -1)[:, 0], minlength=256)
+                arrays = part["crc32"].to_numpy(">u4"), np.where(far, LARGE_OFFSET + nth, places).astype(">u4"), places[far].astype(">u8")
+                for out, data in zip(outs, [ids, *(x.tobytes() for x in arrays)], strict=True):
+                    out.write(data)
+        for out in outs:
+            out.close()
+        yield pd.DataFrame(made, columns=["pack", "part", "name", "large", "firsts"])
+
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = fs.FileSystem.from_uri(root)
+        rows = (row for batch in batches for row in zip(*(batch[c] for c in ("pack", "name", "large", "firsts", "end")), strict=True))
+        for pack, found in groupby(rows, itemgetter(0)):
+            (*_, end), *pieces = found  # one for each task that had rows of the pack
+            if end is None or any(x[-1] is not None for x in pieces):
+                raise ValueError("an index takes one digest of its pack")
+            digest = hashlib.sha256()
+
+            def body(pieces=pieces, end=end) -> Iterator[bytes]:
+                yield bytes.fromhex(IDX)
+                yield np.cumsum(sum((x[3] for x in pieces), np.zeros(256, np.int64))).astype(">u4").tobytes()
+                for k in columns:
+                    before = 0
+                    for _, name, large, _, _ in pieces:
+                        for data in segment(store, f"{base}/{name}-{k}"):
+                            if k == 2:
+                                places = np.frombuffer(data, ">u4").astype(np.int64)
+                                data = np.where(places >= LARGE_OFFSET, places + before, places).astype(">u4").tobytes()
+                            yield data
+                        before += large
+                yield bytes.fromhex(end)
+
+            def sealed(body=body, digest=digest) -> Iterator[bytes]:
+                for data in body():
+                    digest.update(data)
+                    yield data
+                yield digest.digest()
+
+            size = put(store, f"{base}/{pack}.idx", sealed())
+            yield pd.DataFrame({"file": [f"{pack}.idx"], "size": [size], "digest": [digest.hexdigest()]})
+
+    dealt = index.select("pack", "oid", "crc32", "offset").repartitionByRange("pack", id_).withColumn("id", id_).sortWithinPartitions("pack", "id", "offset").select("pack", "id", "crc32", "offset")
+    pieces = cut(dealt.mapInPandas(segments, "pack string, part int, name string, large bigint, firsts array<bigint>"), "segments")
+    ends = digests.select("pack", F.lit(-1).alias("part"), F.lit("").alias("name"), F.lit(0).alias("large"), F.array().cast("array<bigint>").alias("firsts"), F.col("digest").alias("end"))
+    ordered = pieces.withColumn("end", F.lit(None).cast("string")).union(ends).repartition(tasks(index.sparkSession), "pack").sortWithinPartitions("pack", "part")
+    written = cut(ordered.mapInPandas(join, "file string, size bigint, digest string"), "written")
+    drop_segments(root, folder)
+    return written
 
 
 def write_multi_pack(index: DataFrame, root: str, file: str = "multi.midx") -> DataFrame:

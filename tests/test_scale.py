@@ -193,3 +193,44 @@ def test_responses_are_written_in_pieces(spark, tmp_path):
         for n in (4096, LINE, 100_000):
             assert b"".join(multiplexed(iter([data[i : i + n] for i in range(0, len(data), n)]))) == whole
     assert b"".join(multiplexed(iter([pack]))) == response
+
+
+def test_indexes_are_written_from_rows_dealt_out_once(spark):
+    """Bytes shuffled a line item until an index is written and read: columns are told apart by the tasks that write them, and digests are made there."""
+    context, group, sf = spark.sparkContext, f"indexes-{os.urandom(8).hex()}", "/root/testdata/sf0.01"
+    context.setJobGroup(group, group)
+    catalog.QUERIES["idx_scan"](spark, sf).write.format("noop").mode("overwrite").save()
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    ids = {s for job in context.statusTracker().getJobIdsForGroup(group) for s in context.statusTracker().getJobInfo(job).stageIds}
+    kept = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(spark._jvm.double, 0), None)
+    ran = [s for s in map(kept.apply, range(kept.size())) if s.stageId() in ids]  # stages that were skipped moved nothing
+    assert 0 < sum(s.shuffleWriteBytes() for s in ran) < 120 * spark.read.parquet(f"{sf}/lineitem.parquet").count()
+
+
+def test_places_of_large_offsets(spark, tmp_path):
+    """They count on from one task's rows to the next, in each index of its own; equal ids keep their own offsets, and rows without an id are an error."""
+    rows = spark.range(6000).select(
+        F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("pack"), F.sha2((F.col("id") % 5500).cast("string"), 256).alias("oid"),
+        (F.col("id") * 714_000 % (1 << 32)).alias("crc32"), F.when(F.col("id") % 4 == 0, F.col("id")).otherwise(F.col("id") * (1 << 21)).alias("offset"),
+    )
+    ends = spark.createDataFrame([("a", "0a" * 32), ("b", "0b" * 32)], "pack string, digest string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        report = {r["file"]: r for r in writers.write_pack_indexes(rows, ends, f"file://{tmp_path}").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(os.listdir(tmp_path)) == ["a.idx", "b.idx"]
+    want = [tuple(r) for r in rows.collect()]
+    assert sorted(tuple(r) for r in files.pack_indexes(spark, str(tmp_path)).select("pack", "oid", "crc32", "offset").collect()) == sorted(want)
+    for pack in "ab":
+        body, own = (tmp_path / f"{pack}.idx").read_bytes(), sorted((bytes.fromhex(o), at) for p, o, _, at in want if p == pack)
+        n, large = len(own), [at for _, at in own if at >= 1 << 31]
+        assert body[8:1032] == b"".join(sum(o[0] <= b for o, _ in own).to_bytes(4, "big") for b in range(256))
+        assert body[1032 : 1032 + 32 * n] == b"".join(o for o, _ in own)
+        nth = iter(range(1 << 31, 1 << 32))
+        assert body[1032 + 36 * n : 1032 + 40 * n] == b"".join((at if at < 1 << 31 else next(nth)).to_bytes(4, "big") for _, at in own)
+        assert body[1032 + 40 * n : -64] == b"".join(at.to_bytes(8, "big") for at in large) and len(large) > 1000
+        assert body[-64:-32] == bytes.fromhex(f"0{pack}" * 32) and body[-32:] == hashlib.sha256(body[:-32]).digest()
+        assert (report[f"{pack}.idx"]["size"], report[f"{pack}.idx"]["digest"]) == (len(body), body[-32:].hex())
+    with pytest.raises(Exception, match="is in no index"):
+        writers.write_pack_indexes(rows.withColumn("oid", F.when(F.col("offset") > 0, F.col("oid"))), ends, f"file://{tmp_path}/other")
