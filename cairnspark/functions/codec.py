@@ -99,11 +99,16 @@ def bundle_header(refs: Column) -> Column:
 
 def parse_bundle_header(text: Column) -> Column:
     """array<struct<oid,name>> of the lines up to the empty one; null if the title is missing."""
-    lines = F.filter(F.split(F.substring_index(text, "\n\n", 1), "\n"), lambda x: x.rlike(r"^[0-9a-f]{40,128} \S"))
-    refs = F.transform(lines, lambda x: F.struct(F.substring_index(x, " ", 1).alias("oid"), F.regexp_extract(x, r"^\S+ (.*)$", 1).alias("name")))
+    refs = F.filter(F.transform(F.split(F.substring_index(text, "\n\n", 1), "\n"), bundle_ref), lambda x: x.isNotNull())
     return F.when(F.startswith(text, F.lit(BUNDLE_TITLE)), refs)
 
 
+def bundle_ref(line: Column) -> Column:
+    """struct<oid,name> of a line of a bundle's header; null if it is no ref."""
+    ref = F.struct(F.substring_index(line, " ", 1).alias("oid"), F.regexp_extract(line, r"^\S+ (.*)$", 1).alias("name"))
+    return F.when(line.rlike(r"^[0-9a-f]{40,128} \S"), ref)
+
+
 def posix_to_java(pattern: str) -> str:
     """An extended POSIX pattern for rlike: classes such as [:digit:] are the only difference that matters here."""
     return re.sub(r"\[:(\w+):\]", lambda m: POSIX_CLASSES[m[1]], pattern)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import io
 import os
 import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import reduce
-from itertools import islice
+from itertools import islice, takewhile
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cairnspark.functions.binary import deflate
-from cairnspark.functions.codec import parse_bundle_header
+from cairnspark.functions.codec import BUNDLE_TITLE, bundle_ref
 from cairnspark.functions.hashing import header, object_id
 from cairnspark.scratch import cut
 
@@ -27,6 +28,7 @@ LARGE_OFFSET = 1 << 31  # from here on, an offset is a place in the table of 64-
 
 
 LISTED, HELD = 1000, 8 << 20  # files, and bytes of them, that are handed on together
+BUFFER = 1 << 16  # bytes of a header that are read together
 
 # Directories that adding a directory passes over.
 PASSED_OVER = (".git", "build", "build-linux")
@@ -212,11 +214,23 @@ def pack_indexes(spark: SparkSession, root: str) -> DataFrame:
 
 
 def bundle_refs(spark: SparkSession, root: str) -> DataFrame:
-    """file, oid, name of the refs in the headers of all *.bundle files."""
-    head = F.udf(lambda content: bytes(content).partition(b"\n\n")[0] + b"\n\n", "binary")("content")  # up to the first empty line
-    text = F.decode(head, "ISO-8859-1")
-    files = binary_files(spark, root, "*.bundle").select("path", F.explode(parse_bundle_header(text)).alias("r"))
-    return files.select(F.col("path").alias("file"), "r.oid", "r.name")
+    """file, oid, name of the refs in the headers of all *.bundle files, which are read line by line up to the first empty one."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        title = BUNDLE_TITLE.encode()
+        for batch in batches:
+            for path in batch["path"]:
+                store, plain = fs.FileSystem.from_uri(path)
+                with store.open_input_stream(plain) as opened, io.BufferedReader(opened, BUFFER) as reader:
+                    if reader.read(len(title)) != title:
+                        continue
+                    reader.readline()
+                    lines = takewhile(lambda x: x != b"\n", reader)
+                    while part := list(islice(lines, LISTED)):
+                        yield pd.DataFrame({"file": path, "line": [x.rstrip(b"\n").decode("utf-8", "replace") for x in part]})
+
+    lines = binary_files(spark, root, "*.bundle").select("path").repartition(tasks(spark), "path").mapInPandas(run, "file string, line string")
+    return lines.select("file", bundle_ref(F.col("line")).alias("r")).where("r is not null").select("file", "r.oid", "r.name")
 
 
 def ini(texts: DataFrame) -> DataFrame:

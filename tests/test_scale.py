@@ -168,7 +168,7 @@ def test_items_without_a_month_or_a_key_are_looked_up(spark, tmp_path):
         assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
 
 
-@pytest.mark.parametrize("name", ["response_scan"])
+@pytest.mark.parametrize("name", ["response_scan", "bundle_scan"])
 def test_no_file_is_one_value(spark, name):
     """A value has 2 GB at most, a file any number: none is read whole into a row. Values of files end at 1,000 bytes here."""
     longest = "spark.sql.sources.binaryFile.maxLength"
@@ -234,3 +234,16 @@ def test_places_of_large_offsets(spark, tmp_path):
         assert (report[f"{pack}.idx"]["size"], report[f"{pack}.idx"]["digest"]) == (len(body), body[-32:].hex())
     with pytest.raises(Exception, match="is in no index"):
         writers.write_pack_indexes(rows.withColumn("oid", F.when(F.col("offset") > 0, F.col("oid"))), ends, f"file://{tmp_path}/other")
+
+
+def test_headers_of_bundles_are_read_alone(spark, tmp_path):
+    """Lines up to the first empty one, whatever comes behind it; names are UTF-8, as they are written."""
+    oid, title = lambda c: c * 64, "# v2 git bundle\n"
+    texts = {
+        "a": title + f"{oid('a')} refs/heads/é ü\nno ref\n-{oid('b')} base\n{'c' * 40} refs/tags/{'x' * 70_000}\n\n{oid('d')} behind\n", "b": title + "\n" + f"{oid('e')} behind\n\n",
+        "c": f"# other\n{oid('e')} no bundle\n\n", "d": title + f"{oid('f')} refs/heads/last", "e": "",
+    }
+    for name, text in texts.items():
+        (tmp_path / f"{name}.bundle").write_bytes(text.encode() + b"PACK\xff\n\n" * 1000 * (name != "d"))
+    got = [(r["file"][-8], r["oid"], r["name"]) for r in files.bundle_refs(spark, str(tmp_path)).collect()]
+    assert sorted(got) == [("a", oid("a"), "refs/heads/é ü"), ("a", "c" * 40, "refs/tags/" + "x" * 70_000), ("d", oid("f"), "refs/heads/last")]
